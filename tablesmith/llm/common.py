@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,10 +36,15 @@ def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
-def arrow_limits(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, in rows and bytes, whatever the length of texts."""
+def ready_workers(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, and bounds what an Arrow batch holds in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    sc = spark.sparkContext
+    if getattr(sc, "_tablesmith_sent", None) is None:
+        root = Path(__file__).resolve().parents[1]
+        sc._tablesmith_sent = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
+        sc.addPyFile(sc._tablesmith_sent)
 
 
 def spread(*columns: str | Column, buckets: int) -> Column:

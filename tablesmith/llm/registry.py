@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, token_counts, token_files
 
-MODULES = [mixing, sharding]
+MODULES = [mixing, token_counts, token_files, sharding]
 
 
 def queries() -> dict:
