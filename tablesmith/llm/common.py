@@ -52,8 +52,9 @@ def spread(*columns: str | Column, buckets: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 40).cast("long") * buckets / (1 << 24)
 
 
-def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
-    return int(max(1, -(-rows // per_bucket)))
+def bucket_count(rows: int) -> int:
+    """Buckets of about 1000 rows, or the root of the rows if more: tasks and the table of buckets both stay small."""
+    return int(max(1, -(-rows // max(1000, round(rows**0.5)))))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], buckets: int, out: str, hashed: list[str] | None = None) -> DataFrame:
