@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, token_counts, token_files
+from . import decontamination, mixing, sharding, simhash, token_counts, token_files
 
-MODULES = [mixing, token_counts, token_files, sharding]
+MODULES = [mixing, token_counts, token_files, sharding, simhash, decontamination]
 
 
 def queries() -> dict:
