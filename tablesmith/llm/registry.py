@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, edit_embedding, mixing, sharding, simhash, token_counts, token_files
+from . import decontamination, edit_embedding, mixing, quality, sharding, simhash, token_counts, token_files
 
-MODULES = [mixing, token_counts, token_files, sharding, simhash, decontamination, edit_embedding]
+MODULES = [mixing, token_counts, quality, token_files, sharding, simhash, decontamination, edit_embedding]
 
 
 def queries() -> dict:
