@@ -169,7 +169,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item. Rows without an id are decided by their text alike."""
-    ided = docs.withColumn("_id", F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text")) - 1))
+    ided = docs.withColumn("_id", F.coalesce(F.col("doc_id"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))))
     found = contamination(ided.select(F.col("_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct())
     return ided.join(gone, "_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, edit_embedding, mixing, quality, sharding, simhash, token_counts, token_files, toxicity
+from . import decontamination, edit_embedding, html_extraction, mixing, quality, sharding, simhash, token_counts, token_files, toxicity
 
-MODULES = [mixing, token_counts, quality, token_files, toxicity, sharding, simhash, decontamination, edit_embedding]
+MODULES = [mixing, token_counts, html_extraction, quality, token_files, toxicity, sharding, simhash, decontamination, edit_embedding]
 
 
 def queries() -> dict:
