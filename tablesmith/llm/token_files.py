@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,47 @@ def remembered(path: str) -> dict[str, bytes]:
     return {}
 
 
+def word_ids(t, words: list[str], kind: str) -> Iterator[tuple[str, bytes]]:
+    """The ids of each word as bytes; words are encoded side by side in one text, apart only if they don't stay apart."""
+    width = np.dtype(kind).itemsize
+    groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+    for group, e in zip(groups, t.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
+        of = np.array(e.word_ids)
+        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+        if len(cuts) + 1 == len(group):
+            raw, at = np.array(e.ids, kind).tobytes(), [0, *(cuts * width).tolist(), len(of) * width]
+            yield from zip(group, [raw[a:z] for a, z in zip(at, at[1:], strict=False)], strict=True)
+        else:
+            yield from ((w, np.array(x.ids, kind).tobytes()) for w, x in zip(group, t.encode_batch_fast(group, add_special_tokens=False), strict=True))
+
+
 def encode_batch(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text as the library gives them without special tokens added."""
     t, memory = tokenizer(path), remembered(path)
+    small = t.get_vocab_size() <= 1 << 16
     if len(memory) > REMEMBERED:
         memory.clear()
-    words = [WORD_SPLIT.findall(x.lower()) if "<|" not in x and NOT_PLAIN.search(x) is None else None for x in texts]
-    new = list(set().union(*(w for w in words if w is not None)) - memory.keys())
-    for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        memory[w] = np.array(e.ids, "<u4").tobytes()
-    rest = iter(t.encode_batch_fast([x for x, w in zip(texts, words, strict=True) if w is None], add_special_tokens=False))
-    get = memory.__getitem__
-    return [np.array(next(rest).ids, "<u4") if w is None else np.frombuffer(b"".join(map(get, w)), "<u4") for w in words]
+    get, found, missing, rest = memory.get, [], set(), []
+    for i, x in enumerate(texts):
+        if "<|" in x or NOT_PLAIN.search(x) is not None:
+            rest.append(i)
+            found.append(None)
+            continue
+        words = WORD_SPLIT.findall(x.lower())
+        ids = list(map(get, words))
+        if None in ids:
+            missing.update(compress(words, [v is None for v in ids]))
+            ids = words
+        found.append(ids)
+    memory.update(word_ids(t, list(missing), "<u2" if small else "<u4"))
+    whole = dict(zip(rest, t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True))
+    out = []
+    for i, ids in enumerate(found):
+        if ids is None:
+            out.append(np.array(whole[i].ids, "<u4"))
+        else:
+            out.append(np.frombuffer(b"".join(map(memory.__getitem__, ids) if ids and type(ids[0]) is str else ids), "<u2" if small else "<u4"))
+    return out
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
@@ -63,7 +93,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     for b in batches:
         ids = encode_batch(b.column("text").to_pylist(), path)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
-        flat = np.concatenate([x for a in ids for x in (a, last)]) if ids else last[:0]
+        flat = np.concatenate([last[:0], *(x for a in ids for x in (a, last))])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat.view(np.int32)))
         n = b.num_rows
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int32)), lists], ["doc_id", "part", "at", "ids"])
