@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import compress
+from struct import calcsize, pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .pretokens import NOT_PLAIN, WORD_SPLIT, tokenizer, vocabulary
 
 END_ID = 2
 #: Words that a worker remembers the ids of before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -43,18 +44,19 @@ def remembered(path: str) -> dict[str, bytes]:
     return {}
 
 
-def word_ids(t, words: list[str], kind: str) -> Iterator[tuple[str, bytes]]:
-    """The ids of each word as bytes; words are encoded side by side in one text, apart only if they don't stay apart."""
-    width = np.dtype(kind).itemsize
-    groups = [words[i : i + 64] for i in range(0, len(words), 64)]
-    for group, e in zip(groups, t.encode_batch_fast(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
-        of = np.array(e.word_ids)
-        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
-        if len(cuts) + 1 == len(group):
-            raw, at = np.array(e.ids, kind).tobytes(), [0, *(cuts * width).tolist(), len(of) * width]
-            yield from zip(group, [raw[a:z] for a, z in zip(at, at[1:], strict=False)], strict=True)
-        else:
-            yield from ((w, np.array(x.ids, kind).tobytes()) for w, x in zip(group, t.encode_batch_fast(group, add_special_tokens=False), strict=True))
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it shows, else the next beyond Latin-1."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_LETTERS = _byte_letters()
+
+
+def word_ids(model, word: str, kind: str) -> bytes:
+    """The ids of one word, straight from the vocabulary's merges."""
+    ids = [x.id for x in model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
+    return pack(f"<{len(ids)}{kind}", *ids)
 
 
 def encode_batch(texts: list[str], path: str) -> list[np.ndarray]:
@@ -73,16 +75,22 @@ def encode_batch(texts: list[str], path: str) -> list[np.ndarray]:
         ids = list(map(get, words))
         if None in ids:
             missing.update(compress(words, [v is None for v in ids]))
-            ids = words
-        found.append(ids)
-    memory.update(word_ids(t, list(missing), "<u2" if small else "<u4"))
+            found.append((ids, words))
+        else:
+            found.append((ids, None))
+    model, kind = t.model, "H" if small else "I"
+    for w in missing:
+        memory[w] = word_ids(model, w, kind)
     whole = dict(zip(rest, t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True))
     out = []
-    for i, ids in enumerate(found):
-        if ids is None:
+    for i, known in enumerate(found):
+        if known is None:
             out.append(np.array(whole[i].ids, "<u4"))
-        else:
-            out.append(np.frombuffer(b"".join(map(memory.__getitem__, ids) if ids and type(ids[0]) is str else ids), "<u2" if small else "<u4"))
+            continue
+        ids, words = known
+        if words is not None:
+            ids = [memory[w] if v is None else v for v, w in zip(ids, words, strict=True)]
+        out.append(np.frombuffer(b"".join(ids), f"<u{calcsize(kind)}"))
     return out
 
 
