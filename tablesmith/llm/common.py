@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 ARROW_ROWS = 4096
 
 
@@ -36,10 +36,10 @@ def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
-def ready_workers(spark: SparkSession) -> None:
+def ready_workers(spark: SparkSession, batch_bytes: int = ARROW_BYTES) -> None:
     """Sends this package to the executors, once an application, and bounds what an Arrow batch holds in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     sc = spark.sparkContext
     if getattr(sc, "_tablesmith_sent", None) is None:
         root = Path(__file__).resolve().parents[1]

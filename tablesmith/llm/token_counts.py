@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, ready_workers, table
+from .common import ready_workers, table
 from .pretokens import byte_pretokens, tokenizer, vocabulary
 
 HOT = 64
 ORD_BITS = 12
-assert ARROW_ROWS <= 1 << ORD_BITS
 MOST = (1 << (32 - ORD_BITS)) - 1
 OPEN_BLOCKS = 512
+BLOCK_BYTES = 16 << 20
 
 
 class Ids(dict):
@@ -73,7 +73,7 @@ def invert(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     from pyspark import TaskContext
 
     known, marks = entries(path), specials(path)
-    for at, b in enumerate(batches):
+    for at, b in enumerate(p for b in batches for p in (b.slice(i, 1 << ORD_BITS) for i in range(0, b.num_rows, 1 << ORD_BITS))):
         n = b.num_rows
         block = (TaskContext.get().partitionId() << 32) | at
         seen, found, base = Ids(), [], np.zeros(n, np.int64)
@@ -174,7 +174,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text). path: a byte-level tokenizer file."""
     path = path or vocabulary("byte_bpe_50k.json")
     spark = docs.sparkSession
-    ready_workers(spark)
+    ready_workers(spark, BLOCK_BYTES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
