@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ISO
 from ..functions.similarity import token_sort_ratio
+from ..workers import ship
 from .cleaning import data_columns
 from .ledger import ROW_ID
 
@@ -40,6 +41,7 @@ def near_duplicates(df: DataFrame, alike: float = ALIKE) -> DataFrame:
     Rows are joined on their strict values; without any, on the words that their texts begin with. Copies are first made
     one row, so equal rows never pair up.
     """
+    ship(df.sparkSession)
     strict = strict_columns(df)
     texts = [c for c in data_columns(df) if c not in strict]
     if not texts:
