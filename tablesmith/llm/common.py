@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 4096
 
@@ -37,14 +36,10 @@ def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
 
 
 def ready_workers(spark: SparkSession, batch_bytes: int = ARROW_BYTES) -> None:
-    """Sends this package to the executors, once an application, and bounds what an Arrow batch holds in rows and bytes."""
+    """Sends this package to the executors, and bounds what an Arrow batch holds in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
-    sc = spark.sparkContext
-    if getattr(sc, "_tablesmith_sent", None) is None:
-        root = Path(__file__).resolve().parents[1]
-        sc._tablesmith_sent = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
-        sc.addPyFile(sc._tablesmith_sent)
+    ship(spark)
 
 
 def spread(*columns: str | Column, buckets: int) -> Column:

@@ -176,4 +176,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_decontamination": op9_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = f"REGEXP_EXTRACT_ALL({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = {
+    "op9_decontamination": f"""
+WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+b AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, n, ARRAY_TO_STRING(w[i:i + n - 1], ' ') AS win FROM (
+  SELECT item_id, w, n, UNNEST(RANGE(1, LEN(w) - n + 2)) AS i FROM (SELECT *, LEAST(10, LEN(w)) AS n FROM b WHERE LEN(w) > 0))),
+doc AS (SELECT doc_id, i, n, ARRAY_TO_STRING(w[i:i + n - 1], ' ') AS win FROM (
+  SELECT doc_id, w, n, UNNEST(RANGE(1, LEN(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM item) ON LEN(w) >= n)),
+hit AS (SELECT doc_id, i, n, item_id FROM doc JOIN item USING (n, win)),
+place AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, UNNEST(RANGE(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+names AS (SELECT doc_id, COUNT(*) AS n_items, SHA256(STRING_AGG(s, ',' ORDER BY s)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+  COALESCE(h, SHA256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN place USING (doc_id) LEFT JOIN names USING (doc_id)
+""",
+}
