@@ -14,8 +14,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
-from struct import calcsize, pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ready_workers, stored, table
-from .pretokens import NOT_PLAIN, WORD_SPLIT, tokenizer, vocabulary
+from .pretokens import NOT_PLAIN, tokenizer, vocabulary
+from .word_bytes import WordIds
 
 END_ID = 2
 #: Words that a worker remembers the ids of before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -40,8 +39,8 @@ FILE_COLUMNS = "doc_id long, part int, at int, ids array<int>"
 
 
 @lru_cache(maxsize=2)
-def remembered(path: str) -> dict[str, bytes]:
-    return {}
+def remembered(path: str) -> WordIds:
+    return WordIds(REMEMBERED)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,44 +52,17 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def word_ids(model, word: str, kind: str) -> bytes:
-    """The ids of one word, straight from the vocabulary's merges."""
-    ids = [x.id for x in model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
-    return pack(f"<{len(ids)}{kind}", *ids)
-
-
 def encode_batch(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text as the library gives them without special tokens added."""
-    t, memory = tokenizer(path), remembered(path)
-    small = t.get_vocab_size() <= 1 << 16
-    if len(memory) > REMEMBERED:
-        memory.clear()
-    get, found, missing, rest = memory.get, [], set(), []
-    for i, x in enumerate(texts):
-        if "<|" in x or NOT_PLAIN.search(x) is not None:
-            rest.append(i)
-            found.append(None)
-            continue
-        words = WORD_SPLIT.findall(x.lower())
-        ids = list(map(get, words))
-        if None in ids:
-            missing.update(compress(words, [v is None for v in ids]))
-            found.append((ids, words))
-        else:
-            found.append((ids, None))
-    model, kind = t.model, "H" if small else "I"
-    for w in missing:
-        memory[w] = word_ids(model, w, kind)
-    whole = dict(zip(rest, t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True))
-    out = []
-    for i, known in enumerate(found):
-        if known is None:
-            out.append(np.array(whole[i].ids, "<u4"))
-            continue
-        ids, words = known
-        if words is not None:
-            ids = [memory[w] if v is None else v for v, w in zip(ids, words, strict=True)]
-        out.append(np.frombuffer(b"".join(ids), f"<u{calcsize(kind)}"))
+    """Ids of each text as the library gives them without special tokens added; plain texts by their words' bytes."""
+    t = tokenizer(path)
+    model = t.model
+    tokens = lambda word: [x.id for x in model.tokenize(word.decode("latin-1").translate(_LETTERS))]
+    plain = ["<|" not in x and NOT_PLAIN.search(x) is None for x in texts]
+    known = iter(remembered(path).encode([x.lower().encode() for x, p in zip(texts, plain, strict=True) if p], tokens))
+    out = [next(known) if p else None for p in plain]
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for i, e in zip(rest, t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4")
     return out
 
 
