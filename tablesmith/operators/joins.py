@@ -16,7 +16,7 @@ from .profile import logical, profile
 #: Weights of a score, labels and limits.
 W_CONTAINED, W_CARDINALITY, W_TYPE, W_NAME, REPEATS_BONUS = 0.60, 0.25, 0.10, 0.05, 0.02
 KEPT_AT, MEDIUM_AT, HIGH_AT = 0.55, 0.65, 0.80
-PENALTY, NAME_STRONG, NAME_WEAK = 0.25, 0.7, 0.5
+PENALTY, NAME_STRONG, NAME_WEAK = 0.50, 0.7, 0.5
 FEW, DENSE = 50, 0.9
 SUFFIX = re.compile(r"_?(id|key|code|no|num|fk|pk|ref)$")
 ID_NAME = re.compile(r"(^|_)(id|key|code|no|num)$")
