@@ -32,6 +32,7 @@ WEIGHTS = {"src0": 0.2} | {f"src{i}": round(0.8 * (1 + i % 4) / 48, 4) for i in
 OTHER = 0.01
 BLOCK_ROWS = 16
 PERIOD = 1000
+PLACE = ("mix_class", "block", "slot", "phase", "release", "deadline", "position")
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -92,12 +93,13 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float = OTHER, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """docs with its place in the mix: class, block, slot, phase, release, deadline and the gapless position from 0."""
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, other: float = OTHER, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """Rows of docs as one struct ``_doc``, and their place in the mix: the columns of PLACE."""
     weights = dict(WEIGHTS if weights is None else weights) | {REST: other}
     spark = docs.sparkSession
     named = F.when(F.col("source").isin([w for w in weights if w != REST]), F.col("source")).otherwise(F.lit(REST))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], named.alias("_class"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = docs.select(own, named.alias("_class"), F.col("source").alias("_source"), (F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)).alias("_id"))
     counts = {r["_class"]: r["count"] for r in rows.groupBy("_class").count().collect()}  # bounded by the parameter
     blocks = {s: ceil(n / block_rows) for s, n in counts.items()}
     plan = phases(blocks, weights, period)
@@ -114,18 +116,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
             if s in p["shares"] and p["before"][s] + p["took"][s] == blocks[s] and n % block_rows:
                 k = blocks[s] - 1 - p["before"][s]
                 short.append((p["first"] + k // p["shares"][s] * p["period"] + p["slots"][s][k % p["shares"][s]], block_rows - n % block_rows))
-    keys = [c for c in ("doc_id", "source") if c in docs.columns]
-    ranked = numbered(rows, ["_class"], keys, bucket_count(sum(counts.values())), "_rank")
+    ranked = numbered(rows, ["_class"], ["_id", "_source"], bucket_count(sum(counts.values())), "_rank")
     ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("long"))
     on = (F.col("d._class") == F.col("s._class")) & (F.col("d._block") >= F.col("s._lo")) & (F.col("d._block") < F.col("s._hi"))
-    placed = ranked.alias("d").join(F.broadcast(schedule).alias("s"), on).drop(F.col("s._class"))
+    found = ranked.alias("d").join(F.broadcast(schedule).alias("s"), on).drop(F.col("s._class"))
     k = F.col("_block") - F.col("_lo")
     slot = F.col("_first") + F.floor(k / F.col("_share")) * F.col("_period") + F.element_at("_slots", (k % F.col("_share")).cast("int") + 1)
     gaps = F.lit(0).cast("long")
     for at, missing in short:
         gaps = gaps + F.when(F.col("slot") > at, missing).otherwise(0)
-    return placed.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns],
+    return found.select(
+        "_doc",
         F.col("_class").alias("mix_class"),
         F.col("_block").alias("block"),
         slot.cast("long").alias("slot"),
@@ -133,7 +134,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
         (F.col("_first") + F.floor(k * F.col("_period") / F.col("_share"))).cast("long").alias("release"),
         (F.col("_first") + F.ceil((k + 1) * F.col("_period") / F.col("_share"))).cast("long").alias("deadline"),
         F.col("_rank"),
-    ).withColumn("position", (F.col("slot") * block_rows + F.col("_rank") % block_rows - gaps).cast("long")).drop("_rank")
+    ).withColumn("position", (F.col("slot") * block_rows + F.col("_rank") % block_rows - gaps).cast("long")).select("_doc", *PLACE)
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """docs with the columns of PLACE: class, block, slot, phase, release, deadline and the gapless position from 0.
+
+    Columns of docs that have one of these names are left out.
+    """
+    out = placed(docs, *args, **options)
+    return out.select(*[F.col(f"_doc.`{c}`") for c in docs.columns if c not in PLACE], *PLACE)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +155,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs in the order of the mix: part files, and the rows in them, follow each other by position. No row goes."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mix(docs).repartitionByRange(parts, "position").sortWithinPartitions("position").select(*[f"`{c}`" for c in docs.columns])
+    return placed(docs).repartitionByRange(parts, "position").sortWithinPartitions("position").select("_doc.*")
 
 
 QUERIES = {"op1_mixing": op1_mixing}

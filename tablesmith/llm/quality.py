@@ -37,6 +37,7 @@ for _k, _members in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQR
 _CLASS[128:] = 11
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)], "<u8")
 FEATURES = _KINDS * _KINDS + 10
 
 
@@ -65,14 +66,24 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return out, base
     kind = _CLASS[raw].astype(np.int32)
     pair = kind[:-1] * _KINDS + kind[1:] if len(kind) > 1 else np.zeros(0, np.int32)
-    size = np.diff(np.append(cuts, len(raw)))
-    slot = np.repeat(np.arange(len(cuts), dtype=np.int32), size)
-    counts = np.bincount(slot[: len(pair)] * np.int64(_KINDS * _KINDS) + pair, minlength=len(cuts) * _KINDS * _KINDS).reshape(len(cuts), -1)
+    # A passage ends where the next of its text begins, or with its text; what lies between belongs to none.
+    text = np.searchsorted(base, passage[heads], "right") - 1
+    ends_at = np.minimum(np.append(cuts[1:], len(raw)), offsets[1:][text])
+    size, none = ends_at - cuts, len(cuts)
+    lengths = np.empty(2 * none + 1, np.int64)
+    lengths[0::2], lengths[1::2] = np.append(cuts, len(raw)) - np.append(0, ends_at), size
+    slots = np.full(2 * none + 1, none, np.int32)
+    slots[1::2] = np.arange(none)
+    slot = np.repeat(slots, lengths)
+    slot[offsets[1:][np.diff(offsets) > 0] - 1] = none  # a text's last byte pairs with nothing
+    counts = np.bincount(slot[: len(pair)] * np.int64(_KINDS * _KINDS) + pair, minlength=(none + 1) * _KINDS * _KINDS)
+    counts = counts.reshape(none + 1, -1)[:none]
     out[passage[heads], : _KINDS * _KINDS] = np.sqrt(counts / np.maximum(1, size)[:, None])
     # Words: length, spread of lengths, repeats at short distances, kinds of first and last letters.
     ends = np.flatnonzero(inside & np.append(~inside[1:] | first[1:-1], True)) + 1
     long = np.minimum(ends - starts, 40).astype(np.float64)
-    head8 = np.ndarray((len(raw) + 8,), "<u8", raw.tobytes() + bytes(16), strides=(1,))[starts] ^ ((ends - starts).astype("<u8") << np.uint64(56))
+    head8 = np.ndarray((len(raw) + 8,), "<u8", raw.tobytes() + bytes(16), strides=(1,))[starts]
+    head8 = (head8 & _HEAD[np.minimum(ends - starts, 7)]) ^ ((ends - starts).astype("<u8") << np.uint64(56))
     n = np.bincount(passage, minlength=total).astype(np.float64)
     n1 = np.maximum(n, 1)
     mean = np.bincount(passage, long, total) / n1

@@ -97,6 +97,8 @@ class Linear:
     def predict(self, doc: np.ndarray, feature: np.ndarray, dense: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(dense), self.constant)
+        if not len(self.ids):
+            return _sigmoid(dense @ self.v + self.d)
         at = np.minimum(np.searchsorted(self.ids, feature), len(self.ids) - 1)
         hit = self.ids[at] == feature
         return _sigmoid(np.bincount(doc[hit], self.w[at[hit]], len(dense)) + dense @ self.v + self.d)
