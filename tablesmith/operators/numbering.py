@@ -11,7 +11,7 @@ def gapless(df: DataFrame, by: str, out: str | None = None) -> DataFrame:
     """Numbers rows from 0 in the order of ``by``. Ranges are cut by approximate quantiles and numbered side by side."""
     out = out or by
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.select(F.col(by).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    cuts = sorted(set(df.select(F.col(by).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts))) or [0.0]
     cutter = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep")
     d = cutter.transform(df.withColumn("_at", F.col(by).cast("double"))).drop("_at")
     counts = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
