@@ -202,7 +202,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     wide = rows.withColumn("_at", F.col("doc_id").cast("double"))
     buckets = 4 * parts
-    cuts = sorted(set(wide.approxQuantile("_at", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    cuts = sorted(set(wide.approxQuantile("_at", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) or [0.0]
     bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_b", handleInvalid="keep").transform(wide)
     nulls = -1 - F.pmod(F.xxhash64("text"), F.lit(buckets))
     bucketed = bucketed.select("doc_id", "text", F.when(F.col("doc_id").isNull(), nulls).otherwise(F.col("_b").cast("long")).alias("bucket"))
