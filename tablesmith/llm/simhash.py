@@ -18,6 +18,8 @@ name a component unless all of its ids are null. Empty table: no rows.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
@@ -33,6 +35,8 @@ from .components import components
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
+#: Of the pipeline's stage: word fingerprints of a text, and the shingles and similarity that verify a pair.
+VIEWS, WIDE, ALIKE = 6, 5, 0.8
 GOLAY = 0xC75  # the code's generator polynomial
 #: First bit and width of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -84,8 +88,8 @@ def near(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return row, found[row, col]
 
 
-def keys(fps: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every key of each fingerprint, for one side of the join."""
+def keys(fps: np.ndarray, left: bool, triple: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of each fingerprint, for one side of the join. triple: with the family of all three codewords."""
     bits = fps.view("<u8")
     raw = [(bits >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
     every = np.arange(len(fps))
@@ -98,6 +102,8 @@ def keys(fps: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
                 row, index = (code if left else close)[j]
                 rows.append(row)
                 out.append((i * 3 + j) << 40 | raw[i][row] << 12 | index)
+    if not triple:
+        return np.concatenate(rows), np.concatenate(out)
     a, b, c = (code[0], close[1], code[2]) if left else (close[0], code[1], close[2])
     row, key = a
     for more, index in (b, c):
@@ -108,10 +114,10 @@ def keys(fps: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*rows, row]), np.concatenate([*out, 15 << 40 | key])
 
 
-def keyed(batches: Iterator[pa.RecordBatch], left: bool) -> Iterator[pa.RecordBatch]:
+def keyed(batches: Iterator[pa.RecordBatch], left: bool, triple: bool = True) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.asarray(b.column("fp"))
-        row, key = keys(fps, left)
+        row, key = keys(fps, left, triple)
         for i in range(0, len(row), 1 << 16):
             s = slice(i, i + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(fps[row[s]])], ["key", "fp"])
@@ -144,12 +150,113 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# Texts that are alike by their shingles: candidates from fingerprints of their words, verified.
+
+
+def word_prints(text: str) -> list[int]:
+    """VIEWS fingerprints of the words of a text, each under hashes of its own; words weigh as often as they occur, or its root."""
+    from xxhash import xxh64_intdigest
+
+    count = Counter(text.encode("utf-8", "surrogatepass").lower().split())
+    if not count:
+        return [0] * VIEWS
+    hashes = np.fromiter(map(xxh64_intdigest, count, repeat(SEED)), "<u8", len(count))
+    times, out = np.fromiter(count.values(), np.float64, len(count)), []
+    for view in range(VIEWS):
+        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (view + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        weights = times if view % 3 else np.sqrt(times)
+        ones = weights @ np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64)
+        out.append(int(np.packbits((2 * ones > weights.sum()).astype(np.uint8), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        own = np.fromiter(map(fingerprint, texts), "<u8", len(texts)).view("<i8")
+        views = np.array([word_prints(t) for t in texts], "<u8").reshape(-1, VIEWS).view("<i8").T
+        keys_ = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys_, pa.string()), pa.array(own), *(pa.array(np.ascontiguousarray(v)) for v in views)], ["doc_id", "text_key", "fp", *(f"fp{i}" for i in range(VIEWS))])
+
+
+def shingle_set(text: str) -> frozenset[int]:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return frozenset(map(hash, zip(*(words[i:] for i in range(WIDE)), strict=False))) if len(words) >= WIDE else frozenset([hash(tuple(words))])
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose texts have a Jaccard similarity of ALIKE or more over WIDE-word shingles."""
+    last, of = None, frozenset()
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
+            if y != last:
+                last, of = y, shingle_set(y)
+            own = shingle_set(x)
+            common = len(own & of)
+            keep.append(common >= ALIKE * (len(own) + len(of) - common))
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep))
+
+
+def star_pairs(texts: DataFrame, view: str) -> DataFrame:
+    """(u, v): each text with the first of its fingerprint, and that with the firsts of two fingerprints that share a key.
+
+    Keys are those of an equal and a nearly equal segment, which hold all pairs at two bits and most at three. There are two
+    pairs for each text and key at most, so a large group of copies gives stars, never all of its pairs.
+    """
+    first = texts.groupBy(F.col(view).alias("fp")).agg(F.min("uid").alias("first"))
+    same = texts.join(first, texts[view] == first.fp).where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v"))
+    prints = first.select("fp")
+    left, right = (prints.mapInArrow(lambda it, side=side: keyed(it, side, False), "key long, fp long") for side in (True, False))
+    centre = left.groupBy("key").agg(F.array_distinct(F.array(F.min("fp"), F.max("fp"))).alias("c")).select("key", F.explode("c").alias("centre"))
+    near_ = right.join(centre, "key").where((F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= DISTANCE))
+    near_ = near_.select("fp", "centre").distinct()
+    ends = near_.join(first, "fp").select(F.col("first").alias("u"), "centre")
+    return same.unionByName(ends.join(first, ends.centre == first.fp).select("u", F.col("first").alias("v")))
+
+
+def alike_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked as in ``near_duplicates`` or by ALIKE shared shingles of WIDE words.
+
+    Candidates for the second kind are texts whose word fingerprints, in one of VIEWS views, are linked by Golay keys to a
+    class representative; the texts themselves are then compared. So a pair of alike texts is found with high probability
+    (see the tests), and no unlike pair is.
+    """
+    spark = docs.sparkSession
+    ready_workers(spark)
+    views = [f"fp{i}" for i in range(VIEWS)]
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = stored(rows.mapInArrow(all_prints, "doc_id long, text_key string, fp long, " + ", ".join(f"{v} long" for v in views)))
+    texts = prints.groupBy("text_key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", *views)])
+    texts = stored(texts.withColumn("uid", F.monotonically_increasing_id()))
+    sure = texts.groupBy("fp").agg(F.min("uid").alias("first"))
+    own = links(sure.select("fp"))
+    own = own.join(sure, own.u == sure.fp).select(F.col("first").alias("u"), "v")
+    own = own.join(sure, own.v == sure.fp).select("u", F.col("first").alias("v"))
+    own = own.unionByName(texts.join(sure, "fp").where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v")))
+    pairs = star_pairs(texts.select("uid", views[0]), views[0])
+    for view in views[1:]:
+        pairs = pairs.unionByName(star_pairs(texts.select("uid", view), view))
+    pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ends = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
+    wanted = texts.join(ends, "uid", "left_semi").select("uid", "text_key")
+    bodies = rows.select("text", F.md5(F.encode("text", "UTF-8")).alias("text_key")).join(wanted, "text_key").dropDuplicates(["uid"]).select("uid", "text")
+    both = pairs.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u").join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
+    alike = both.select("u", "v", "text_u", "text_v").mapInArrow(verified, "u long, v long")
+    member = components(own.unionByName(alike))
+    rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "least", F.coalesce("root", "uid").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "text_key").join(rooted.join(names, "root").select("text_key", "component_id"), "text_key").select("doc_id", "component_id")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays, one if several have it.
+    """docs without near-duplicates (``alike_texts``): of each class the row with the smallest id stays, one if several have it.
 
     Rows without an id can't be told apart by it and stay.
     """
-    found = stored(near_duplicates(docs.select("doc_id", "text")))
+    found = stored(alike_texts(docs.select("doc_id", "text")))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")

@@ -358,3 +358,31 @@ def test_pipeline(spark, tmp_path):
     assert rejected.where("quality = 1").count() <= 0.02 * labels.where("quality = 1").count()
     order = [r.doc_id for r in spark.read.parquet(str(tmp_path / "3")).selectExpr("doc_id", "_metadata.file_path f", "_metadata.row_index r").orderBy("f", "r").collect()]
     assert [r.doc_id for r in docs.orderBy("start").collect()] == order
+
+
+def test_alike_texts(spark):
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    texts, truth = [], []
+    for k in range(25):
+        base = list(rng.choice(vocab, 220))
+        for _ in range(4):
+            copy = list(base)
+            for i in rng.integers(0, len(copy), 2):
+                copy[i] = str(rng.choice(vocab))
+            texts.append(" ".join(copy))
+            truth.append(k)
+    texts += [texts[0], "", None, "one two"]
+    docs = clashing(table(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    got = {r.doc_id: r.component_id for r in simhash.alike_texts(docs).collect()}
+    sets = [simhash.shingle_set(t or "") for t in texts]
+    found = wanted = 0
+    for i in range(100):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            wanted += alike
+            found += alike and got[i] == got[j]
+            assert got[i] != got[j] or truth[i] == truth[j]
+    assert found >= 0.95 * wanted > 50
+    assert got[100] == got[0] and got[101] == got[102] and got[103] == 103 and len(got) == len(texts)
+    assert simhash.alike_texts(docs.limit(0)).count() == 0
