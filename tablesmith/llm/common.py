@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +16,8 @@ from ..workers import ship
 
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 4096
+_OWN: set[str] = set()
+_PATHS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one for tests if unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of this process if unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file:///tmp/tablesmith-scratch"
+        where = f"file://{tempfile.gettempdir()}/tablesmith-{os.getpid()}"
+        if not _OWN:
+            atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
+        _OWN.add(where)
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -32,9 +41,19 @@ def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage, survives lost executors, is compressed."""
     path = f"{scratch(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.options(**options).format(fmt).save(path)
+    _PATHS.append(path)
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all that ``stored`` has written for this process; results that still read it are lost. Returns how many."""
+    n = 0
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def ready_workers(spark: SparkSession, batch_bytes: int = ARROW_BYTES) -> None:
     """Sends this package to the executors, and bounds what an Arrow batch holds in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

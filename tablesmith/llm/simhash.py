@@ -26,7 +26,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ready_workers, stored, table
@@ -221,7 +221,7 @@ def alike_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): classes of documents linked as in ``near_duplicates`` or by ALIKE shared shingles of WIDE words.
 
     Candidates for the second kind are texts whose word fingerprints, in one of VIEWS views, are linked by Golay keys to a
-    class representative; the texts themselves are then compared. So a pair of alike texts is found with high probability
+    class representative; the texts themselves are then compared, unless their classes are one by then. So a pair of alike texts is found with high probability
     (see the tests), and no unlike pair is.
     """
     spark = docs.sparkSession
@@ -236,16 +236,34 @@ def alike_texts(docs: DataFrame) -> DataFrame:
     own = own.join(sure, own.u == sure.fp).select(F.col("first").alias("u"), "v")
     own = own.join(sure, own.v == sure.fp).select("u", F.col("first").alias("v"))
     own = own.unionByName(texts.join(sure, "fp").where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v")))
-    pairs = star_pairs(texts.select("uid", views[0]), views[0])
-    for view in views[1:]:
-        pairs = pairs.unionByName(star_pairs(texts.select("uid", view), view))
-    pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    ends = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
-    wanted = texts.join(ends, "uid", "left_semi").select("uid", "text_key")
-    bodies = rows.select("text", F.md5(F.encode("text", "UTF-8")).alias("text_key")).join(wanted, "text_key").dropDuplicates(["uid"]).select("uid", "text")
-    both = pairs.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u").join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
-    alike = both.select("u", "v", "text_u", "text_v").mapInArrow(verified, "u long, v long")
-    member = components(own.unionByName(alike))
+    own = stored(own)
+    # A text with a fingerprint of an earlier one is in its class already; rows without an id are never named.
+    alone = texts.where("least is not null").join(sure.select(F.col("first").alias("uid")), "uid", "left_semi")
+    alone = stored(alone.select("uid", "least", "text_key", *views))
+    found = [stored(star_pairs(alone.select("uid", v), v)) for v in views]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    every = every.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "v"))
+    every = stored(every.withColumn("place", best).select("u", "v", "place"))
+    ends = every.select(F.col("u").alias("uid")).unionByName(every.select(F.col("v").alias("uid"))).distinct()
+    wanted = alone.join(ends, "uid", "left_semi").select(F.col("least").alias("doc_id"), "uid", "text_key")
+    bodies = rows.join(wanted, "doc_id").where(F.md5(F.encode("text", "UTF-8")) == F.col("text_key")).dropDuplicates(["uid"])
+    bodies = stored(bodies.select("uid", "text"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
+        both = both.join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
+        return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verified, "u long, v long"))
+
+    # Each text with its likeliest partner first; then the pairs between different classes that are left.
+    first = compared(every.where("place = 1"))
+    part = stored(components(own.unionByName(first)))
+    of = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    left = every.where("place > 1").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    left = left.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    member = components(own.unionByName(first).unionByName(compared(left)))
     rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "least", F.coalesce("root", "uid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "text_key").join(rooted.join(names, "root").select("text_key", "component_id"), "text_key").select("doc_id", "component_id")

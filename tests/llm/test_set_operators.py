@@ -12,6 +12,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from tablesmith.llm import decontamination, edit_embedding, mixing, sharding, simhash
+from tablesmith.llm.common import release, stored
 from tablesmith.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -386,3 +387,8 @@ def test_alike_texts(spark):
     assert found >= 0.95 * wanted > 50
     assert got[100] == got[0] and got[101] == got[102] and got[103] == 103 and len(got) == len(texts)
     assert simhash.alike_texts(docs.limit(0)).count() == 0
+
+
+def test_release(spark):
+    kept = stored(spark.range(5))
+    assert kept.count() == 5 and release(spark) > 0 and release(spark) == 0
