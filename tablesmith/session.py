@@ -123,6 +123,11 @@ class Workspace:
         df = self._with_ids(table)
         return {"exact": dedup.exact_groups(df), "near": dedup.near_duplicates(df)}
 
+    def suggest(self, table: str) -> list[dict]:
+        """Merges of values that a person may want; none is applied."""
+        df = self.tables[table]
+        return [s for c in canonical.eligible(df) for s in canonical.suggestions(df, c)]
+
     def resolve(self, table: str, groups: Iterable[Iterable[int]], action: str = "remove") -> int:
         """Of each group of row ids the first row stays. The contract is kept; profiles are taken anew."""
         if table not in self.tables:

@@ -198,6 +198,7 @@ def test_rules_and_duplicates_in_a_workspace(spark):
     w.upload([("zoo.csv", b"animal,score\nCat,1\nkitty,void\ndog,3\ndog,3\n")])
     r = w.apply_rules([Rule("null_token", "zoo", "score", "void"), Rule("merge_values", None, "animal", "cat", ["kitty", "Cat"])])
     assert [x["animal"] for x in w.sql("SELECT animal FROM zoo").rows] == ["cat", "cat", "dog", "dog"] and not r.errors
+    assert not w.suggest("zoo")
     assert w.resolve("zoo", [[2, 3]]) == 1 and w.sql("SELECT COUNT(*) AS n FROM zoo").rows == [{"n": 3}]
     w.apply_rules([Rule("force_type", "zoo", "score", "text")])
     assert w.sql("SELECT COUNT(*) AS n FROM zoo").rows == [{"n": 4}]
