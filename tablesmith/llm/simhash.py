@@ -35,7 +35,7 @@ from .components import components
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-#: Of the pipeline's stage: word fingerprints of a text, and the shingles and similarity that verify a pair.
+#: Of ``alike_texts``: word fingerprints of a text, and the shingles and similarity that verify a pair.
 VIEWS, WIDE, ALIKE = 6, 5, 0.8
 GOLAY = 0xC75  # the code's generator polynomial
 #: First bit and width of the segments.
@@ -270,11 +270,11 @@ def alike_texts(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without near-duplicates (``alike_texts``): of each class the row with the smallest id stays, one if several have it.
+    """docs without near-duplicates: of each component the row with the smallest id stays, one if several have it.
 
     Rows without an id can't be told apart by it and stay.
     """
-    found = stored(alike_texts(docs.select("doc_id", "text")))
+    found = stored(near_duplicates(docs.select("doc_id", "text")))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
