@@ -31,7 +31,7 @@ def logical(dtype: str) -> str:
 def _measures(c: str, dtype: str, approximate: bool) -> dict[str, Column]:
     x, kind = F.col(f"`{c}`"), logical(dtype)
     text = x.cast("string")
-    out = {"n": F.count(F.lit(1)), "filled": F.count(x), "distinct_count": F.approx_count_distinct(x, 0.01) if approximate else F.count_distinct(x)}
+    out = {"n": F.count(F.lit(1)), "filled": F.count(x), "distinct_count": F.approx_count_distinct(x, 0.01) if approximate else F.lit(None).cast("long")}
     none = F.lit(None).cast("double")
     out["numeric_min"] = F.min(x).cast("double") if kind == "numeric" else none
     out["numeric_max"] = F.max(x).cast("double") if kind == "numeric" else none
@@ -55,6 +55,12 @@ def profile(df: DataFrame, table: str = "table", approximate: bool = False) -> D
     one = df.agg(*[F.struct(*[v.alias(k) for k, v in _measures(c, types[c], approximate).items()]).alias(f"_{i}") for i, c in enumerate(cols)])
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(logical(types[c])).alias("dtype"), F.col(f"_{i}").alias("m")) for i, c in enumerate(cols)])).alias("x")
     p = one.select(rows).select("x.position", "x.column", "x.dtype", "x.m.*")
+    if not approximate:
+        # Exact distinct counts: narrow (column, hash) pairs, aggregated on both sides of one shuffle for all columns.
+        cells = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).alias("position"), F.xxhash64(F.col(f"`{c}`")).alias("h"))) for i, c in enumerate(cols)]
+        found = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*").distinct()
+        found = found.groupBy("position").agg(F.count(F.lit(1)).alias("_d"))
+        p = p.drop("distinct_count").join(found, "position", "left").withColumn("distinct_count", F.coalesce("_d", F.lit(0).cast("long"))).drop("_d")
     share = lambda name: (F.col("filled") > 0) & (F.col(name) >= SHARE * F.col("filled"))
     p = p.withColumn("dtype", F.when((F.col("dtype") == "text") & share("iso_date"), "date").otherwise(F.col("dtype")))
     found = F.when(F.col("whole"), "integer")
