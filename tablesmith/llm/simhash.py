@@ -19,7 +19,6 @@ name a component unless all of its ids are null. Empty table: no rows.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
@@ -35,8 +34,9 @@ from .components import components
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-#: Of ``alike_texts``: word fingerprints of a text, and the shingles and similarity that verify a pair.
-VIEWS, WIDE, ALIKE = 6, 5, 0.8
+#: Of the pipeline's stage: the shingles and similarity that verify a pair; bands of bins that make candidates; texts of a
+#: band that all pair up; and the share of a sketch below which a pair isn't compared.
+WIDE, ALIKE, BANDS, ROWS, FEW, SKETCHED = 5, 0.8, 42, 6, 16, 0.68
 GOLAY = 0xC75  # the code's generator polynomial
 #: First bit and width of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -150,35 +150,58 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Texts that are alike by their shingles: candidates from fingerprints of their words, verified.
+# Texts that are alike by their shingles: candidates from bands of least shingle hashes, verified.
 
 
-def word_prints(text: str) -> list[int]:
-    """VIEWS fingerprints of the words of a text, each under hashes of its own; words weigh as often as they occur, or its root."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def least_hashes(text: str) -> np.ndarray:
+    """The least hash of the text's WIDE-word shingles in each of 256 bins of hashes, 0 for an empty bin."""
     from xxhash import xxh64_intdigest
 
-    count = Counter(text.encode("utf-8", "surrogatepass").lower().split())
-    if not count:
-        return [0] * VIEWS
-    hashes = np.fromiter(map(xxh64_intdigest, count, repeat(SEED)), "<u8", len(count))
-    times, out = np.fromiter(count.values(), np.float64, len(count)), []
-    for view in range(VIEWS):
-        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (view + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        weights = times if view % 3 else np.sqrt(times)
-        ones = weights @ np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64)
-        out.append(int(np.packbits((2 * ones > weights.sum()).astype(np.uint8), bitorder="little").view("<u8")[0]))
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    word = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), "<u8", len(words))
+    n = max(1, len(words) - WIDE + 1)
+    h = np.zeros(n, "<u8")
+    for i in range(min(WIDE, len(words))):
+        h = _mixed(h + word[i : i + n])
+    h.sort()
+    bins = (h >> np.uint64(56)).astype(np.int64)
+    first = np.append(0, np.flatnonzero(bins[1:] != bins[:-1]) + 1)
+    out = np.zeros(256, "<u8")
+    out[bins[first]] = h[first] | np.uint64(1)
     return out
 
 
 def all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: MD5, fingerprint, a byte for each bin of ``least_hashes``, and a key for each band of bins not all empty."""
     for b in batches:
         texts = b.column("text").to_pylist()
-        own = np.fromiter(map(fingerprint, texts), "<u8", len(texts)).view("<i8")
-        views = np.array([word_prints(t) for t in texts], "<u8").reshape(-1, VIEWS).view("<i8").T
-        keys_ = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys_, pa.string()), pa.array(own), *(pa.array(np.ascontiguousarray(v)) for v in views)], ["doc_id", "text_key", "fp", *(f"fp{i}" for i in range(VIEWS))])
+        n = len(texts)
+        own = np.fromiter(map(fingerprint, texts), "<u8", n).view("<i8")
+        least = np.array([least_hashes(t) for t in texts], "<u8").reshape(n, 256)
+        sketch = np.where(least > 0, (least >> np.uint64(8)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8)
+        band = least[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)
+        key = np.tile(np.arange(BANDS, dtype="<u8"), (n, 1))
+        for i in range(ROWS):
+            key = _mixed(key + band[:, :, i])
+        full = band.any(2)
+        keys_ = pa.ListArray.from_arrays(pa.array(np.append(0, full.sum(1).cumsum()), pa.int32()), pa.array(key[full].view("<i8")))
+        names = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
+        sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), names, pa.array(own), sketches, keys_], ["doc_id", "text_key", "fp", "sketch", "keys"])
+
+
+def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches share SKETCHED of their filled bins (some five deviations below ALIKE), and those of short texts."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("sketch_u", "sketch_v"))
+        union, common = ((x > 0) | (y > 0)).sum(1), ((x == y) & (x > 0)).sum(1)
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array((common >= SKETCHED * union) | (union < 64)))
 
 
 def shingle_set(text: str) -> frozenset[int]:
@@ -200,81 +223,81 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep))
 
 
-def star_pairs(texts: DataFrame, view: str) -> DataFrame:
-    """(u, v): each text with the first of its fingerprint, and that with the firsts of two fingerprints that share a key.
+def band_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v, times), u > v: texts (uid, keys) that share a key, and how many of these pairs they are.
 
-    Keys are those of an equal and a nearly equal segment, which hold all pairs at two bits and most at three. There are two
-    pairs for each text and key at most, so a large group of copies gives stars, never all of its pairs.
+    Up to FEW texts of a key all pair up. Of more, each pairs with two of them, others for each key, so a large group of
+    copies gives stars, never all of its pairs.
     """
-    first = texts.groupBy(F.col(view).alias("fp")).agg(F.min("uid").alias("first"))
-    same = texts.join(first, texts[view] == first.fp).where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v"))
-    prints = first.select("fp")
-    left, right = (prints.mapInArrow(lambda it, side=side: keyed(it, side, False), "key long, fp long") for side in (True, False))
-    centre = left.groupBy("key").agg(F.array_distinct(F.array(F.min("fp"), F.max("fp"))).alias("c")).select("key", F.explode("c").alias("centre"))
-    near_ = right.join(centre, "key").where((F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= DISTANCE))
-    near_ = near_.select("fp", "centre").distinct()
-    ends = near_.join(first, "fp").select(F.col("first").alias("u"), "centre")
-    return same.unionByName(ends.join(first, ends.centre == first.fp).select("u", F.col("first").alias("v")))
+    keyed_ = texts.select("uid", F.explode("keys").alias("key"))
+    mixed = F.xxhash64("uid", "key")
+    groups = keyed_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("uid", mixed).alias("a"), F.max_by("uid", mixed).alias("b"))
+    shared = stored(keyed_.join(groups.where("n > 1"), "key"))
+    few = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("uid").alias("ids"))
+    few = few.select(F.explode("ids").alias("u"), "ids").select("u", F.explode("ids").alias("v"))
+    many = shared.where(F.col("n") > FEW).select("uid", F.explode(F.array("a", "b")).alias("c"))
+    many = many.select(F.greatest("uid", "c").alias("u"), F.least("uid", "c").alias("v"))
+    return few.unionByName(many).where("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
 
 
 def alike_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): classes of documents linked as in ``near_duplicates`` or by ALIKE shared shingles of WIDE words.
+    """(doc_id, text_key, component_id): classes of documents linked as in ``near_duplicates`` or by ALIKE shared shingles of WIDE words.
 
-    Candidates for the second kind are texts whose word fingerprints, in one of VIEWS views, are linked by Golay keys to a
-    class representative; the texts themselves are then compared, unless their classes are one by then. So a pair of alike texts is found with high probability
-    (see the tests), and no unlike pair is.
+    Candidates for the second kind are texts whose least shingle hashes are equal in one of BANDS bands of ROWS bins; those
+    of like sketches are then compared as texts, unless their classes are one by then. So a pair of alike texts is found
+    with high probability (1 - (1 - ALIKE ** ROWS) ** BANDS or more, where no band is shared by more than FEW texts), and no
+    unlike pair is.
     """
     spark = docs.sparkSession
     ready_workers(spark)
-    views = [f"fp{i}" for i in range(VIEWS)]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = stored(rows.mapInArrow(all_prints, "doc_id long, text_key string, fp long, " + ", ".join(f"{v} long" for v in views)))
-    texts = prints.groupBy("text_key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", *views)])
-    texts = stored(texts.withColumn("uid", F.monotonically_increasing_id()))
+    prints = stored(rows.mapInArrow(all_prints, "doc_id long, text_key string, fp long, sketch binary, keys array<long>"))
+    names_ = prints.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    texts = stored(names_.withColumn("uid", F.monotonically_increasing_id()))
     sure = texts.groupBy("fp").agg(F.min("uid").alias("first"))
     own = links(sure.select("fp"))
     own = own.join(sure, own.u == sure.fp).select(F.col("first").alias("u"), "v")
     own = own.join(sure, own.v == sure.fp).select("u", F.col("first").alias("v"))
     own = own.unionByName(texts.join(sure, "fp").where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v")))
-    own = stored(own)
-    # A text with a fingerprint of an earlier one is in its class already; rows without an id are never named.
-    alone = texts.where("least is not null").join(sure.select(F.col("first").alias("uid")), "uid", "left_semi")
-    alone = stored(alone.select("uid", "least", "text_key", *views))
-    found = [stored(star_pairs(alone.select("uid", v), v)) for v in views]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = every.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    own = stored(own.distinct())
+    # Rows without an id are never named, but their texts link others.
+    every = band_pairs(texts)
     best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "v"))
     every = stored(every.withColumn("place", best).select("u", "v", "place"))
-    ends = every.select(F.col("u").alias("uid")).unionByName(every.select(F.col("v").alias("uid"))).distinct()
-    wanted = alone.join(ends, "uid", "left_semi").select(F.col("least").alias("doc_id"), "uid", "text_key")
-    bodies = rows.join(wanted, "doc_id").where(F.md5(F.encode("text", "UTF-8")) == F.col("text_key")).dropDuplicates(["uid"])
-    bodies = stored(bodies.select("uid", "text"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
+        of = lambda c, what: texts.select(F.col("uid").alias(c), F.col(what).alias(f"{what}_{c}"))
+        near_ = pairs.select("u", "v").join(of("u", "sketch"), "u").join(of("v", "sketch"), "v")
+        near_ = stored(near_.select("u", "v", "sketch_u", "sketch_v").mapInArrow(plausible, "u long, v long"))
+        ends = near_.select(F.col("u").alias("uid")).unionByName(near_.select(F.col("v").alias("uid"))).distinct()
+        wanted = stored(texts.join(ends, "uid", "left_semi").select(F.col("least").alias("_least"), "uid", "text_key"))
+        bodies = rows.join(wanted, rows.doc_id.eqNullSafe(wanted._least)).where(F.md5(F.encode("text", "UTF-8")) == F.col("text_key"))
+        bodies = stored(bodies.dropDuplicates(["uid"]).select("uid", "text"))
+        both = near_.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
         both = both.join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
         return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verified, "u long, v long"))
 
     # Each text with its likeliest partner first; then the pairs between different classes that are left.
-    first = compared(every.where("place = 1"))
+    def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+        of = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        out = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        return out.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+    sure_part = stored(components(own))
+    first = compared(apart(every.where("place = 1"), sure_part))
     part = stored(components(own.unionByName(first)))
-    of = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    left = every.where("place > 1").join(of("u"), "u", "left").join(of("v"), "v", "left")
-    left = left.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    member = components(own.unionByName(first).unionByName(compared(left)))
+    member = components(own.unionByName(first).unionByName(compared(apart(every.where("place > 1"), part))))
     rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "least", F.coalesce("root", "uid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "text_key").join(rooted.join(names, "root").select("text_key", "component_id"), "text_key").select("doc_id", "component_id")
+    return prints.select("doc_id", "text_key").join(rooted.join(names, "root").select("text_key", "component_id"), "text_key").select("doc_id", "text_key", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays, one if several have it.
+    """docs without near-duplicates (``alike_texts``): of each class the row with the smallest id stays, one if several have it.
 
     Rows without an id can't be told apart by it and stay.
     """
-    found = stored(near_duplicates(docs.select("doc_id", "text")))
+    found = stored(alike_texts(docs.select("doc_id", "text")))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")

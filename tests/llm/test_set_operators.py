@@ -389,6 +389,31 @@ def test_alike_texts(spark):
     assert simhash.alike_texts(docs.limit(0)).count() == 0
 
 
+def test_dedup_stage_drops_lightly_edited_copies(spark):
+    rng = np.random.default_rng(5)
+    rows, far = [], 0
+    for k in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        edited = list(base)
+        edited[40], edited[110] = "new", "other"  # 136 of 156 shingles are shared
+        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(edited), "s")]
+        far += (simhash.fingerprint(rows[-1][1]) ^ simhash.fingerprint(rows[-2][1])).bit_count() > simhash.DISTANCE
+    assert far > 10
+    assert sorted(r.doc_id for r in simhash.stage(spark, table(spark, rows), "").collect()) == list(range(0, 60, 2))
+
+
+def test_large_group_of_edited_copies_is_one_class(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = []
+    for i in range(200):
+        edited = list(base)
+        for j in rng.integers(0, 300, 3):
+            edited[j] = f"x{i}"
+        rows.append((i, " ".join(edited), "s"))
+    assert [r.doc_id for r in simhash.stage(spark, table(spark, rows), "").collect()] == [0]
+
+
 def test_release(spark):
     kept = stored(spark.range(5))
     assert kept.count() == 5 and release(spark) > 0 and release(spark) == 0
