@@ -120,7 +120,9 @@ class WordIds:
             return [np.zeros(0, "<u4") for _ in texts]
         starts, ends = split(buf, offsets)
         of = np.searchsorted(starts, offsets)
-        one, two = hashes(text, starts, np.minimum(ends, starts + LONGEST))
+        # Words beyond LONGEST are neither looked up nor remembered: their hashes would be those of their first bytes.
+        long = ends - starts > LONGEST
+        one, two = hashes(text, starts, np.where(long, starts, ends))
         coded = pa.array(one).dictionary_encode()
         which, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
         if len(self.rows) > self.most:
@@ -131,10 +133,10 @@ class WordIds:
         for i, row in enumerate(rows):
             if row is None:
                 j = example[i]
-                rows[i] = self.add(distinct[i], two[j], tokens(text[starts[j] : ends[j]]))
+                rows[i] = self.add(distinct[i], two[j], [] if long[j] else tokens(text[starts[j] : ends[j]]))
         row = np.array(rows, np.int64)[which] if len(which) else np.zeros(0, np.int64)
         # Texts with a word beyond LONGEST, or with two words of one hash, go the plain way.
-        odd = np.flatnonzero((ends - starts > LONGEST) | (self.second[row] != two))
+        odd = np.flatnonzero(long | (self.second[row] != two))
         bad = set((np.searchsorted(of, odd, "right") - 1).tolist())
         size = self.size[row]
         total = np.append(0, np.cumsum(size))

@@ -47,6 +47,17 @@ def test_word_bytes_fuzz():
             assert got is None or bytes(got.tolist()) == "".join(pretokens.WORD_SPLIT.findall(t.lower())).encode()
 
 
+def test_long_words_are_not_remembered_by_their_first_bytes():
+    known = word_bytes.WordIds(100)
+    ids = lambda word: [len(word), word[0]]
+    for run in (b"-", b"x"):
+        one, both = known.encode([run * 40, run * 32], ids)
+        assert one is None and both.tolist() == [32, run[0]]
+        assert known.encode([run * 32 + b" a " + run * 40, run * 32], ids)[1].tolist() == [32, run[0]]
+        later = word_bytes.WordIds(100)
+        assert later.encode([run * 70], ids) == [None] and later.encode([run * 32], ids)[0].tolist() == [32, run[0]]
+
+
 def test_token_counts(spark, texts):
     t = pretokens.tokenizer(pretokens.vocabulary("byte_bpe_50k.json"))
     for extra in (False, True):
