@@ -115,6 +115,20 @@ def test_extraction(spark):
     assert rows[2].text == "" and rows[3].n_chars == 0 and len(rows) == 5
 
 
+@pytest.mark.parametrize("tag", ["svg-icon", "select-menu", "title-bar", "template-x", "object-viewer", "iframe-embed", "script-runner"])
+def test_custom_elements_end_with_their_own_tag(tag):
+    page = Page(f"<article><p>before</p><{tag} class=x>inside</{tag}><p>after</p></article><p>rest")
+    assert blocks(page, np.ones(len(page.tags), bool)) == "before\ninside\nafter\nrest" and tag in page.tags
+
+
+@pytest.mark.parametrize("tag", ["select", "object", "math", "svg", "template"])
+def test_elements_left_open_lose_nothing(tag):
+    page = Page(f"<article><p>before <{tag}><b>x</b> <p>after</p></article><p>rest")
+    assert blocks(page, np.ones(len(page.tags), bool)).split() == ["before", "x", "after", "rest"]
+    page = Page("<p>a<script>b</p><p>c")
+    assert blocks(page, np.ones(len(page.tags), bool)) == "a"
+
+
 def test_trees_hold_on_unseen_layouts():
     model = html_extraction.trained()
     made = [layouts.generated(np.random.default_rng([77, i])) for i in range(150)]
