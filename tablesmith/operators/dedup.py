@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import ISO
-from ..functions.similarity import token_sort_ratio
+from ..functions.similarity import sorted_tokens, token_sort_ratio
 from ..workers import ship
 from .cleaning import data_columns
 from .ledger import ROW_ID
@@ -35,11 +35,37 @@ def strict_columns(df: DataFrame) -> list[str]:
     return [c for c in data_columns(df) if c in typed]
 
 
+def letter_keys(rows: DataFrame, texts: list[str], alike: float) -> DataFrame:
+    """(_id, _k): any two rows that are alike in all texts share a key.
+
+    Keys are of the text of most values, its words sorted. With t = 1 - alike / 100, a pair that is alike leaves all but a
+    share of max(4t / (1 + t), 2t / (1 - t)) of a text's length of its numbered letter pairs in the other, so the rarest
+    so many and one more of both share one. Texts of one or two letters are alike only if equal. Below ALIKE that doesn't
+    hold, and all rows share a key.
+    """
+    if alike < ALIKE:
+        return rows.select(F.col(ROW_ID).alias("_id"), F.lit("").alias("_k"))
+    n = rows.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+    column = texts[max(range(len(texts)), key=lambda i: n[i])]
+    t = 1 - alike / 100
+    lost = max(4 * t / (1 + t), 2 * t / (1 - t))
+    words = rows.select(F.col(ROW_ID).alias("_id"), sorted_tokens(F.col(f"`{column}`")).alias("_t"))
+    whole = words.where("_t is null or length(_t) < 3").select("_id", F.coalesce(F.concat(F.lit("="), "_t"), F.lit("null")).alias("_k"))
+    at = F.explode(F.sequence(F.lit(1), F.length("_t") - 1)).alias("_at")
+    grams = words.where("length(_t) > 2").select("_id", "_t", at).select("_id", F.length("_t").alias("_n"), F.expr("substring(_t, _at, 2)").alias("_g"), "_at")
+    again = F.row_number().over(Window.partitionBy("_id", "_g").orderBy("_at"))
+    grams = grams.select("_id", "_n", F.concat("_g", again.cast("string")).alias("_k"))
+    ranked = grams.join(grams.groupBy("_k").agg(F.count(F.lit(1)).alias("_m")), "_k")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("_m", "_k"))
+    rare = ranked.withColumn("_p", place).where(F.col("_p") <= F.floor(F.col("_n") * lost + 1e-9) + 1)
+    return whole.unionByName(rare.select("_id", "_k"))
+
+
 def near_duplicates(df: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(row_a, row_b, similarity, differs) for pairs of rows with equal strict columns whose differing texts are all alike.
 
-    Rows are joined on their strict values; without any, on the words that their texts begin with. Copies are first made
-    one row, so equal rows never pair up.
+    Rows are joined on their strict values; without any, on the rare letter pairs of one text column (``letter_keys``), which
+    loses no pair. Copies are first made one row, so equal rows never pair up.
     """
     ship(df.sparkSession)
     strict = strict_columns(df)
@@ -47,11 +73,16 @@ def near_duplicates(df: DataFrame, alike: float = ALIKE) -> DataFrame:
     if not texts:
         return df.sparkSession.createDataFrame([], "row_a long, row_b long, similarity double, differs array<string>")
     value = lambda c: F.round(F.col(f"`{c}`"), 9) if dict(df.dtypes)[c] in ("double", "float") else F.trim(F.col(f"`{c}`").cast("string"))
+    rows = df.groupBy(*[F.col(f"`{c}`") for c in data_columns(df)]).agg(F.min(ROW_ID).alias(ROW_ID))
     if strict:
         key = F.to_json(F.struct(*[value(c).alias(f"k{i}") for i, c in enumerate(strict)]), {"ignoreNullFields": "false"})
+        rows = rows.withColumn("_k", key)
     else:
-        key = F.explode(F.array_distinct(F.array(*[F.substring(F.lower(F.trim(F.coalesce(f"`{c}`", F.lit("")))), 1, 3) for c in texts])))
-    rows = df.groupBy(*[F.col(f"`{c}`") for c in data_columns(df)]).agg(F.min(ROW_ID).alias(ROW_ID)).withColumn("_k", key)
+        keys = letter_keys(rows, texts, alike)
+        pair = keys.alias("x").join(keys.alias("y"), (F.col("x._k") == F.col("y._k")) & (F.col("x._id") < F.col("y._id")))
+        pair = pair.select(F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).distinct()
+        both = pair.select("_a", F.explode(F.array("_a", "_b")).alias("_id"), F.concat_ws(",", "_a", "_b").alias("_k")).select("_id", "_k")
+        rows = rows.join(both, rows[ROW_ID] == both._id).drop("_id")
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col(f"a.{ROW_ID}") < F.col(f"b.{ROW_ID}")))
     same = {c: F.trim(F.col(f"a.`{c}`")).eqNullSafe(F.trim(F.col(f"b.`{c}`"))) for c in texts}

@@ -139,6 +139,13 @@ def test_duplicates(spark):
     assert dedup.removed(done, [[4, 5]], "keep").count() == 6
 
 
+def test_near_duplicates_of_texts_alone(spark):
+    names = ["Acme Corporation Ltd", "Ltd Acme Corporation", "Bxrlington Industries", "Burlington Industries", "Zq", "zq.", "Other Words", None]
+    df = spark.createDataFrame(list(enumerate(names)), f"{ROW_ID} long, company string")
+    want = {(0, 1), (2, 3), (4, 5)}
+    assert {(r["row_a"], r["row_b"]) for r in dedup.near_duplicates(df).collect()} == want
+
+
 def test_rules(spark):
     schema = {"zoo": ["animal", "score"]}
     for bad in (rules.Rule("nope", None, "animal"), rules.Rule("force_type", "x", "animal", "text"), rules.Rule("force_type", None, "none", "text"), rules.Rule("force_type", None, "score", "money"), rules.Rule("null_token", None, "animal", " "), rules.Rule("merge_values", None, "animal", "cat", [])):
