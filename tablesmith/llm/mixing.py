@@ -1,7 +1,8 @@
 """Operator 1: mixing sources to target weights by Pfair scheduling, with earliest deadline first.
 
 Rows of a source, in a seeded hash order, form blocks of ``block_rows`` rows; a slot takes one block. Target weights are
-made whole numbers a_s of sum ``period`` (largest remainders). Block k (from 0) of a source may not be placed before slot
+made whole numbers a_s of sum ``period``: their exact common multiple, or by largest remainders if a period is given or the
+exact one is beyond LONGEST; the bound below then holds against the rounded shares. Block k (from 0) of a source may not be placed before slot
 floor(k * period / a_s), its release, and must be before slot ceil((k + 1) * period / a_s), its deadline. Of the released
 blocks the one with the earliest deadline is placed, ties by source name. The shares sum to one, so every deadline is met
 and after any number of slots each source's blocks differ from its target by less than one. At each multiple of ``period``
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
-from math import ceil, floor
+from math import ceil, floor, gcd, lcm
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ REST = "*"
 WEIGHTS = {"src0": 0.2} | {f"src{i}": round(0.8 * (1 + i % 4) / 48, 4) for i in range(1, 20)}
 OTHER = 0.01
 BLOCK_ROWS = 16
-PERIOD = 1000
+LONGEST = 100_000
 PLACE = ("mix_class", "block", "slot", "phase", "release", "deadline", "position")
 
 
@@ -51,6 +52,15 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The least whole numbers in proportion to the weights as written in decimals; of sum LONGEST, rounded, if theirs is greater."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = lcm(*[x.denominator for x in exact.values()])
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()} if 0 < sum(whole.values()) // max(common, 1) <= LONGEST and min(whole.values()) > 0 else shares(weights, LONGEST)
+
+
 def release(k: int, a: int, period: int) -> int:
     return k * period // a
 
@@ -77,11 +87,12 @@ def one_period(a: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[dict]:
     """Until all blocks are placed: the phase's first slot, length, shares, slots of a period, and blocks done before it."""
     done, out, first = dict.fromkeys(blocks, 0), [], 0
     while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
-        a = shares({s: weights[s] for s in left}, period)
+        own = {s: weights[s] for s in left}
+        a = shares(own, period) if period else exact_shares(own)
         p, slots = sum(a.values()), one_period(a)
         place = lambda s, k: k // a[s] * p + slots[s][k % a[s]]  # noqa: B023, E731
         length = min(place(s, n - 1) for s, n in left.items()) + 1
@@ -93,7 +104,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
     return out
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, other: float = OTHER, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, other: float = OTHER, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
     """Rows of docs as one struct ``_doc``, and their place in the mix: the columns of PLACE."""
     weights = dict(WEIGHTS if weights is None else weights) | {REST: other}
     spark = docs.sparkSession

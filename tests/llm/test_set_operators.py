@@ -54,6 +54,19 @@ def test_windows_are_met_and_deviation_is_under_one_block(weights):
     assert len(placed) == sum(blocks.values())
 
 
+def test_production_mix_keeps_to_the_given_weights():
+    weights = mixing.WEIGHTS | {mixing.REST: mixing.OTHER}
+    total = sum(Fraction(str(w)) for w in weights.values())
+    p = mixing.phases(dict.fromkeys(weights, 5000), weights)[0]
+    assert p["period"] == 10268 and p["length"] > 10000
+    order = {p["slots"][s][k % a] + k // a * p["period"]: s for s, a in p["shares"].items() for k in range(p["took"][s])}
+    done = Counter()
+    for t in range(p["length"]):
+        done[order[t]] += 1
+        assert all(abs(done[s] - Fraction(str(w)) * (t + 1) / total) < 1 for s, w in weights.items())
+    assert sum(mixing.exact_shares({"a": 1 / 3, "b": 0.1}).values()) == mixing.LONGEST
+
+
 def test_schedule_is_earliest_deadline_first():
     a = mixing.shares({"x": 5, "y": 3, "z": 2, "w": 0.4}, 60)
     period, done, want = sum(a.values()), dict.fromkeys(a, 0), {s: [] for s in a}
