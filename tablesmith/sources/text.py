@@ -88,7 +88,10 @@ def read_bytes(spark: SparkSession, data: bytes) -> tuple[DataFrame, list[str],
 
 
 def scan(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """A large delimited file as strings with row ids in file order. Only its first rows come to the driver, for the layout."""
+    """A large delimited file as strings with row ids in file order; columns without any cell are left out.
+
+    Only its first rows and the last five come to the driver, for the layout.
+    """
     lines = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(4 * HEAD_ROWS).collect()]
     sep = delimiter("\n".join(lines))
     sample = [r for r in csv.reader(lines, delimiter=sep) if any(c.strip() for c in r)]
@@ -98,15 +101,18 @@ def scan(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bo
     names = column_names(head)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     reader = spark.read.schema(schema).options(sep=sep, quote='"', escape='"', multiLine=multi_line, encoding=encoding, mode="PERMISSIVE")
-    df = reader.csv(path).where(F.coalesce(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names]).isNotNull())
-    # File order: splits by where they begin, rows by the order in which a split is read.
-    placed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
-    starts = placed.groupBy("_f", "_s").agg(F.min("_m").alias("_low")).orderBy("_f", "_s").collect()  # a row for each split
-    order = spark.createDataFrame([(r["_f"], r["_s"], i, r["_low"]) for i, r in enumerate(starts)], "_f string, _s long, _i long, _low long")
-    placed = placed.join(F.broadcast(order), ["_f", "_s"]).withColumn("_at", F.col("_i") * (1 << 33) + (F.col("_m") - F.col("_low")))
-    numbered = gapless(placed.drop("_f", "_s", "_m", "_i", "_low"), "_at", ROW_ID).drop("_at")
-    numbered = numbered.where(F.col(ROW_ID) >= skip)
+    filled = {n: F.trim(F.coalesce(F.col(f"`{n}`"), F.lit(""))) != "" for n in names}
+    df = reader.csv(path).where(F.exists(F.array(*filled.values()), lambda x: x))
+    # File order: splits by where they begin, rows by the order in which a split is read. Rows travel as one struct.
+    row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")
+    placed = df.select(row, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begins"), F.monotonically_increasing_id().alias("at"))
+    starts = placed.groupBy("file", "begins").agg(F.min("at").alias("low")).orderBy("file", "begins").collect()  # a row for each split
+    order = spark.createDataFrame([(r["file"], r["begins"], i, r["low"]) for i, r in enumerate(starts)], "file string, begins long, i long, low long")
+    placed = placed.join(F.broadcast(order), ["file", "begins"]).select("row", (F.col("i") * (1 << 33) + (F.col("at") - F.col("low"))).alias("at"))
+    numbered = gapless(placed, "at").where(F.col("at") >= skip).select(F.col("at").alias(ROW_ID), "row.*")
     last = [[r[n] or "" for n in names] for r in reversed(numbered.orderBy(F.desc(ROW_ID)).limit(FOOT_ROWS).collect())]
     top = numbered.agg(F.max(ROW_ID)).first()[0]
-    out = numbered if top is None else numbered.where(F.col(ROW_ID) <= top - footer_rows(last))
-    return out.select((F.col(ROW_ID) - skip).alias(ROW_ID), *names)
+    body = numbered if top is None else numbered.where(F.col(ROW_ID) <= top - footer_rows(last))
+    any_ = body.agg(F.count(F.lit(1)).alias("rows"), *[F.bool_or(x).alias(f"c{i}") for i, x in enumerate(filled.values())]).first()
+    kept = [n for i, n in enumerate(names) if not any_["rows"] or any_[f"c{i}"]]
+    return body.select((F.col(ROW_ID) - skip).alias(ROW_ID), *[F.col(f"`{n}`") for n in kept])

@@ -6,26 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _late(df: DataFrame, time: str, delay: str | None) -> DataFrame:
-    return df.withWatermark(time, delay) if delay and df.isStreaming else df
+def _windowed(df: DataFrame, time: str, window, keys: list[str], aggs: list[Column], delay: str | None, names: tuple[str, str]) -> DataFrame:
+    """The aggregates by window and key. Watermarks need instants: local times are read as instants and given back as local."""
+    local = dict(df.dtypes)[time] == "timestamp_ntz"
+    if delay and df.isStreaming:
+        df = (df.withColumn(time, F.col(time).cast("timestamp")) if local else df).withWatermark(time, delay)
+    out = df.groupBy(window.alias("_w"), *keys).agg(*aggs)
+    ends = [F.col(f"_w.{e}").cast("timestamp_ntz" if local else "timestamp").alias(n) for e, n in zip(("start", "end"), names, strict=True)]
+    return out.select(*ends, *[F.col(f"`{c}`") for c in out.columns if c != "_w"])
 
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], aggs: list[Column], delay: str | None = None) -> DataFrame:
     """One row for each window of a size, key by key."""
-    out = _late(df, time, delay).groupBy(F.window(time, size).alias("_w"), *keys).agg(*aggs)
-    return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in out.columns if c != "_w"])
+    return _windowed(df, time, F.window(time, size), keys, aggs, delay, ("window_start", "window_end"))
 
 
 def sliding(df: DataFrame, time: str, size: str, step: str, keys: list[str], aggs: list[Column], delay: str | None = None) -> DataFrame:
     """Windows of a size that begin at every step."""
-    out = _late(df, time, delay).groupBy(F.window(time, size, step).alias("_w"), *keys).agg(*aggs)
-    return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[c for c in out.columns if c != "_w"])
+    return _windowed(df, time, F.window(time, size, step), keys, aggs, delay, ("window_start", "window_end"))
 
 
 def sessions(df: DataFrame, time: str, gap: str, keys: list[str], aggs: list[Column], delay: str | None = None) -> DataFrame:
     """Runs of events without a gap, key by key."""
-    out = _late(df, time, delay).groupBy(F.session_window(time, gap).alias("_w"), *keys).agg(*aggs)
-    return out.select(F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), *[c for c in out.columns if c != "_w"])
+    return _windowed(df, time, F.session_window(time, gap), keys, aggs, delay, ("session_start", "session_end"))
 
 
 def files(spark, folder: str, schema, fmt: str = "parquet", files_per_trigger: int = 64) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The package on the executors: Python functions that refer to it must find it there."""
+"""What Spark jobs of this package need of the session: the package on the executors, and numbers of partitions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of input files that a partition is meant to hold at most.
+PARTITION_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -16,3 +19,11 @@ def ship(spark: SparkSession) -> None:
         root = Path(__file__).resolve().parent
         sc._tablesmith_sent = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
         sc.addPyFile(sc._tablesmith_sent)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """spark.sql.shuffle.partitions, or more if the files that df reads would make partitions too large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)  # a leaf of unknown size counts as the largest number there is
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))

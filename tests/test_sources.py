@@ -4,6 +4,7 @@ import zipfile
 import pytest
 
 from tablesmith.operators.ledger import ROW_ID
+from tablesmith.operators.numbering import gapless
 from tablesmith.sources import json_, layout, naming, text, upload, xlsx
 
 
@@ -83,6 +84,25 @@ def test_scan_of_a_large_file_keeps_file_order(spark, tmp_path):
     assert got == [(i, str(i)) for i in range(5000)]
 
 
+def test_scan_with_banner_blank_column_and_clashing_names(spark, tmp_path):
+    body = "".join(f"{i},,x{i},{i % 7}\n" for i in range(900))
+    (tmp_path / "odd.csv").write_text("A report,,,\nrow,at,file,_bucket\n" + body + "Source: me,,,\n")
+    df = text.scan(spark, str(tmp_path / "odd.csv"))
+    assert df.columns == [ROW_ID, "row", "file", "bucket"]
+    assert [tuple(r) for r in df.orderBy(ROW_ID).collect()] == [(i, str(i), f"x{i}", str(i % 7)) for i in range(900)]
+
+
+def test_gapless_with_clashing_names_and_nulls(spark):
+    for by in ("_at", "at", "row", "bucket", "own", "before", "x", "n", "_number"):
+        df = spark.range(300).selectExpr(f"300 - id as `{by}`", *[f"'k' as `{c}`" for c in ("_bucket", "_own", "_n", "_before") if c != by])
+        got = gapless(df, by, "number").orderBy("number").collect()
+        assert [(r["number"], r[by]) for r in got] == [(i, i + 1) for i in range(300)]
+        assert sorted(r[by] for r in gapless(df, by).collect()) == list(range(300))
+    nulls = spark.createDataFrame([(None,), (5,), (None,), (2,)], "a long")
+    assert [r.a for r in gapless(nulls, "a", "n").orderBy("n").collect()] == [2, 5, None, None]
+    assert gapless(nulls.limit(0), "a", "n").count() == 0
+
+
 def test_json(spark):
     df, _, _ = json_.read_bytes(spark, b'[{"id":1,"address":{"city":"X","zip":"9"},"tags":["urgent","vip",null]},{"id":2,"address":{"city":"Y"}},7]')
     assert df.columns[1:] == ["id", "address_city", "address_zip", "tags", "value"]
