@@ -7,15 +7,19 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce, wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..workers import ship
+from ..workers import partitions_for, ship  # noqa: F401 - of this module for the operators
 
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 4096
+HOT_KEYS = 1000
+#: Most bits of a bit table: bounds what is collected and broadcast (16 MB).
+TABLE_BITS = 1 << 27
 _OWN: set[str] = set()
 _PATHS: list[str] = []
 
@@ -26,14 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of this process if unset, as in tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; if unset, in local mode one of this process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/tablesmith-{os.getpid()}"
         if not _OWN:
             atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
         _OWN.add(where)
-        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -45,52 +50,93 @@ def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+def _delete(spark: SparkSession, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(operator):
+    """The operator, which deletes all that it has stored on its way and its results (a frame, or several) don't read."""
+
+    @wraps(operator)
+    def run(*args, **options):
+        before = set(_PATHS)
+        found = operator(*args, **options)
+        frames = [x for x in (found if isinstance(found, tuple) else (found,)) if isinstance(x, DataFrame)]
+        read = {f.rpartition("/")[0].rpartition("/")[2] for x in frames for f in x.inputFiles()}
+        for path in [p for p in _PATHS if p not in before and p.rpartition("/")[2] not in read]:
+            _PATHS.remove(path)
+            _delete(frames[0].sparkSession, path)
+        return found
+
+    return run
+
+
 def release(spark: SparkSession) -> int:
     """Deletes all that ``stored`` has written for this process; results that still read it are lost. Returns how many."""
     n = 0
     while _PATHS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        n += _delete(spark, _PATHS.pop())
     return n
 
 
-def ready_workers(spark: SparkSession, batch_bytes: int = ARROW_BYTES) -> None:
-    """Sends this package to the executors, and bounds what an Arrow batch holds in rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+def ready_workers(spark: SparkSession) -> None:
+    """Sends this package to the executors, and bounds what an Arrow batch holds in rows and bytes.
+
+    The two bounds are settings of the session, always the same; smaller ones of the caller stay. They hold for later plans
+    too, as plans are lazy: results don't depend on them, memory does.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     ship(spark)
 
 
-def spread(*columns: str | Column, buckets: int) -> Column:
-    """A bucket from the top bits of a hash, so that ordering by the hash is ordering by bucket first."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 40).cast("long") * buckets / (1 << 24)
+def bucket_rows(rows: int) -> int:
+    """How many rows a bucket is meant to hold: some hundreds, or the root of all rows if more, so that the table of buckets is small."""
+    return max(300, round(rows**0.5))
 
 
-def bucket_count(rows: int) -> int:
-    """Buckets of about 1000 rows, or the root of the rows if more: tasks and the table of buckets both stay small."""
-    return int(max(1, -(-rows // max(1000, round(rows**0.5)))))
+def bucket_count(rows: int, of: int | None = None) -> int:
+    """Buckets for ``of`` of all rows (default: all)."""
+    return int(max(1, -(-(rows if of is None else of) // bucket_rows(rows))))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], buckets: int, out: str, hashed: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], buckets: int | Column, out: str) -> DataFrame:
     """Adds a gapless number from 0 within keys, without gathering a key's rows in one task.
 
-    Rows are ordered by a hash of ``hashed`` (default ``order``), then by ``order``. Each (key, bucket of the hash)
-    is numbered alone; the counts of earlier buckets, one row a bucket, are added.
+    Rows are ordered by a hash of ``order``, then by ``order``. Each (key, bucket of the hash) is numbered alone; the counts
+    of earlier buckets, one row a bucket, are added. Rows that are NULL in the first of ``order`` are told apart by where
+    they are read, so that many of them, alike in all else, don't meet in one bucket. buckets: a number, or a column that
+    gives it by key.
     """
-    b = f"_{out}_b"
-    d = df.withColumn(b, F.floor(spread(*(hashed or order), buckets=buckets)).cast("int"))
+    b, tie = f"_{out}_b", f"_{out}_t"
+    place = F.when(F.col(order[0]).isNull(), F.monotonically_increasing_id())
+    d = df.withColumn(tie, F.xxhash64(*order, place))
+    part = F.shiftrightunsigned(tie, 40).cast("long") * buckets / (1 << 24)  # of the top bits: by hash is by bucket first
+    d = d.withColumn(b, F.floor(part).cast("int"))
     by = [*keys, b]
-    own = Window.partitionBy(*by).orderBy(F.xxhash64(*(hashed or order)), *order)
+    own = Window.partitionBy(*by).orderBy(tie, *order)
     before = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     left, right = d.withColumn("_own", F.row_number().over(own) - 1).alias("l"), before.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
     kept = [F.col(f"l.`{c}`") for c in df.columns]
-    return left.join(right, on, "left").select(*kept, (F.col("_before") + F.col("_own")).cast("long").alias(out))
+    return left.join(right, reduce(lambda x, y: x & y, same), "left").select(*kept, (F.col("_before") + F.col("_own")).cast("long").alias(out))
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined to keyed, which has a row for each key (or few) and in ``count`` how many rows have the key.
+
+    Keys of a HOT_KEYS-th of all rows or more, which are HOT_KEYS at most, are broadcast; the others are shuffled. So no key's
+    rows meet in one task.
+    """
+    hot = F.col(count) * HOT_KEYS >= total
+    heavy = keyed.where(hot)
+    rest = rows.join(F.broadcast(heavy.select(key).distinct()), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(keyed.where(~hot), key))
 
 
 def utf8(array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,3 +149,25 @@ def utf8(array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
+
+
+class BitTable:
+    """2**bits bits; a hash's top bits say which one is its own."""
+
+    def __init__(self, bits: int, words: np.ndarray, values: np.ndarray) -> None:
+        self.bits, self.table = bits, np.zeros(1 << (bits - 6), "<u8")
+        self.table[words] = values.view("<u8")
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> np.uint64(64 - self.bits)
+        return (self.table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bit_table(df: DataFrame, column: str) -> BitTable:
+    """The table of a column of hashes (long): one row for every 64 bits, or'ed together on the executors."""
+    n = df.agg(F.approx_count_distinct(column)).first()[0]
+    bits = min(TABLE_BITS.bit_length() - 1, max(16, (64 * n).bit_length()))
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    rows = df.groupBy(F.shiftrightunsigned(column, 70 - bits).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    return BitTable(bits, np.asarray(rows["word"], np.int64), np.asarray(rows["bits"], np.int64))

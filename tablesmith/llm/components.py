@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u long, v long); the root is the component's least node.
 

@@ -6,9 +6,13 @@ window must be contained whole, its necessary prefix is its rarest shingle alone
 from the corpus is dropped at once. Candidates are the places of prefix shingles in documents (hash join). The window must
 then start within the document (positional bound), end within it (length bound), and its words must be equal (exact check).
 
-One pass reads the texts. It keeps the places of shingles that a bit table of fixed size says may be in the benchmark,
-each with the few words around it that any window there could cover, so the texts aren't needed again. False positives of
-the table find no partner in the join. The benchmark may be of any size.
+One pass reads the texts. It keeps the places of shingles that a bit table says may be in the benchmark, each with the few
+words around it that any window there could cover, so the texts aren't needed again. The table has 64 bits a shingle, up to
+TABLE_BITS in all; it is made by an aggregate and reaches the driver as no more than TABLE_BITS / 64 numbers. False positives
+find no partner in the join; with a benchmark of far more than TABLE_BITS shingles there are more of them, and results stay.
+
+What a document has hit travels as the number of an item set (the items that share a window), never as lists of items: the
+digest of items is made once for each distinct combination of sets, not for each document.
 
 Nulls: a null text or item text has no words; null item ids don't count as items, but hit; null doc ids keep their rows.
 Repeated items of one id count once, repeated documents each have a row. Empty tables: no rows, or no hits.
@@ -23,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready_workers, stored, table, utf8
+from .common import bit_table, hot_join, ready_workers, stored, table, tidy, utf8
 
 WINDOW = 10
 SHINGLE = 5
-#: Slots of the bit table: bounds what is collected and broadcast, whatever the benchmark's size.
-SLOT_BITS = 24
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -74,10 +76,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view("<u8") >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of each item, with its shingles in order."""
     for b in batches:
@@ -96,12 +94,10 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["item", "window", "size", "shingles"])
 
 
-def places(batches: Iterator[pa.RecordBatch], lengths: list[int], filled) -> Iterator[pa.RecordBatch]:
+def places(batches: Iterator[pa.RecordBatch], lengths: list[int], table_) -> Iterator[pa.RecordBatch]:
     """Each document's number of words, and the places of shingles that may be the benchmark's."""
     from pyspark import TaskContext
 
-    maybe = np.zeros(1 << SLOT_BITS, bool)
-    maybe[filled.value] = True
     row = TaskContext.get().partitionId() << 33
     hit_type = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("near", pa.string())])
     for b in batches:
@@ -111,7 +107,7 @@ def places(batches: Iterator[pa.RecordBatch], lengths: list[int], filled) -> Ite
         hits: list[list[dict]] = [[] for _ in range(b.num_rows)]
         for k in lengths:
             h = w.shingles(k)
-            found = np.flatnonzero(maybe[slots(h)])
+            found = np.flatnonzero(table_.value.maybe(h))
             for at in found[found + k <= last[found]].tolist():
                 d = int(doc[at])
                 a, z = int(w.of[d]), int(w.of[d + 1])
@@ -119,36 +115,43 @@ def places(batches: Iterator[pa.RecordBatch], lengths: list[int], filled) -> Ite
                 hits[d].append({"h": int(h[at].view("<i8")), "at": at - a, "low": low - a, "near": w.words(low, high)})
         rows = np.arange(row, row + b.num_rows)
         row += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(rows), b.column("doc_id"), pa.array(w.n), pa.array(hits, pa.list_(hit_type))], ["row", "doc_id", "n_words", "hits"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows), b.column("id"), pa.array(w.n), pa.array(hits, pa.list_(hit_type))], ["row", "id", "n_words", "hits"])
 
 
-PLACES = "row long, doc_id long, n_words long, hits array<struct<h:long,at:int,low:int,near:string>>"
+PLACES = "row long, id {}, n_words long, hits array<struct<h:long,at:int,low:int,near:string>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+def _item_sets(windows_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(window, size, shingles, set) of distinct windows, and (set, item): the items that share a window have one set's number."""
+    distinct = windows_.groupBy("window", "size", "shingles").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    distinct = distinct.withColumn("set", F.md5(F.to_json("items")))
+    return distinct.drop("items"), distinct.select("set", F.explode("items").alias("item")).distinct()
+
+
+@tidy
+def _judged(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """id, n_words, n_hit, n_items, items_sha256 for every row of rows (id of any type, text without nulls)."""
+    spark = rows.sparkSession
     ready_workers(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = stored(items.mapInArrow(windows, "item string, window string, size int, shingles array<long>"))
-    distinct = items.groupBy("window", "size", "shingles").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    shingles = distinct.select("window", "size", "items", F.posexplode("shingles").alias("offset", "h"))
-    used = shingles.select(F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int").alias("slot")).distinct()
-    filled = spark.sparkContext.broadcast(np.array([r[0] for r in used.collect()], np.int64))  # bounded by SLOT_BITS
-    lengths = sorted(r[0] for r in items.select(F.least("size", F.lit(SHINGLE))).distinct().collect())
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = stored(texts.mapInArrow(lambda it: places(it, lengths, filled), PLACES))
+    items = items.mapInArrow(windows, "item string, window string, size int, shingles array<long>")
+    distinct, sets = map(stored, _item_sets(stored(items)))
+    shingles = distinct.select("window", "size", "set", F.posexplode("shingles").alias("offset", "h"))
+    table_ = spark.sparkContext.broadcast(bit_table(shingles, "h"))  # of bounded size
+    lengths = sorted(r[0] for r in distinct.select(F.least("size", F.lit(SHINGLE))).distinct().collect())  # SHINGLE at most
+    rows = stored(rows.mapInArrow(lambda it: places(it, lengths, table_), PLACES.format(dict(rows.dtypes)["id"])))
     hits = rows.where(F.size("hits") > 0).select("row", "n_words", F.explode("hits").alias("p")).select("row", "n_words", "p.*")
     # Rarity of the benchmark's shingles in the corpus; absent ones rule their windows out.
     rarity = hits.groupBy("h").agg(F.count(F.lit(1)).alias("rarity"))
-    ranked = shingles.join(rarity, "h", "left").groupBy("window", "size", "items")
-    prefix = ranked.agg(F.min_by(F.struct("h", "offset"), F.struct("rarity", "h", "offset")).alias("p"), F.count_if(F.col("rarity").isNull()).alias("absent"))
-    prefix = prefix.where("absent = 0").select("window", "size", "items", "p.h", "p.offset")
+    ranked = shingles.join(rarity, "h", "left").groupBy("window", "size", "set")
+    prefix = ranked.agg(F.min_by(F.struct("h", "offset", "rarity"), F.struct("rarity", "h", "offset")).alias("p"), F.count_if(F.col("rarity").isNull()).alias("absent"))
+    prefix = stored(prefix.where("absent = 0").select("window", "size", "set", "p.*"))
     start = F.col("at") - F.col("offset")
-    found = hits.join(prefix, "h").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    n_places = rows.agg(F.sum(F.size("hits"))).first()[0] or 0
+    found = hot_join(hits, prefix, "h", "rarity", n_places).where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
     inside = F.array_join(F.slice(F.split("near", " "), start - F.col("low") + 1, F.col("size")), " ")
-    found = found.where(inside == F.col("window")).select("row", start.alias("a"), (start + F.col("size")).alias("z"), "items")
-    by_row = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "z"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = found.where(inside == F.col("window")).select("row", start.alias("a"), (start + F.col("size")).alias("z"), "set")
+    by_row = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "z"))).alias("spans"), F.array_sort(F.collect_set("set")).alias("sets"))
     seen = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         "spans",
@@ -156,10 +159,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda s, x: F.struct(F.greatest(s["upto"], x["z"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), x["z"] - F.greatest(s["upto"], x["a"]))).cast("long").alias("n")),
         lambda s: s["n"],
     )
-    by_row = by_row.select("row", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    out = rows.select("row", "doc_id", "n_words").join(by_row, "row", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    by_row = stored(by_row.select("row", covered.alias("n_hit"), "sets", F.md5(F.array_join("sets", ",")).alias("combination")))
+    # Each combination of sets is turned into items and their digest once.
+    combined = by_row.groupBy("combination").agg(F.first("sets").alias("sets"), F.count(F.lit(1)).alias("rows"))
+    digest = combined.select("combination", "rows", F.explode("sets").alias("set")).join(sets, "set", "left").groupBy("combination", "rows")
+    digest = digest.agg(F.array_sort(F.collect_set("item")).alias("items"))
+    digest = stored(digest.select("combination", "rows", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
+    by_row = hot_join(by_row.select("row", "n_hit", "combination"), digest, "combination", "rows", by_row.count())
+    out = rows.select("row", "id", "n_words").join(by_row, "row", "left")
+    none = F.lit(0).cast("long")
+    return out.select("id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text)."""
+    out = _judged(docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), benchmark)
+    return out.withColumnRenamed("id", "doc_id").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +183,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold a window of a benchmark item. Rows without an id are decided by their text alike."""
-    ided = docs.withColumn("_id", F.coalesce(F.col("doc_id"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))))
-    found = contamination(ided.select(F.col("_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct())
-    return ided.join(gone, "_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """docs without those that hold a window of a benchmark item. A row is decided by its text alone, whatever ids it shares."""
+    key = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    found = _judged(docs.select(key.alias("id"), F.coalesce("text", F.lit("")).alias("text")), table(spark, sf_dir, "benchmark"))
+    gone = stored(found.where("n_hit > 0").select(F.col("id").alias("key")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 QUERIES = {"op9_decontamination": op9_decontamination}

@@ -25,7 +25,7 @@ from math import ceil, floor, gcd, lcm
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, numbered, stored, table
+from .common import bucket_count, numbered, partitions_for, table
 
 REST = "*"
 #: Target weights of the production mix: the hot source is held to a fifth.
@@ -110,7 +110,7 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, other: floa
     spark = docs.sparkSession
     named = F.when(F.col("source").isin([w for w in weights if w != REST]), F.col("source")).otherwise(F.lit(REST))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    rows = docs.select(own, named.alias("_class"), F.col("source").alias("_source"), (F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)).alias("_id"))
+    rows = docs.select(own, named.alias("_class"), F.col("source").alias("_source"), (F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")).alias("_id"))
     counts = {r["_class"]: r["count"] for r in rows.groupBy("_class").count().collect()}  # bounded by the parameter
     blocks = {s: ceil(n / block_rows) for s, n in counts.items()}
     plan = phases(blocks, weights, period)
@@ -127,7 +127,9 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, other: floa
             if s in p["shares"] and p["before"][s] + p["took"][s] == blocks[s] and n % block_rows:
                 k = blocks[s] - 1 - p["before"][s]
                 short.append((p["first"] + k // p["shares"][s] * p["period"] + p["slots"][s][k % p["shares"][s]], block_rows - n % block_rows))
-    ranked = numbered(rows, ["_class"], ["_id", "_source"], bucket_count(sum(counts.values())), "_rank")
+    total = sum(counts.values())
+    buckets = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, bucket_count(total, n))])[F.col("_class")] if counts else F.lit(1)
+    ranked = numbered(rows, ["_class"], ["_id", "_source"], buckets, "_rank")
     ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("long"))
     on = (F.col("d._class") == F.col("s._class")) & (F.col("d._block") >= F.col("s._lo")) & (F.col("d._block") < F.col("s._hi"))
     found = ranked.alias("d").join(F.broadcast(schedule).alias("s"), on).drop(F.col("s._class"))
@@ -164,9 +166,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs in the order of the mix: part files, and the rows in them, follow each other by position. No row goes."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed(docs).repartitionByRange(parts, "position").sortWithinPartitions("position").select("_doc.*")
+    """docs in the order of the mix: part files, and the rows in them, follow each other by position. No row goes.
+
+    Positions are gapless, so a row's part is known from its own; nothing is sampled to find ranges.
+    """
+    parts, total = partitions_for(docs), max(docs.count(), 1)
+    part = F.floor(F.col("position") * parts / total).cast("int")
+    return placed(docs).withColumn("_part", part).repartitionById(parts, "_part").sortWithinPartitions("position").select("_doc.*")
 
 
 QUERIES = {"op1_mixing": op1_mixing}

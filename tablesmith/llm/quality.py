@@ -5,8 +5,8 @@ word statistics, and encoded by a small tanh layer. Gated attention, learned fro
 passages; the weighted mean of their codes is scored by a logistic layer. Labels are learned only from rows with
 crc32(doc_id as text) mod 5 <> 0; nothing but the text is an input of a score.
 
-The model is fitted on the driver to at most FIT_DOCS labelled documents (those of least hash) and, of a document in that
-fit, all passages up to FIT_PASSAGES, evenly spread; every document is then scored over all of its passages.
+The model is fitted on the driver to at most FIT_DOCS labelled documents (those of least hash), fewer if the features of
+their passages are beyond FIT_BYTES; of each, all passages. Every document is then scored over all of its passages.
 
 Nulls: a null text is empty; an empty text is one passage of zeros. Labels that are null or not 0 or 1 are not learned
 from; of several labels of a document all are. Null ids keep their rows, as not held out. Empty tables: no rows; without
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready_workers, table, utf8
+from .common import ready_workers, stored, table, utf8
 
 PASSAGE = 48
-FIT_DOCS, FIT_PASSAGES = 4000, 64
+FIT_DOCS, FIT_BYTES = 4000, 64 << 20
 KEEP_AT = 0.3
 CODE, GATE, STEPS, BAGS, RATE, DECAY, SEED = 24, 12, 900, 128, 0.01, 1e-4, 4
 
@@ -168,11 +168,8 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A training document's passages as bytes of half-precision numbers."""
     for b in batches:
         x, base = passages(*utf8(b.column("text")))
-        data = []
-        for i, j in zip(base[:-1], base[1:], strict=True):
-            pick = np.unique(np.linspace(i, j - 1, min(j - i, FIT_PASSAGES)).astype(int))
-            data.append(x[pick].astype("<f2").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(data, pa.binary())], ["label", "data"])
+        data = [x[i:j].astype("<f2").tobytes() for i, j in zip(base[:-1], base[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("place"), b.column("label"), pa.array(data, pa.binary())], ["place", "label", "data"])
 
 
 def held_out(doc_id="doc_id"):
@@ -180,23 +177,35 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled rows to learn from, those of least hash of the id."""
+def fit_data(docs: DataFrame, labels: DataFrame, column: str, most: int, most_bytes: int, featured) -> tuple[np.ndarray, list[bytes]]:
+    """Labels and features of the rows to learn from: at most ``most`` labelled documents, those of least hash of the id.
+
+    Features are made and kept on the executors' side first; of documents in the order of the hash as many come to the driver
+    as have no more than ``most_bytes`` of features. featured: (place, label, text) to (place, label, data).
+    """
     few = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    few = few.select("doc_id", F.col(column).cast("double").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "label").limit(most)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
+    few = few.select(F.xxhash64("doc_id").alias("place"), "doc_id", F.col(column).cast("double").alias("label")).distinct().orderBy("place", "label").limit(most)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("place", "label", "text")
+    rows = stored(rows.mapInArrow(featured, "place long, label double, data binary"))
+    size, last = 0, None
+    for r in rows.groupBy("place").agg(F.sum(F.length("data")).alias("n")).orderBy("place").collect():  # ``most`` at most
+        size += r["n"]
+        if size > most_bytes:
+            break
+        last = r["place"]
+    chosen = rows.where(F.col("place") <= last).collect() if last is not None else []
+    chosen.sort(key=lambda r: (r["place"], r["label"], bytes(r["data"])))
+    return np.array([r["label"] for r in chosen]), [bytes(r["data"]) for r in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame):
     """The model of the labels' column ``quality``."""
-    rows = fit_rows(docs, labels, "quality", FIT_DOCS).select("text", "label").mapInArrow(featured, "label double, data binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["data"])))
-    y = np.array([r["label"] for r in rows])
+    y, data = fit_data(docs, labels, "quality", FIT_DOCS, FIT_BYTES, featured)
     if not len(y) or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 0.5)
-    bags = [np.frombuffer(r["data"], "<f2").reshape(-1, FEATURES) for r in rows]
-    x, base = np.concatenate(bags).astype(np.float64), np.append(0, np.cumsum([len(b) for b in bags]))
-    return Attention(x.mean(0), x.std(0) + 0.05, float(y.mean())).fit(x, base, y)
+    bags = [np.frombuffer(d, "<f2").reshape(-1, FEATURES) for d in data]
+    x, base = np.concatenate(bags, dtype=np.float32, casting="same_kind"), np.append(0, np.cumsum([len(b) for b in bags]))
+    return Attention(x.mean(0, np.float64), x.std(0, np.float64) + 0.05, float(y.mean())).fit(x, base, y)
 
 
 def scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

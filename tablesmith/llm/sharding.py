@@ -19,7 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, numbered, stored, table
+from .common import bucket_count, hot_join, numbered, stored, table, tidy
 
 EXACT_BITS = 16
 LEAF = 512
@@ -102,6 +102,7 @@ def size_class(size):
     return (F.floor((size + unit - 1) / unit) * unit).cast("long")
 
 
+@tidy
 def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of docs (doc_id, text): see the module's docstring."""
     text = F.coalesce("text", F.lit(""))
@@ -124,7 +125,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
     items = stored(
         groups.select("key", "n", "size", "fits", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("fits")).cast("int") - 1)).alias("piece"))
         .withColumn("copies", F.least("fits", F.col("n") - F.col("piece") * F.col("fits")))
-        .select("key", "n", "fits", "piece", size_class(F.col("copies") * F.col("size")).alias("class"))
+        .select("key", "n", "fits", "piece", "copies", size_class(F.col("copies") * F.col("size")).alias("class"))
     )
     classes = [(r["class"], r["n"]) for r in items.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
     runs = pack_into(classes, shards)
@@ -135,15 +136,17 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
     # Bounded: a row for each size class, each with at most a run for each shard.
     where = spark.createDataFrame([(c, x) for c, x in placed.items()], "class long, runs array<struct<upto:long,shard:int>>")
     ranked = numbered(items, ["class"], ["key", "piece"], buckets, "rank")
-    ranked = ranked.join(where, "class").select("key", "piece", F.filter("runs", lambda r: r["upto"] > F.col("rank"))[0]["shard"].alias("shard"))
+    shard = F.filter("runs", lambda r: r["upto"] > F.col("rank"))[0]["shard"].alias("shard")
+    ranked = stored(ranked.join(where, "class").select(F.struct("key", "piece").alias("at"), "copies", shard))
     # Groups over a shard's even share: no more than there are shards.
     large = items.where((F.col("piece") == 0) & (F.col("n") > F.col("fits"))).select("key", "fits")
     split = base.join(F.broadcast(large), "key")
     split = numbered(split, ["key"], ["doc_id", "text_crc32"], buckets, "copy").withColumn("piece", F.floor(F.col("copy") / F.col("fits")).cast("int"))
     whole = base.join(F.broadcast(large), "key", "left_anti").withColumn("piece", F.lit(0))
     cols = ["doc_id", "size", "text_crc32", "key", "piece"]
-    out = whole.select(cols).unionByName(split.select(cols)).join(ranked, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard")
-    return numbered(stored(out), ["shard"], ["doc_id", "text_crc32", "size"], -(-buckets // shards) + 1, "slot")
+    pieces = whole.select(cols).unionByName(split.select(cols)).withColumn("at", F.struct("key", "piece")).drop("key", "piece")
+    out = hot_join(pieces, ranked, "at", "copies", rows).select("doc_id", "size", "text_crc32", "shard")
+    return numbered(stored(out), ["shard"], ["doc_id", "text_crc32", "size"], bucket_count(rows, rows // shards + 1), "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ready_workers, stored, table
+from .common import bit_table, hot_join, partitions_for, ready_workers, stored, table, tidy
 from .components import components
 
 SEED = 42
@@ -130,18 +130,18 @@ def links(fps: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], on).select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v"))
 
 
+@tidy
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every row of docs (doc_id, text)."""
     ready_workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(rows.mapInArrow(fingerprints, "doc_id long, fp long"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(parts))
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).repartition(partitions_for(rows)))
     member = components(links(distinct.select("fp")))
-    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(rooted.join(names, "root").select("fp", "n", "component_id"))
+    return hot_join(rows, named, "fp", "n", named.agg(F.sum("n")).first()[0] or 0).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,13 @@ def all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_ = pa.ListArray.from_arrays(pa.array(np.append(0, full.sum(1).cumsum()), pa.int32()), pa.array(key[full].view("<i8")))
         names = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
         sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), names, pa.array(own), sketches, keys_], ["doc_id", "text_key", "fp", "sketch", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), names, pa.array(own), sketches, keys_], ["doc_id", "h", "text_key", "fp", "sketch", "keys"])
+
+
+def maybe_wanted(batches: Iterator[pa.RecordBatch], table_) -> Iterator[pa.RecordBatch]:
+    """The rows whose h may be in the table."""
+    for b in batches:
+        yield b.filter(pa.array(table_.value.maybe(np.asarray(b.column("h")).view("<u8"))))
 
 
 def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +207,7 @@ def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("sketch_u", "sketch_v"))
         union, common = ((x > 0) | (y > 0)).sum(1), ((x == y) & (x > 0)).sum(1)
-        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array((common >= SKETCHED * union) | (union < 64)))
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("u", "v", "place")], ["u", "v", "place"]).filter(pa.array((common >= SKETCHED * union) | (union < 64)))
 
 
 def shingle_set(text: str) -> frozenset[int]:
@@ -227,21 +233,32 @@ def band_pairs(texts: DataFrame) -> DataFrame:
     """(u, v, times), u > v: texts (uid, keys) that share a key, and how many of these pairs they are.
 
     Up to FEW texts of a key all pair up. Of more, each pairs with two of them, others for each key, so a large group of
-    copies gives stars, never all of its pairs.
+    copies gives stars, never all of its pairs. Nearly all keys have three texts at most, which one aggregate names by their
+    least, greatest and sum; only the texts of the others are looked up.
     """
     keyed_ = texts.select("uid", F.explode("keys").alias("key"))
-    mixed = F.xxhash64("uid", "key")
-    groups = keyed_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("uid", mixed).alias("a"), F.max_by("uid", mixed).alias("b"))
-    shared = stored(keyed_.join(groups.where("n > 1"), "key"))
+    groups = keyed_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("a"), F.max("uid").alias("c"), F.sum("uid").alias("s"))
+    groups = stored(groups.where("n > 1"))
+    # uids are below 2**53 or so: three of them don't overflow a sum.
+    small = groups.where("n <= 3").select(F.explode(F.array(F.struct(F.col("c").alias("u"), F.col("a").alias("v")), *[F.when(F.col("n") == 3, F.struct(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))) for x, y in ((F.col("s") - F.col("a") - F.col("c"), F.col("a")), (F.col("s") - F.col("a") - F.col("c"), F.col("c")))])).alias("p"))
+    small = small.where("p is not null").select("p.*")
+    shared = stored(keyed_.join(groups.where("n > 3").select("key", "n"), "key"))
     few = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("uid").alias("ids"))
     few = few.select(F.explode("ids").alias("u"), "ids").select("u", F.explode("ids").alias("v"))
-    many = shared.where(F.col("n") > FEW).select("uid", F.explode(F.array("a", "b")).alias("c"))
+    large = shared.where(F.col("n") > FEW)
+    mixed = F.xxhash64("uid", "key")
+    chosen = large.groupBy("key").agg(F.min_by("uid", mixed).alias("a"), F.max_by("uid", mixed).alias("b"))
+    many = large.join(chosen, "key").select("uid", F.explode(F.array("a", "b")).alias("c"))
     many = many.select(F.greatest("uid", "c").alias("u"), F.least("uid", "c").alias("v"))
-    return few.unionByName(many).where("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
+    return small.unionByName(few).unionByName(many).where("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
 
 
-def alike_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, component_id): classes of documents linked as in ``near_duplicates`` or by ALIKE shared shingles of WIDE words.
+@tidy
+def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of every row of docs; and (text_key, n, least, root, component_id) of every text.
+
+    n: how many rows have the text; least: their smallest id; root: the number of its class of alike texts; component_id: the
+    smallest id of the class. Texts are linked as in ``near_duplicates`` or by ALIKE shared shingles of WIDE words.
 
     Candidates for the second kind are texts whose least shingle hashes are equal in one of BANDS bands of ROWS bins; those
     of like sketches are then compared as texts, unless their classes are one by then. So a pair of alike texts is found
@@ -251,60 +268,79 @@ def alike_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ready_workers(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = stored(rows.mapInArrow(all_prints, "doc_id long, text_key string, fp long, sketch binary, keys array<long>"))
-    names_ = prints.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    texts = stored(names_.withColumn("uid", F.monotonically_increasing_id()))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    prints = stored(rows.mapInArrow(all_prints, "doc_id long, h long, text_key string, fp long, sketch binary, keys array<long>"))
+    # Rows without an id name no class, but their texts link others.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("least"), "h")).alias("first")
+    texts = prints.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), first, F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    texts = stored(texts.select("text_key", "n", "first.least", "first.h", "fp", "sketch", "keys", F.monotonically_increasing_id().alias("uid")))
     sure = texts.groupBy("fp").agg(F.min("uid").alias("first"))
     own = links(sure.select("fp"))
     own = own.join(sure, own.u == sure.fp).select(F.col("first").alias("u"), "v")
     own = own.join(sure, own.v == sure.fp).select("u", F.col("first").alias("v"))
     own = own.unionByName(texts.join(sure, "fp").where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v")))
     own = stored(own.distinct())
-    # Rows without an id are never named, but their texts link others.
-    every = band_pairs(texts)
+    part = components(own)
+
+    def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+        """The pairs whose classes differ so far."""
+        of = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        out = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        return out.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select(pairs.columns)
+
+    # Each text's likeliest partner has place 1.
     best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "v"))
-    every = stored(every.withColumn("place", best).select("u", "v", "place"))
+    pairs = apart(band_pairs(texts).withColumn("place", best).select("u", "v", "place"), part)
+    of = lambda c: texts.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    pairs = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "place", "sketch_u", "sketch_v")
+    pairs = stored(pairs.mapInArrow(plausible, "u long, v long, place int"))
+    # The texts of these pairs: one row of docs for each, found by a bit table of bounded size, then exactly.
+    ends = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
+    wanted = stored(texts.join(ends, "uid", "left_semi").select("uid", "h", F.col("text_key").alias("_key")))
+    table_ = spark.sparkContext.broadcast(bit_table(wanted, "h"))
+    bodies = rows.select("h", "text").mapInArrow(lambda it: maybe_wanted(it, table_), "h long, text string")
+    bodies = bodies.join(wanted, "h").where(F.md5(F.encode("text", "UTF-8")) == F.col("_key"))
+    bodies = stored(bodies.dropDuplicates(["uid"]).select("uid", "text"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        of = lambda c, what: texts.select(F.col("uid").alias(c), F.col(what).alias(f"{what}_{c}"))
-        near_ = pairs.select("u", "v").join(of("u", "sketch"), "u").join(of("v", "sketch"), "v")
-        near_ = stored(near_.select("u", "v", "sketch_u", "sketch_v").mapInArrow(plausible, "u long, v long"))
-        ends = near_.select(F.col("u").alias("uid")).unionByName(near_.select(F.col("v").alias("uid"))).distinct()
-        wanted = stored(texts.join(ends, "uid", "left_semi").select(F.col("least").alias("_least"), "uid", "text_key"))
-        bodies = rows.join(wanted, rows.doc_id.eqNullSafe(wanted._least)).where(F.md5(F.encode("text", "UTF-8")) == F.col("text_key"))
-        bodies = stored(bodies.dropDuplicates(["uid"]).select("uid", "text"))
-        both = near_.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
+        both = pairs.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
         both = both.join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
         return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verified, "u long, v long"))
 
     # Each text with its likeliest partner first; then the pairs between different classes that are left.
-    def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
-        of = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        out = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
-        return out.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-
-    sure_part = stored(components(own))
-    first = compared(apart(every.where("place = 1"), sure_part))
-    part = stored(components(own.unionByName(first)))
-    member = components(own.unionByName(first).unionByName(compared(apart(every.where("place > 1"), part))))
-    rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "least", F.coalesce("root", "uid").alias("root"))
+    own = own.unionByName(compared(pairs.where("place = 1")))
+    own = own.unionByName(compared(apart(pairs.where("place > 1"), components(own))))
+    member = components(own)
+    rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "n", "least", F.coalesce("root", "uid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "text_key").join(rooted.join(names, "root").select("text_key", "component_id"), "text_key").select("doc_id", "text_key", "component_id")
+    return stored(prints.select("doc_id", "text_key")), stored(rooted.join(names, "root").select("text_key", "n", "least", "root", "component_id"))
+
+
+def alike_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, component_id) for every row of docs (doc_id, text): see ``alike_classes``."""
+    rows, classes = alike_classes(docs)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return hot_join(rows, classes, "text_key", "n", total).select("doc_id", "text_key", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without near-duplicates (``alike_texts``): of each class the row with the smallest id stays, one if several have it.
+    """docs without near-duplicates (``alike_classes``): of each class one row stays, that of the smallest id.
 
-    Rows without an id can't be told apart by it and stay.
+    Rows are told apart by id and text: rows of one id and different texts are decided each by its own class. If no row of a
+    class has an id, one of its rows stays; so does one of several that are alike in id and text.
     """
-    found = stored(alike_texts(docs.select("doc_id", "text")))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    rows, classes = alike_classes(docs.select("doc_id", "text"))
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key")).alias("k"))
+    kept = stored(kept.select(F.col("k.least").alias("_id"), F.col("k.text_key").alias("_key")))
+    again = rows.join(kept, rows.doc_id.eqNullSafe(kept._id) & (rows.text_key == kept._key), "left_semi")
+    again = stored(again.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("key"))
+    same = lambda x, y: x.id.eqNullSafe(y._id) & (x.key == y._key)
+    out = own.join(kept, same(own, kept), "left_semi")
     if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id", "left_anti")
-    return once.select(docs.columns).unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+        return out.select("row.*")
+    once = out.join(again, same(out, again), "left_anti")
+    return once.select("row.*").unionByName(out.join(again, same(out, again), "left_semi").dropDuplicates(["id", "key"]).select("row.*"))
 
 
 QUERIES = {"op8_simhash": op8_simhash}

@@ -1,13 +1,14 @@
 """Operator 6: toxicity by a classifier chain of linear models.
 
-Categories are predicted one after the other: ``insult`` (abuse in plain words of INSULTS), ``implicit`` (abuse without
-them), then ``toxic`` as a whole. Each is a logistic model over the presence of hashed words and word beginnings in the
-text, and over the probabilities of all earlier categories. For its training those are out-of-fold: each row's come from
-models that were fitted without that row's fold. The word list only divides the training label into categories; it is no
-feature, and the models find their own words.
+Categories are predicted one after the other: KINDS kinds of toxicity, then ``toxic`` as a whole. The kinds are learned: the
+labelled table only says toxic or not, so the toxic training rows are grouped by the features that tell them from others
+(spherical k-means), the commonest kind first. Each category is a logistic model over the hashed words and word beginnings
+of the text, each at several levels of how often it occurs, and over the probabilities of all earlier categories. For its
+training those are out-of-fold: each row's come from models that were fitted without that row's fold.
 
 Models are fitted on the driver to at most FIT_DOCS labelled documents (those of least hash, not held out as in the quality
-operator); of each, whole texts. Every document is then scored over its whole text.
+operator), fewer if their features are beyond FIT_BYTES; of each, whole texts. Every document is then scored over its whole
+text.
 
 Nulls: a null text is empty and gets the models' base rates. Labels that are null or not 0 or 1 are not learned from. Null
 ids keep their rows. Empty tables: no rows; a category without training rows of both kinds has its share as its constant.
@@ -24,18 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import ready_workers, table, utf8
 from .decontamination import _K, _MASK, Words, _mix
-from .quality import _sigmoid, fit_rows, held_out
+from .quality import _sigmoid, fit_data, held_out
 
-FIT_DOCS, FOLDS, SPACE_BITS = 6000, 4, 20
-#: Features that a model keeps, by the strength of their tie to its label.
-KEPT = 3000
-STEPS, RATE, RIDGE = 150, 0.2, 2e-3
+FIT_DOCS, FIT_BYTES, FOLDS, SPACE_BITS = 6000, 64 << 20, 4, 21
+#: Features that a model keeps, by the strength of their tie to its label; training texts that a feature must be in.
+KEPT, LEAST_DOCS = 300, 3
+STEPS, RATE, RIDGE = 150, 0.2, 1e-2
 FLAG_AT = 0.3
-CATEGORIES = ("insult", "implicit", "toxic")
-#: Lengths in bytes of the word beginnings.
-BEGINNINGS = (4, 5, 6, 8)
-#: Plain insults.
-INSULTS = ("clown", "disgusting", "dumb", "fool", "freak", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
+KINDS, STARTS, ROUNDS = 3, 8, 12
+CATEGORIES = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxic")
+#: Lengths in bytes of the word beginnings; how often a feature occurs at least, in all and by words of the text, for each level.
+BEGINNINGS = (4, 5, 6, 7, 8)
+LEVELS = ((1, 0.0), (2, 0.0), (2, 1 / 64), (4, 1 / 128))
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -51,15 +52,67 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def present(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the features in each text, each once. chosen: a table of the features to look for."""
+    """(text, feature at a level) of the features in each text, by text. chosen: a table of the features to look for.
+
+    A feature's number times the number of levels, plus a level's place, is the feature at that level.
+    """
     w = Words(raw, offsets)
     word, feature = features(w)
     if chosen is not None:
         hit = chosen[feature]
         word, feature = word[hit], feature[hit]
     text = np.searchsorted(w.of, word, "right") - 1
-    pair = np.unique(text << SPACE_BITS | feature)
-    return pair >> SPACE_BITS, pair & ((1 << SPACE_BITS) - 1)
+    pair, count = np.unique(text << SPACE_BITS | feature, return_counts=True)
+    text, feature = pair >> SPACE_BITS, pair & ((1 << SPACE_BITS) - 1)
+    at = [np.flatnonzero((count >= least) & (count >= share * w.n[text])) for least, share in LEVELS]
+    texts, levels = np.concatenate([text[i] for i in at]), np.concatenate([feature[i] * len(LEVELS) + k for k, i in enumerate(at)])
+    order = np.lexsort((levels, texts))
+    return texts[order], levels[order]
+
+
+def common(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, place, ids): the features of LEAST_DOCS texts or more, numbered by their place among them; ids: by place."""
+    ids, place, count = np.unique(feature, return_inverse=True, return_counts=True)
+    enough = count >= LEAST_DOCS
+    keep = enough[place]
+    return doc[keep], (np.cumsum(enough) - 1)[place[keep]], ids[enough]
+
+
+def ties(doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How strongly each feature is tied to the label: a log-likelihood ratio of its presence, times the difference in presence."""
+    n1, n0, size = y.sum(), (1 - y).sum(), int(feature.max(initial=-1)) + 1
+    has1, has0 = np.bincount(feature, y[doc], size), np.bincount(feature, 1 - y[doc], size)
+    p1, p0 = (has1 + 0.5) / (n1 + 1), (has0 + 0.5) / (n0 + 1)
+    return np.where(has1 + has0 >= LEAST_DOCS, (p1 - p0) * np.log(p1 / p0), 0)
+
+
+def kinds(doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[row, kind]: which kind each toxic row is of, by spherical k-means over the KEPT features most tied to the label."""
+    out = np.zeros((len(y), KINDS))
+    rows = np.flatnonzero(y)
+    if not len(rows) or len(rows) == len(y):
+        return out
+    tie = ties(doc, feature, y)
+    ids = np.sort(np.argsort(-tie, kind="stable")[:KEPT])
+    if not len(ids):
+        return out
+    at = np.minimum(np.searchsorted(ids, feature), len(ids) - 1)
+    hit = (ids[at] == feature) & (y[doc] > 0)
+    x = np.zeros((len(rows), len(ids)), np.float32)
+    x[np.searchsorted(rows, doc[hit]), at[hit]] = tie[ids[at[hit]]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    rng, best, own = np.random.default_rng(KINDS), -1.0, None
+    for _ in range(STARTS):
+        c = x[rng.choice(len(x), KINDS, replace=len(x) < KINDS)]
+        for _ in range(ROUNDS):
+            near = np.argmax(x @ c.T, 1)
+            c = np.stack([x[near == k].sum(0) if (near == k).any() else c[k] for k in range(KINDS)])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        if (good := float((x @ c.T).max(1).sum())) > best:
+            best, own = good, np.argmax(x @ c.T, 1)
+    order = np.argsort(-np.bincount(own, minlength=KINDS), kind="stable")
+    out[rows, np.argsort(order)[own]] = 1
+    return out
 
 
 class Linear:
@@ -71,13 +124,9 @@ class Linear:
             self.constant = float(y.mean()) if len(y) else 0.0
             self.ids, self.w, self.v, self.d = np.zeros(0, np.int64), np.zeros(0), np.zeros(dense.shape[1]), 0.0
             return
-        # The tie of a feature to the label: a signed log-likelihood ratio of its presence.
         n1, n0 = y.sum(), (1 - y).sum()
-        has1 = np.bincount(feature, y[doc], 1 << SPACE_BITS)
-        has0 = np.bincount(feature, 1 - y[doc], 1 << SPACE_BITS)
-        p1, p0 = (has1 + 0.5) / (n1 + 1), (has0 + 0.5) / (n0 + 1)
-        tie = np.where(has1 + has0 >= 3, np.abs(p1 - p0) * np.abs(np.log(p1 / p0)), 0)
-        ids = np.argpartition(-tie, KEPT)[:KEPT]
+        tie = ties(doc, feature, y)
+        ids = np.argsort(-tie, kind="stable")[:KEPT]
         self.ids = np.sort(ids[tie[ids] > 0])
         at = np.searchsorted(self.ids, feature)
         hit = self.ids[np.minimum(at, len(self.ids) - 1)] == feature if len(self.ids) else np.zeros(len(feature), bool)
@@ -105,10 +154,12 @@ class Linear:
 
 
 class Chain:
-    """Models of CATEGORIES in order; each sees the probabilities of those before it."""
+    """Models of CATEGORIES in order; each sees the probabilities of those before it. toxic: the label of each training row."""
 
-    def __init__(self, doc: np.ndarray, feature: np.ndarray, labels: np.ndarray) -> None:
-        n = len(labels)
+    def __init__(self, doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> None:
+        n = len(toxic)
+        doc, feature, ids = common(doc, feature)
+        labels = np.column_stack([kinds(doc, feature, toxic), toxic]).reshape(n, len(CATEGORIES))
         fold = np.random.default_rng(6).permutation(n) % FOLDS
         self.models, dense = [], np.zeros((n, 0))
         for c in range(len(CATEGORIES)):
@@ -124,7 +175,8 @@ class Chain:
             dense = np.column_stack([dense, outside])
         self.chosen = np.zeros(1 << SPACE_BITS, bool)
         for m in self.models:
-            self.chosen[m.ids] = True
+            m.ids = ids[m.ids]
+            self.chosen[m.ids // len(LEVELS)] = True
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc, feature = present(raw, offsets, self.chosen)
@@ -140,20 +192,16 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, feature = present(*utf8(b.column("text")))
         cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
         data = [feature[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("label"), b.column("plain"), pa.array(data, pa.binary())], ["label", "plain", "data"])
+        yield pa.RecordBatch.from_arrays([b.column("place"), b.column("label"), pa.array(data, pa.binary())], ["place", "label", "data"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     """The chain for the labels' column ``toxic``."""
-    plain = F.lower("text").rlike(rf"\b({'|'.join(INSULTS)})\b")
-    rows = fit_rows(docs, labels, "toxic", FIT_DOCS).select("text", "label", plain.alias("plain"))
-    rows = rows.mapInArrow(featured, "label double, plain boolean, data binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["data"])))
-    toxic, has = np.array([r["label"] for r in rows]), np.array([r["plain"] for r in rows], bool)
-    data = [np.frombuffer(r["data"], "<i4") for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(d) for d in data]).astype(np.int64)
-    feature = np.concatenate([np.zeros(0, np.int32), *data]).astype(np.int64)
-    return Chain(doc, feature, np.column_stack([toxic * has, toxic * ~has, toxic]).reshape(len(rows), len(CATEGORIES)))
+    toxic, data = fit_data(docs, labels, "toxic", FIT_DOCS, FIT_BYTES, featured)
+    found = [np.frombuffer(d, "<i4") for d in data]
+    doc = np.repeat(np.arange(len(toxic)), [len(d) for d in found]).astype(np.int64)
+    feature = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int64)
+    return Chain(doc, feature, toxic)
 
 
 def scored(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.RecordBatch]:
@@ -163,7 +211,7 @@ def scored(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.RecordBatch]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, insult, implicit, toxic (probabilities), predicted for every row of docs (doc_id, text)."""
+    """doc_id, the probabilities of CATEGORIES, predicted for every row of docs (doc_id, text)."""
     ready_workers(docs.sparkSession)
     chain = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # some MB, set by KEPT and SPACE_BITS
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

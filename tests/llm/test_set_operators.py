@@ -226,10 +226,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def kept_rows(spark, stage, rows, folder=""):
+    """(doc_id, text) of the rows that a stage keeps, given columns of clashing names; all of which come back as they were."""
+    docs = clashing(table(spark, rows)).selectExpr("*", "'keepme' as _id", "'k' as id", "0 as n", "1L as h", "'x' as _key", "2 as _part")
+    out = stage(spark, docs, folder)
+    assert out.columns == docs.columns
+    back = out.collect()
+    assert all(r["_id"] == "keepme" and r["id"] == "k" and r["_key"] == "x" and r["_part"] == 2 and r["at"] == 1 for r in back)
+    return sorted(((r.doc_id, r.text) for r in back), key=str)
+
+
 def test_dedup_stage(spark):
-    rows = [(4, "a b c d", "s"), (2, "a b c d", "s"), (9, "other words are here", "s"), (9, "other words are here", "s"), (None, "a b c d", "s"), (1, None, "s"), (3, "", "s")]
-    out = simhash.stage(spark, table(spark, rows), "")
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "9", "None"] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    other = "other words are here"
+    rows = [(4, "a b c d", "s"), (2, "a b c d", "s"), (9, other, "s"), (9, other, "s"), (None, "a b c d", "s"), (None, "just a null", "s"), (None, "just a null", "s"), (1, None, "s"), (3, "", "s")]
+    rows += [(2, "one text of id two", "s"), (9, "a b c d", "s"), (5, "one text of id two", "s")]
+    want = [(2, "a b c d"), (9, other), (None, "just a null"), (1, None), (2, "one text of id two")]
+    assert kept_rows(spark, simhash.stage, rows) == sorted(want, key=str)
+    nulls = [(None, t, "s") for t in ("x y z", "x y z", "p q r s", None, "")]
+    assert sorted(t or "" for _, t in kept_rows(spark, simhash.stage, nulls)) == ["", "p q r s", "x y z"]
     assert simhash.stage(spark, table(spark, rows).limit(0), "").count() == 0
 
 
@@ -279,6 +293,34 @@ def test_contamination(spark):
     assert decontamination.contamination(table(spark, docs).limit(0), bench).count() == 0
 
 
+def test_decontamination_stage_decides_by_text(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(1, "clean words only", "s"), (1, f"see {item}", "s"), (None, item, "s"), (None, "clean", "s"), (2, None, "s"), (3, " ".join(item.split()[3:13]), "s"), (3, " ".join(item.split()[3:12]), "s"), (4, "clean words only", "s")]
+    want = [(1, "clean words only"), (None, "clean"), (2, None), (3, " ".join(item.split()[3:12])), (4, "clean words only")]
+    assert kept_rows(spark, decontamination.stage, rows, f"file://{tmp_path}") == sorted(want, key=str)
+
+
+def test_items_without_ids_hit_and_do_not_count(spark):
+    words = " ".join(f"v{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, words), (None, "v1 " + words)], "item_id long, text string")
+    got = decontamination.contamination(table(spark, [(1, words, "s"), (2, "v3", "s")]), bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(12, 0, True), (0, 0, False)]
+
+
+def test_mixing_and_quality_stages_keep_clashing_columns(spark):
+    rows = [(i % 7 if i % 5 else None, None if i % 11 == 0 else f"text {i}", f"src{i % 3}") for i in range(90)]
+    assert kept_rows(spark, mixing.stage, rows) == sorted(((i, t) for i, t, _ in rows), key=str)
+
+
+def test_numbers_are_gapless_for_rows_alike(spark):
+    rows = [(None, "same", "src0") for _ in range(3000)] + [(1, "same", "src0")] * 20
+    out = mixing.mix(table(spark, rows)).toPandas()
+    assert sorted(out.position) == list(range(3020))
+    shards = sharding.shard_documents(table(spark, rows), 4, 16).toPandas()
+    assert len(shards) == 3020 and all(sorted(x) == list(range(len(x))) for _, x in shards.groupby("shard").slot)
+
+
 # 10: edit embedding
 
 

@@ -219,5 +219,5 @@ def test_chain_links_are_out_of_fold(monkeypatch):
 
     monkeypatch.setattr(toxicity.Linear, "__init__", spy)
     rng = np.random.default_rng(0)
-    toxicity.Chain(np.repeat(np.arange(40), 5), rng.integers(0, 50, 200), (rng.random((40, 3)) < 0.5).astype(float))
-    assert seen == [(x, c) for c in range(3) for x in (*[30] * toxicity.FOLDS, 40)]
+    toxicity.Chain(np.repeat(np.arange(40), 5), rng.integers(0, 20, 200), (rng.random(40) < 0.5).astype(float))
+    assert seen == [(x, c) for c in range(len(toxicity.CATEGORIES)) for x in (*[30] * toxicity.FOLDS, 40)]
