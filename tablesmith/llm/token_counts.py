@@ -1,12 +1,14 @@
 """Operator 2: token counts from pre-tokens, each distinct one counted once, no ids of documents materialised.
 
-1. A block is one Arrow batch of documents (bounded in rows and bytes). Its texts are split into pre-tokens, and the
+1. A block is a few Arrow batches of documents (bounded in rows and bytes). Its texts are split into pre-tokens, and the
    block's per-document frequencies are turned around: for each distinct pre-token, the documents that hold it and how often.
    Pre-tokens that are themselves an entry of the vocabulary (a table bounded by the vocabulary's size) and those that a
    1/HOT part of the block's documents share are settled in the block, so that no very common one crosses the network.
-2. The rest are hash partitioned by pre-token. All rows of a pre-token meet in one task, which counts its pieces once and
-   joins the count to its frequencies; what leaves the task is a sum for each document of a block.
-3. Sums are partitioned by block and added.
+2. The rest are hash partitioned and sorted by pre-token. All rows of a pre-token follow each other in one task, which counts
+   its pieces once and joins the count to its frequencies; what leaves the task is a sum for each document of a block.
+3. Sums are partitioned and sorted by block, and added block by block.
+
+No task remembers more than a batch, a block, or the sums of OPEN_BLOCKS blocks, however large its partition is.
 
 A text with a special string is split there first, as the library does by default; each such string is one token.
 Nulls: a null text is empty (0 bytes, 0 tokens); a null id keeps its row. Repeated rows each get a row. Empty table: no rows.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready_workers, table
+from .common import partitions_for, ready_workers, table
 from .pretokens import byte_pretokens, tokenizer, vocabulary
 
 HOT = 64
@@ -68,12 +70,26 @@ def segments(text: str, marks: tuple[str, ...]) -> list[str]:
     return parts
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to BLOCK_BYTES or 2**ORD_BITS rows."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        for part in (b.slice(i, 1 << ORD_BITS) for i in range(0, b.num_rows, 1 << ORD_BITS)):
+            if held and (rows + part.num_rows > 1 << ORD_BITS or size + part.nbytes > BLOCK_BYTES):
+                yield pa.concat_batches(held)
+                held, rows, size = [], 0, 0
+            held.append(part)
+            rows, size = rows + part.num_rows, size + part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def invert(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Step 1: a row with the documents of each pre-token of a block, and one with the block's documents (no pre-token)."""
     from pyspark import TaskContext
 
     known, marks = entries(path), specials(path)
-    for at, b in enumerate(p for b in batches for p in (b.slice(i, 1 << ORD_BITS) for i in range(0, b.num_rows, 1 << ORD_BITS))):
+    for at, b in enumerate(blocks(batches)):
         n = b.num_rows
         block = (TaskContext.get().partitionId() << 32) | at
         seen, found, base = Ids(), [], np.zeros(n, np.int64)
@@ -115,7 +131,7 @@ def invert(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 
 def joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Step 2: counts each pre-token of this partition once; sums by (block, document)."""
+    """Step 2: counts each pre-token of this partition once; sums by (block, document). Rows come sorted by pre-token."""
     counts: dict[str, int] = {}
     sums: dict[int, np.ndarray] = {}
     schema = pa.schema([("block", pa.int64()), ("docs", pa.bool_()), ("payload", pa.binary())])
@@ -130,9 +146,10 @@ def joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
     for b in batches:
         words, blocks, payloads = b.column("pretoken").to_pylist(), b.column("block").to_pylist(), b.column("payload").to_pylist()
-        new = [w for w in dict.fromkeys(words) if w is not None and w not in counts]
-        if new:
-            counts.update(zip(new, pieces(new, path).tolist(), strict=True))
+        own = [w for w in dict.fromkeys(words) if w is not None]
+        new = [w for w in own if w not in counts]
+        # Only the last pre-token of a batch can go on in the next.
+        counts = {w: counts[w] for w in own if w in counts} | dict(zip(new, pieces(new, path).tolist() if new else [], strict=True))
         info = [i for i, w in enumerate(words) if w is None]
         if info:
             yield pa.RecordBatch.from_arrays([pa.array([blocks[i] for i in info], pa.int64()), pa.array([True] * len(info)), pa.array([payloads[i] for i in info], pa.binary())], schema=schema)
@@ -155,32 +172,40 @@ def joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: the rows of this partition's blocks; a block is no larger than an Arrow batch of documents."""
-    sums: dict[int, np.ndarray] = {}
-    docs: dict[int, np.ndarray] = {}
+    """Step 3: the documents of each block with their sums. Rows come sorted by block; a block is no larger than in step 1."""
+    at, info, sums = None, None, np.zeros(1 << ORD_BITS, np.int64)
+
+    def out():
+        ids, valid, n_bytes, base = info
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n_bytes), pa.array(base + sums[: len(base)])], ["doc_id", "n_bytes", "n_tokens"])
+
     for b in batches:
         for block, is_docs, payload in zip(*(b.column(c).to_pylist() for c in ("block", "docs", "payload")), strict=True):
+            if block != at:
+                if at is not None:
+                    yield out()
+                at, info = block, None
+                sums[:] = 0
             if is_docs:
-                docs[block] = np.frombuffer(payload, "<i8").reshape(4, -1)
+                info = np.frombuffer(payload, "<i8").reshape(4, -1)
             else:
                 i, v = np.frombuffer(payload, "<i8").reshape(2, -1)
-                np.add.at(sums.setdefault(block, np.zeros(1 << ORD_BITS, np.int64)), i, v)
-    for block, (ids, valid, n_bytes, base) in docs.items():
-        n = base + sums[block][: len(base)] if block in sums else base
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n_bytes), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
+                np.add.at(sums, i, v)
+    if at is not None:
+        yield out()
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text). path: a byte-level tokenizer file."""
     path = path or vocabulary("byte_bpe_50k.json")
     spark = docs.sparkSession
-    ready_workers(spark, BLOCK_BYTES)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready_workers(spark)
+    parts = partitions_for(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     rows = rows.mapInArrow(lambda it: invert(it, path), "block long, key int, pretoken string, payload binary")
-    rows = rows.repartition(parts, "key").mapInArrow(lambda it: joined(it, path), "block long, docs boolean, payload binary")
-    rows = rows.repartition(parts, "block").mapInArrow(added, "doc_id long, n_bytes long, n_tokens long")
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "pretoken").mapInArrow(lambda it: joined(it, path), "block long, docs boolean, payload binary")
+    rows = rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(added, "doc_id long, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
