@@ -5,7 +5,7 @@ file a range: ``doc_id, part, at, ids``. The ids are an ORC integer column (run-
 stripes are split points for parallel readers; row indexes and a Bloom filter on doc_id let a reader skip stripes and row
 groups from metadata. Token offsets come from the files: each range's total first, then within the range.
 
-Nulls: a null text is empty (the end id alone); null ids sort first. Rows of equal id follow each other by text. Empty
+Nulls: a null text is empty (the end id alone); null ids sort first, in the order they are read. Rows of equal id follow each other by text. Empty
 table: no rows.
 """
 
@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ready_workers, stored, table
+from .common import partitions_for, ready_workers, stored, table
 from .pretokens import NOT_PLAIN, tokenizer, vocabulary
 from .word_bytes import WordIds
 
@@ -96,7 +96,10 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = END_ID, or
     order = order or ["doc_id"]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order) if c != "doc_id"])
     by = ["doc_id" if c == "doc_id" else f"_{i}" for i, c in enumerate(order)]
-    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, "text").select("doc_id", "text")
+    # Rows without an id could be many, and would be one range: they are told apart by where they are read.
+    rows = rows.withColumn("_tie", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    by.append("_tie")
+    rows = rows.repartitionByRange(partitions_for(docs), *by).sortWithinPartitions(*by, "text").select("doc_id", "text")
     return stored(rows.mapInArrow(lambda it: encoded(it, path, end), FILE_COLUMNS), "orc", **ORC)
 
 
