@@ -28,7 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ready_workers, table
+from .common import partitions_for, ready_workers, table
 
 SAMPLES = 128
 BITS = 4
@@ -36,6 +36,7 @@ SEED = 10
 #: Character classes and times of the shared random bits; both repeat beyond that.
 CLASSES, PERIOD = 64, 4096
 BATCH_CHARS = 6 << 20
+RANGES = 8
 ALONE = 48  # so few texts left walk one by one
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -195,27 +196,33 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """OUT for every row of docs (doc_id, text), in descending order of ids: see the module's docstring."""
+    """OUT for every row of docs (doc_id, text), in descending order of ids: see the module's docstring.
+
+    Ids are cut into ranges, several for each task; a task gets ranges that follow each other and hold its share of the bytes.
+    """
     spark = docs.sparkSession
     ready_workers(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     wide = rows.withColumn("_at", F.col("doc_id").cast("double"))
-    buckets = 4 * parts
-    cuts = sorted(set(wide.approxQuantile("_at", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) or [0.0]
+    n = RANGES * parts
+    cuts = sorted(set(wide.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n))) or [0.0]
     bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_b", handleInvalid="keep").transform(wide)
-    nulls = -1 - F.pmod(F.xxhash64("text"), F.lit(buckets))
+    nulls = -1 - F.pmod(F.xxhash64("text"), F.lit(n))
     bucketed = bucketed.select("doc_id", "text", F.when(F.col("doc_id").isNull(), nulls).otherwise(F.col("_b").cast("long")).alias("bucket"))
-    # A row for each bucket, of a number that is set by the partitions.
-    heads = bucketed.groupBy("bucket").agg(F.max("doc_id").alias("first"))
-    after = Window.orderBy(F.desc("bucket"))
-    ring = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = heads.select("bucket", F.coalesce(F.lead("bucket").over(after), F.max("bucket").over(ring)).alias("next"))
-    on = (F.col("d.bucket") == F.col("h.bucket")) & F.col("d.doc_id").eqNullSafe(F.col("h.first"))
-    firsts = bucketed.alias("d").join(F.broadcast(heads).alias("h"), on).groupBy("d.bucket").agg(F.min("d.text").alias("text"))
-    tails = nxt.join(firsts.withColumnRenamed("bucket", "next"), "next").select(F.lit(None).cast("long").alias("doc_id"), "text", "bucket", F.lit(True).alias("tail"))
-    every = bucketed.withColumn("tail", F.lit(False)).unionByName(tails)
-    every = every.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
+    # A row for each range, of a number that is set by the partitions.
+    heads = bucketed.groupBy("bucket").agg(F.max("doc_id").alias("first"), F.sum(F.octet_length("text") + 64).alias("bytes")).collect()
+    heads = sorted(heads, reverse=True, key=lambda r: r["bucket"])
+    total, before, plan = sum(r["bytes"] for r in heads), 0, []
+    for r, after in zip(heads, heads[1:] + heads[:1], strict=True):
+        plan.append((r["bucket"], r["first"], before * parts // total, after["bucket"]))
+        before += r["bytes"]
+    ranges = F.broadcast(spark.createDataFrame(plan, "bucket long, first long, part int, next long"))
+    found = bucketed.join(ranges, "bucket")
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("bucket").agg(F.min("text").alias("text"))
+    tails = firsts.withColumnRenamed("bucket", "next").join(ranges, "next").select(F.lit(None).cast("long").alias("doc_id"), "text", "bucket", "part", F.lit(True).alias("tail"))
+    every = found.select("doc_id", "text", "bucket", "part", F.lit(False).alias("tail")).unionByName(tails)
+    every = every.repartitionById(parts, "part").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
     return every.select("doc_id", "text", "tail").mapInArrow(neighbours, OUT)
 
 
