@@ -12,9 +12,14 @@ NAMED = ("d-MMM-yyyy", "d MMM yyyy", "MMM d yyyy", "d MMMM yyyy", "MMMM d yyyy",
 _LOOKS = r"(?i)^\s*(\d{1,2}[ -][a-z]{3,9}[ -](\d{4}|\d{2})|[a-z]{3,9} \d{1,2} \d{4}|\d{4}/\d{1,2}/\d{1,2})\s*$"
 
 
+def _slashed_parts(c: Column) -> tuple[Column, Column]:
+    """The first two numbers of a slashed date. Casts are tried on digits alone: one that fails costs as much as many parses."""
+    return tuple(F.when(c.rlike(SLASHED), F.regexp_extract(c, SLASHED, i).try_cast("int")) for i in (1, 2))
+
+
 def order_votes(c: Column) -> dict[str, Column]:
     """Aggregates from which ``voted_order`` tells a column's order."""
-    first, second = (F.regexp_extract(c, SLASHED, i).try_cast("int") for i in (1, 2))
+    first, second = _slashed_parts(c)
     return {
         "filled": F.count(c),
         "iso": F.count_if(c.rlike(ISO)),
@@ -41,8 +46,8 @@ def named_date(t: Column) -> Column:
 def looks_dated(c: Column) -> Column:
     """True for text that some reading makes a date."""
     t = F.regexp_replace(c, ",", "")
-    a, b = (F.regexp_extract(c, SLASHED, i).try_cast("int") for i in (1, 2))
-    slashed = c.rlike(SLASHED) & a.between(1, 31) & b.between(1, 31) & (F.least(a, b) <= 12)
+    a, b = _slashed_parts(c)
+    slashed = a.between(1, 31) & b.between(1, 31) & (F.least(a, b) <= 12)
     return F.coalesce(c.rlike(ISO) | slashed | named_date(t).isNotNull(), F.lit(False))
 
 

@@ -13,7 +13,7 @@ NULL_TOKENS = ("", "-", "--", "?", "#n/a", "#na", "n/a", "n/a.", "na", "nan", "n
 
 def squeezed(c: Column) -> Column:
     """Runs of (Unicode) white space become one space, ends are trimmed."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def folded(c: Column) -> Column:

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import ISO
 from ..functions.similarity import ratio, sorted_tokens
 from ..functions.text import folded
+from .dedup import near_duplicates
 from .ledger import ROW_ID, Change, Ledger, recorded
 
 #: Folded spelling to label.
 ALIASES = {
     "america": "United States",
     "u.s.": "United States",
+    "u.s.a": "United States",
     "u.s.a.": "United States",
     "united states": "United States",
     "united states of america": "United States",
     "us": "United States",
     "usa": "United States",
     "britain": "United Kingdom",
+    "england": "United Kingdom",
     "great britain": "United Kingdom",
     "u.k.": "United Kingdom",
     "uk": "United Kingdom",
@@ -30,6 +33,8 @@ ALIASES = {
     "inactive": "inactive",
 }
 FUZZY_AT, FUZZY_MOST = 85.0, 500
+#: Merged spellings of a column that become a map in the plan; those of more are joined.
+MAPPED = 2000
 
 
 def eligible(df: DataFrame) -> list[str]:
@@ -69,36 +74,65 @@ def aliased(column: str, aliases: Mapping[str, str] | None = None):
 
 
 def canonicalize(df: DataFrame, table: str = "table", columns: list[str] | None = None) -> tuple[DataFrame, Ledger]:
-    """Alias and case merges on all eligible columns, with their ledger records."""
+    """Alias and case merges on all eligible columns, with their ledger records.
+
+    One aggregate counts the spellings of all columns. Columns of at most MAPPED merged spellings get theirs as a map within
+    the projection; only those of more are joined.
+    """
     columns = eligible(df) if columns is None else columns
-    changes, out = [], df
-    for c in columns:
-        changes.append(Change(c, "canonicalize_alias", aliased(c) != F.col(f"`{c}`"), F.col(f"`{c}`"), aliased(c)))
-    ledger = recorded(df, table, changes)
-    if columns:
-        out = df.select(*[aliased(c).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
-        several = {r[0] for r in representatives(spellings(out, columns)).select("column").distinct().collect()}
-        for c in columns:
-            if c in several:
-                merged = case_merged(out.withColumn("_was", F.col(f"`{c}`")), c)
-                ledger.records += recorded(merged, table, [Change(c, "canonicalize_case", F.col(f"`{c}`") != F.col("_was"), F.col("_was"), F.col(f"`{c}`"))]).records
-                out = merged.drop("_was")
-    return out, ledger
-
-
-def suggestions(df: DataFrame, column: str) -> list[dict]:
+    if not columns:
+        return df, Ledger()
+    out = df.select(*[aliased(c).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+    chosen = representatives(spellings(out, columns))
+    several = {r["column"]: r["n"] for r in chosen.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [c for c, n in several.items() if n <= MAPPED]
+    maps: dict[str, dict[str, str]] = {c: {} for c in small}
+    if small:
+        for r in chosen.where(F.col("column").isin(small)).collect():  # MAPPED a column at most
+            maps[r["column"]][r["folded"]] = r["label"]
+    was = lambda c: f"was:{c}"
+    step = df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").alias(was(c)) for c in columns])
+    step = step.select(*[aliased(c).alias(c) if c in columns else F.col(f"`{c}`") for c in step.columns], *[aliased(c).alias(f"alias:{c}") for c in columns])
+    step = step.select(*[aliased(c, maps[c]).alias(c) if c in small else F.col(f"`{c}`") for c in step.columns])
+    for c in several.keys() - maps.keys():
+        mine = chosen.where(F.col("column") == c).select(F.col("folded").alias("_f"), F.col("label").alias("_l"))
+        step = step.join(mine, folded(F.col(f"`{c}`")) == F.col("_f"), "left").withColumn(c, F.coalesce("_l", f"`{c}`")).drop("_f", "_l")
+    of = lambda p, c: F.col(f"`{p}{c}`")
+    changes = [Change(c, "canonicalize_alias", of("alias:", c) != of("was:", c), of("was:", c), of("alias:", c)) for c in columns]
+    changes += [Change(c, "canonicalize_case", of("", c) != of("alias:", c), of("alias:", c), of("", c)) for c in columns if c in several]
+    return step.select(*[F.col(f"`{c}`") for c in df.columns]), recorded(step, table, changes)
+
+
+def fuzzy_pairs(df: DataFrame, column: str) -> DataFrame:
+    """(a, b, similarity): all pairs of the column's spellings that are alike by FUZZY_AT, with no cap; nothing is collected.
+
+    Spellings are first told apart by case and outer white space, then found as near duplicates are, by rare letter pairs.
+    """
+    values = df.select(F.trim(F.col(f"`{column}`")).alias("value")).where("value is not null").groupBy(folded(F.col("value")).alias("f")).agg(F.max("value").alias("value"))
+    rows = values.select(F.xxhash64("value").alias(ROW_ID), "value")
+    near = near_duplicates(rows, FUZZY_AT)
+    of = lambda n: rows.select(F.col(ROW_ID).alias(f"row_{n}"), F.col("value").alias(n))
+    return near.join(of("a"), "row_a").join(of("b"), "row_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def suggestions(df: DataFrame, column: str, most: int = FUZZY_MOST) -> list[dict]:
     """Merges a person may want: by alias and case (high confidence), and fuzzy ones (medium), which are never applied.
 
-    Fuzzy groups look at the FUZZY_MOST commonest values; a value joins the first group whose first value is alike.
+    A list for a person to read, so all of it is bounded: up to ``most`` of each kind, and fuzzy groups among the ``most``
+    commonest values; a value joins the first group whose first value is alike. ``fuzzy_pairs`` has all pairs of all values.
     """
     spelled = spellings(df, [column])
-    out = [
-        {"column": column, "kind": "alias", "confidence": "high", "values": sorted(r["values"]), "label": ALIASES[r["folded"]]}
-        for r in spelled.where(F.col("folded").isin(*ALIASES)).groupBy("folded").agg(F.collect_set("value").alias("values")).collect()
-    ]
-    several = spelled.groupBy("folded").agg(F.collect_set("value").alias("values"), F.max_by("value", F.struct("n", "value")).alias("label")).where(F.size("values") > 1)
-    out += [{"column": column, "kind": "case", "confidence": "high", "values": sorted(r["values"]), "label": r["label"]} for r in several.collect()]
-    top = spelled.withColumn("_s", sorted_tokens(F.col("value"))).orderBy(F.desc("n"), "value").limit(FUZZY_MOST).collect()
+    several = spelled.groupBy("folded").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max_by("value", F.struct("n", "value")).alias("label"))
+    known = several.where(F.col("folded").isin(*ALIASES)).collect()  # as many as there are aliases
+    merged = several.where("k > 1").orderBy(F.desc("n"), "folded").limit(most).collect()
+    names = {r["folded"] for r in (*known, *merged)}
+    values: dict[str, list[str]] = {}
+    ranked = spelled.where(F.col("folded").isin(*names)).withColumn("_p", F.row_number().over(Window.partitionBy("folded").orderBy(F.desc("n"), "value"))) if names else None
+    for r in ranked.where(F.col("_p") <= most).collect() if names else ():
+        values.setdefault(r["folded"], []).append(r["value"])
+    out = [{"column": column, "kind": "alias", "confidence": "high", "values": sorted(values[r["folded"]]), "label": ALIASES[r["folded"]]} for r in known]
+    out += [{"column": column, "kind": "case", "confidence": "high", "values": sorted(values[r["folded"]]), "label": r["label"]} for r in merged]
+    top = spelled.withColumn("_s", sorted_tokens(F.col("value"))).orderBy(F.desc("n"), "value").limit(most).collect()
     groups: list[list] = []
     for r in top:
         home = next((g for g in groups if ratio(g[0]["_s"], r["_s"]) >= FUZZY_AT), None)

@@ -1,7 +1,7 @@
 """Cleaning of string tables: white space, null tokens, type votes, coercion, flags, with a ledger of every change.
 
-One aggregate over all columns gives all votes; one projection applies what was decided; one pass over changed cells makes
-the ledger. Votes are taken over all rows. Nullable booleans stay boolean; impossible calendar dates become NULL and count
+One aggregate over all columns gives all votes; one projection applies what was decided; one more aggregate counts what the
+ledger says has changed. Votes are taken over all rows. Nullable booleans stay boolean; impossible calendar dates become NULL and count
 as failures; cells that a numeric or boolean column can't parse keep the column text, with a flag.
 """
 
@@ -17,7 +17,8 @@ from ..functions.booleans import parsed_boolean
 from ..functions.dates import ISO, SLASHED, looks_dated, order_votes, parsed_date, voted_order
 from ..functions.numbers import plain_float, with_numbers
 from ..functions.text import nulled, squeezed
-from .ledger import ROW_ID, Change, Ledger, recorded
+from ..workers import spread
+from .ledger import ROW_ID, Change, Ledger, counted, recorded
 
 TYPES = ("numeric", "date", "boolean", "text")
 WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
@@ -91,6 +92,7 @@ def clean(df: DataFrame, table: str = "table", force_types: Mapping[str, str] |
     """The typed table, the types, the ledger and the flags."""
     force_types, null_tokens = dict(force_types or {}), tuple(null_tokens)
     names, keep = data_columns(df), [ROW_ID] if ROW_ID in df.columns else []
+    df = spread(df) if keep else df
     votes = vote(tidied(df, null_tokens))
     flags, orders, out, changes = [], {}, [], []
     types = {c: force_types.get(c) or decided_type(votes[c]) for c in names}
@@ -111,8 +113,9 @@ def clean(df: DataFrame, table: str = "table", force_types: Mapping[str, str] |
         changes.append(Change(c, "whitespace_trim", tidy != raw, raw, tidy))
         changes.append(Change(c, "null_normalize", raw.isNotNull() & x.isNull(), raw, F.lit(None)))
         if kind == "numeric":
-            rule = F.when(x.endswith("%"), "percent_to_fraction").otherwise("numeric_coerce")
-            changes.append(Change(c, rule, value.isNotNull() & plain_float(x).isNull(), x, value))
+            coerced, percent = value.isNotNull() & plain_float(x).isNull(), x.endswith("%")
+            changes.append(Change(c, "numeric_coerce", coerced & ~percent, x, value))
+            changes.append(Change(c, "percent_to_fraction", coerced & percent, x, value))
             if v["numeric"] == v["filled"]:
                 out.append((value.cast("long") if v["whole"] == v["filled"] else value).alias(c))
             else:
@@ -134,9 +137,10 @@ def clean(df: DataFrame, table: str = "table", force_types: Mapping[str, str] |
             out.append(F.when(x.rlike(ISO) | x.rlike(SLASHED), value).otherwise(F.coalesce(value, x)).alias(c))
         else:
             out.append(x.alias(c))
-    if orders:
-        failed = [F.count_if(F.col(f"`value:{c}`").isNull() & F.col(f"`{c}`").isNotNull()).alias(c) for c in orders]
-        for c, n in steps.agg(*failed).first().asDict().items():
-            if n > FAILED_SHARE * votes[c]["filled"]:
-                flags.append(Flag(table, c, "coerce_failed", f"{n} of {votes[c]['filled']} cells are no dates"))
-    return Cleaned(steps.select(*keep, *out), types, recorded(steps, table, changes) if with_ledger else Ledger(), flags, orders)
+    failed = [F.count_if(F.col(f"`value:{c}`").isNull() & F.col(f"`{c}`").isNotNull()).alias(f"failed:{c}") for c in orders]
+    measures = failed + (counted(changes) if with_ledger else [])
+    counts = steps.agg(*measures).first().asDict() if measures else {}
+    for c in orders:
+        if (n := counts[f"failed:{c}"]) > FAILED_SHARE * votes[c]["filled"]:
+            flags.append(Flag(table, c, "coerce_failed", f"{n} of {votes[c]['filled']} cells are no dates"))
+    return Cleaned(steps.select(*keep, *out), types, recorded(steps, table, changes, counts=counts) if with_ledger else Ledger(), flags, orders)

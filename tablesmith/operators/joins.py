@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ W_CONTAINED, W_CARDINALITY, W_TYPE, W_NAME, REPEATS_BONUS = 0.60, 0.25, 0.10, 0.
 KEPT_AT, MEDIUM_AT, HIGH_AT = 0.55, 0.65, 0.80
 PENALTY, NAME_STRONG, NAME_WEAK = 0.50, 0.7, 0.5
 FEW, DENSE = 50, 0.9
+WORD_BITS = 62
 SUFFIX = re.compile(r"_?(id|key|code|no|num|fk|pk|ref)$")
 ID_NAME = re.compile(r"(^|_)(id|key|code|no|num)$")
 
@@ -42,31 +44,33 @@ class Edge:
         return self.fk_table, self.fk_column, self.pk_table, self.pk_column
 
 
-def values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(t, c, kind, h): the distinct values of all columns of all tables as hashes, numbers alike whatever their type."""
-    out = None
-    for name, df in tables.items():
-        cells = []
-        for c, dtype in df.dtypes:
-            if c.startswith("_") or dtype.startswith(("array", "map", "struct", "binary")):
-                continue
-            kind = logical(dtype)
-            x = F.col(f"`{c}`").cast("double") if kind == "numeric" else F.col(f"`{c}`").cast("string")
-            cells.append(F.when(x.isNotNull(), F.struct(F.lit(name).alias("t"), F.lit(c).alias("c"), F.lit(kind).alias("kind"), F.xxhash64(x).alias("h"))))
-        if cells:
-            rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*").distinct()
-            out = rows if out is None else out.unionByName(rows)
-    return out
+def columns_of(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """(table, column, logical type) of all columns whose values can be compared."""
+    return [(t, c, logical(kind)) for t, df in tables.items() for c, kind in df.dtypes if not c.startswith("_") and not kind.startswith(("array", "map", "struct", "binary"))]
 
 
 def overlaps(tables: Mapping[str, DataFrame], unique: list[tuple[str, str]]) -> DataFrame:
-    """(fk_table, fk_column, pk_table, pk_column, common): one join of all values with those of the unique columns."""
-    every = values(tables)
-    unique_df = every.sparkSession.createDataFrame(unique, "t string, c string")  # a row for each unique column
-    pk = every.join(F.broadcast(unique_df), ["t", "c"]).select(F.col("t").alias("pk_table"), F.col("c").alias("pk_column"), "kind", "h")
-    fk = every.select(F.col("t").alias("fk_table"), F.col("c").alias("fk_column"), "kind", "h")
-    pairs = fk.join(pk, ["kind", "h"]).where("fk_table <> pk_table")
-    return pairs.groupBy("fk_table", "fk_column", "pk_table", "pk_column").agg(F.count(F.lit(1)).alias("common"))
+    """(fk_table, fk_column, pk_table, pk_column, common): how many values a column shares with a unique one of its type.
+
+    Each column is scanned alone and its values become 64-bit hashes (numbers alike whatever their type). One aggregate by
+    (type, hash) notes in bits which columns hold a value; the few distinct sets of columns are then paired. So all
+    columns of all tables are compared in one shuffle, in which repeats are gone already.
+    """
+    columns = columns_of(tables)
+    words = range(-(-len(columns) // WORD_BITS))
+    cells = []
+    for i, (t, c, kind) in enumerate(columns):
+        x = F.col(f"`{c}`").cast("double" if kind == "numeric" else "string")
+        bits = [F.lit(1 << i % WORD_BITS if i // WORD_BITS == w else 0).cast("long").alias(f"w{w}") for w in words]
+        cells.append(tables[t].where(x.isNotNull()).select(F.lit(kind).alias("kind"), F.xxhash64(x).alias("h"), *bits))
+    held = reduce(DataFrame.unionByName, cells).groupBy("kind", "h").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words])
+    sets = held.groupBy(*[f"w{w}" for w in words]).agg(F.count(F.lit(1)).alias("n"))
+    has = lambda i: F.getbit(f"w{i // WORD_BITS}", F.lit(i % WORD_BITS)) == 1
+    named = lambda i: F.struct(F.lit(i).alias("i"), F.lit(columns[i][0]).alias("table"), F.lit(columns[i][1]).alias("column"))
+    chosen = [i for i, (t, c, _) in enumerate(columns) if (t, c) in set(unique)]
+    of = lambda which: F.explode(F.array_compact(F.array(*[F.when(has(i), named(i)) for i in which])))
+    pairs = sets.select("*", of(chosen).alias("pk")).select("n", "pk", of(range(len(columns))).alias("fk")).where("fk.table <> pk.table")
+    return pairs.groupBy(*[F.col(f"{k}.{x}").alias(f"{k}_{x}") for k in ("fk", "pk") for x in ("table", "column")]).agg(F.sum("n").alias("common"))
 
 
 def name_similarity(fk_column: str, pk_table: str, pk_column: str) -> float:
@@ -128,3 +132,10 @@ def discover(tables: Mapping[str, DataFrame], profiles: list[Mapping] | None = N
     order = {p: i for i, p in enumerate(combinations(tables, 2))}
     place = lambda e: order[(e.fk_table, e.pk_table)] if (e.fk_table, e.pk_table) in order else order[(e.pk_table, e.fk_table)]
     return sorted((e for *_, e in best.values()), key=lambda e: (-e.confidence, place(e), e.fk_column, e.pk_column))
+
+
+def mark_foreign(profiles: list[dict], edges: list[Edge]) -> None:
+    """Profiles of columns that refer to another get ``is_fk``, true; all others false."""
+    foreign = {(e.fk_table, e.fk_column) for e in edges}
+    for p in profiles:
+        p["is_fk"] = (p["table"], p["column"]) in foreign

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_ID = "_row_id"
-SAMPLES = 5
+SAMPLES, HEAD = 5, 1000
 
 
 @dataclass
@@ -43,31 +44,41 @@ class Change:
     """One rule on one column, as expressions over the same rows."""
 
     column: str
-    rule: Column | str
+    rule: str
     changed: Column
     before: Column
     after: Column
 
 
-def recorded(df: DataFrame, table: str, changes: list[Change], samples: int = SAMPLES) -> Ledger:
-    """The records of all changes: one pass over the changed cells alone, samples by row id, no list of unbounded size."""
+def recorded(df: DataFrame, table: str, changes: list[Change], samples: int = SAMPLES, counts: dict[str, int] | None = None) -> Ledger:
+    """The records of all changes. One aggregate counts them; samples are those of least row id.
+
+    The first HEAD rows have samples of most changes; those that are rare there are looked for, with the others left out.
+    counts: what ``counted`` has counted, if a plan has it already.
+    """
     if not changes:
         return Ledger()
-    cells = F.array(
-        *[
-            F.when(
-                F.coalesce(c.changed, F.lit(False)),
-                F.struct(F.lit(i).alias("n"), F.lit(c.column).alias("column"), (F.lit(c.rule) if isinstance(c.rule, str) else c.rule).alias("rule"), c.before.cast("string").alias("before"), c.after.cast("string").alias("after")),
-            )
-            for i, c in enumerate(changes)
-        ]
-    )
-    row = F.col(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id()
-    rows = df.select(row.alias("_r"), F.explode(F.array_compact(cells)).alias("c")).select("_r", "c.*")
-    key = ["n", "column", "rule"]
-    counts = {tuple(r[k] for k in key): r["cells"] for r in rows.groupBy(*key).agg(F.count(F.lit(1)).alias("cells")).collect()}
-    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("_r"))).where(F.col("_k") <= samples)
-    taken: dict[tuple, list] = {}
-    for r in first.orderBy("_k").collect():
-        taken.setdefault(tuple(r[k] for k in key), []).append((r["before"], r["after"]))
-    return Ledger([ChangeRecord(table, k[1], k[2], n, [b for b, _ in taken[k]], [a for _, a in taken[k]]) for k, n in sorted(counts.items())])
+    if counts is None:
+        counts = df.agg(*counted(changes)).first().asDict()
+    wanted = [i for i in range(len(changes)) if counts[f"change:{i}"]]
+    if not wanted:
+        return Ledger()
+    row = F.col(f"`{ROW_ID}`") if ROW_ID in df.columns else F.monotonically_increasing_id()
+    head = (df.where(F.col(f"`{ROW_ID}`") < HEAD) if ROW_ID in df.columns else df.limit(HEAD)).select(row.alias("_r"), *_cells(changes, wanted)).orderBy("_r").limit(HEAD).collect()
+    taken = {i: [(r[f"c{i}"]["before"], r[f"c{i}"]["after"]) for r in head if r[f"c{i}"] is not None][:samples] for i in wanted}
+    rare = [i for i in wanted if len(taken[i]) < min(samples, counts[f"change:{i}"])]
+    if rare:
+        found = [df.select(row.alias("_r"), *_cells(changes, [i])).where(F.col(f"c{i}").isNotNull()).orderBy("_r").limit(samples).select(F.lit(i).alias("i"), "_r", F.col(f"c{i}").alias("c")) for i in rare]
+        taken |= {i: [] for i in rare}
+        for r in sorted(reduce(DataFrame.unionByName, found).collect(), key=lambda r: r["_r"]):
+            taken[r["i"]].append((r["c"]["before"], r["c"]["after"]))
+    return Ledger([ChangeRecord(table, changes[i].column, changes[i].rule, counts[f"change:{i}"], [b for b, _ in taken[i]], [a for _, a in taken[i]]) for i in wanted])
+
+
+def counted(changes: list[Change]) -> list[Column]:
+    """Aggregates that count each change."""
+    return [F.count_if(c.changed).alias(f"change:{i}") for i, c in enumerate(changes)]
+
+
+def _cells(changes: list[Change], which: list[int]) -> list[Column]:
+    return [F.when(changes[i].changed, F.struct(changes[i].before.cast("string").alias("before"), changes[i].after.cast("string").alias("after"))).alias(f"c{i}") for i in which]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,13 @@ from .ledger import ROW_ID
 FINGERPRINTS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "uuid": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "url": r"(?i)^https?://\S+$",
-    "iso_date": r"^\d{4}-\d{2}-\d{2}",
+    "url": r"(?i)^https?://",
+    "iso_date": r"^\d{4}-\d{2}-\d{2}$",
 }
+#: Names of ids, shares and limits of roles.
 ID_NAME = r"(?i)(^|_)(id|key|code|no|num)$"
 SHARE, DIMENSION_RATIO, DIMENSION_MOST = 0.9, 0.7, 50
+HEAD = 1000
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -56,11 +60,7 @@ def profile(df: DataFrame, table: str = "table", approximate: bool = False) -> D
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(logical(types[c])).alias("dtype"), F.col(f"_{i}").alias("m")) for i, c in enumerate(cols)])).alias("x")
     p = one.select(rows).select("x.position", "x.column", "x.dtype", "x.m.*")
     if not approximate:
-        # Exact distinct counts: narrow (column, hash) pairs, aggregated on both sides of one shuffle for all columns.
-        cells = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).alias("position"), F.xxhash64(F.col(f"`{c}`")).alias("h"))) for i, c in enumerate(cols)]
-        found = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*").distinct()
-        found = found.groupBy("position").agg(F.count(F.lit(1)).alias("_d"))
-        p = p.drop("distinct_count").join(found, "position", "left").withColumn("distinct_count", F.coalesce("_d", F.lit(0).cast("long"))).drop("_d")
+        p = p.drop("distinct_count").join(F.broadcast(distinct_counts(df, cols)), "position")  # a row for each column
     share = lambda name: (F.col("filled") > 0) & (F.col(name) >= SHARE * F.col("filled"))
     p = p.withColumn("dtype", F.when((F.col("dtype") == "text") & share("iso_date"), "date").otherwise(F.col("dtype")))
     found = F.when(F.col("whole"), "integer")
@@ -102,8 +102,32 @@ def profile(df: DataFrame, table: str = "table", approximate: bool = False) -> D
     return p.withColumn("role", role).drop("_ratio", "id_named")
 
 
-def samples(df: DataFrame, column: str, most: int = 5) -> list:
-    """The first distinct values in row order; a bounded sort, not a full one."""
-    row = F.min(ROW_ID) if ROW_ID in df.columns else F.min(F.lit(0))
-    rows = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("v")).agg(row.alias("_r"))
-    return [r["v"] for r in rows.orderBy("_r", "v").limit(most).collect()]
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(position, distinct_count) of each column by its values: a narrow scan and a pre-aggregated shuffle for each, all in one job."""
+    counts = [df.agg(F.lit(i).alias("position"), F.count_distinct(F.col(f"`{c}`")).alias("distinct_count")) for i, c in enumerate(cols)]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def samples(df: DataFrame, columns: list[str], most: int = 5) -> dict[str, list]:
+    """The first distinct values of each column in row order (any order if rows have no ids).
+
+    The first HEAD rows tell for most columns; the others, of fewer values or many nulls there, are searched whole in one job.
+    """
+    kinds = dict(df.dtypes)
+    columns = [c for c in columns if c in kinds and not kinds[c].startswith(("array", "map", "struct"))]
+    if not columns:
+        return {}
+    ordered = ROW_ID in df.columns
+    cells = [F.col(f"`{c}`") for c in columns]
+    head = (df.orderBy(ROW_ID) if ordered else df).select(*cells).limit(HEAD).collect()
+    out = {c: list(dict.fromkeys(r[i] for r in head if r[i] is not None))[:most] for i, c in enumerate(columns)}
+    short = [c for c in columns if len(out[c]) < most] if len(head) == HEAD else []
+    if short:
+        row = F.col(ROW_ID) if ordered else F.lit(0)
+        firsts = [df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.min(row).alias("r")).orderBy("r", "v").limit(most) for c in short]
+        wide = [f.select(F.lit(i).alias("i"), "r", *[(F.col("v") if c == own else F.lit(None).cast(kinds[c])).alias(f"c{j}") for j, c in enumerate(short)]) for i, (f, own) in enumerate(zip(firsts, short, strict=True))]
+        found: dict[str, list] = {c: [] for c in short}
+        for r in sorted(reduce(DataFrame.unionByName, wide).collect(), key=lambda r: (r["r"], str(r[f"c{r['i']}"]))):
+            found[short[r["i"]]].append(r[f"c{r['i']}"])
+        out |= found
+    return out

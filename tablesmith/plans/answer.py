@@ -85,21 +85,39 @@ class Answer:
     chart_keys: dict = field(default_factory=dict)
     tables: list[str] = field(default_factory=list)
     kind: str = ""
+    followups: list[str] = field(default_factory=list)
+    truncated: bool = False
 
     def as_dict(self) -> dict:
         return asdict(self)
 
 
-def insight(rows: Sequence[dict]) -> str:
-    return f"Query returned {len(rows)} row{'' if len(rows) == 1 else 's'}."
+NARRATED_ROWS, FOLLOWUPS = 10, 3
+#: Writes about a result: (question, statement, first rows, number of rows) to {"insight": text, "followups": [questions]}.
+Narrator = Callable[[str, str, Sequence[dict], int], Mapping]
 
 
-def shaped(df: DataFrame, most: int, **more) -> Answer:
-    rows = records(df, most)
-    return Answer("answered", insight(rows), rows=rows, columns=df.columns, chart=chart_hint(rows), chart_keys=chart_keys(rows), **more)
+def insight(rows: Sequence[dict], question: str = "", sql: str = "", narrator: Narrator | None = None) -> tuple[str, list[str]]:
+    """Text about a result, and up to FOLLOWUPS further questions. A narrator sees NARRATED_ROWS rows; if it fails, a count stands in."""
+    plain = f"Query returned {len(rows)} row{'' if len(rows) == 1 else 's'}."
+    if narrator is None:
+        return plain, []
+    try:
+        said = narrator(question, sql, list(rows[:NARRATED_ROWS]), len(rows))
+        return str(said.get("insight") or plain), [str(f) for f in said.get("followups") or []][:FOLLOWUPS]
+    except Exception:  # noqa: BLE001 - a narrator is optional; the rows are given without it
+        return plain, []
+
+
+def shaped(df: DataFrame, most: int, question: str = "", narrator: Narrator | None = None, **more) -> Answer:
+    """The answer that a plan's first ``most`` rows make; ``truncated`` if it has more."""
+    rows = records(df, most + 1)
+    rows, more["truncated"] = rows[:most], len(rows) > most
+    text, followups = insight(rows, question, more.get("sql", ""), narrator)
+    return Answer("answered", text, rows=rows, columns=df.columns, chart=chart_hint(rows), chart_keys=chart_keys(rows), followups=followups, **more)
 
 
-def run_sql(sql: str, guard: Guard, required: Sequence[str] = (), contract: Contract | None = None) -> Answer:
+def run_sql(sql: str, guard: Guard, required: Sequence[str] = (), contract: Contract | None = None, question: str = "", narrator: Narrator | None = None) -> Answer:
     """A written statement through the guard; refused if it leaves out a table that the question needs."""
     v = guard.check(sql)
     hints = suggestions(contract) if contract and not v.ok else []
@@ -108,14 +126,22 @@ def run_sql(sql: str, guard: Guard, required: Sequence[str] = (), contract: Cont
     if left_out := missing_tables(v, required):
         return Answer("refused", f"the statement leaves out {', '.join(left_out)}", sql=v.sql, kind="incomplete", tables=v.tables)
     try:
-        return shaped(guard.spark.sql(v.sql), guard.max_rows, sql=v.sql, tables=v.tables, kind="ok")
+        return shaped(guard.spark.sql(v.sql), guard.max_rows, question, narrator, sql=v.sql, tables=v.tables, kind="ok")
     except AnalysisException as e:
         return Answer("refused", str(e).splitlines()[0], sql=v.sql, kind="schema_mismatch", tables=v.tables)
     except PySparkException as e:
         return Answer("error", str(e).splitlines()[0][:300], sql=v.sql, kind="error", tables=v.tables)
 
 
-def answer(question: str, contract: Contract, frames: Mapping[str, DataFrame], guard: Guard, writer: Callable[[str, str], str] | None = None, proposer: Callable[[str, str], Mapping] | None = None) -> Answer:
+def answer(
+    question: str,
+    contract: Contract,
+    frames: Mapping[str, DataFrame],
+    guard: Guard,
+    writer: Callable[[str, str], str] | None = None,
+    proposer: Callable[[str, str], Mapping] | None = None,
+    narrator: Narrator | None = None,
+) -> Answer:
     """The answer to a question. writer: writes SQL for a digest; proposer: proposes a mapping; without them words decide."""
     if destructive(question):
         return Answer("blocked", "this asks to change data; only reading is allowed", kind="destructive")
@@ -127,10 +153,12 @@ def answer(question: str, contract: Contract, frames: Mapping[str, DataFrame], g
         if open_:
             return Answer("clarify", open_[0].question or "", question=open_[0].question, options=[c.name for c in open_], tables=found.tables)
         if writer is not None:
-            return run_sql(writer(question, digest(contract, found.tables)), guard, found.tables, contract)
-        proposal: Proposal | None = propose(question, contract, found)
+            return run_sql(writer(question, digest(contract, found.tables)), guard, found.tables, contract, question, narrator)
+        proposal: Proposal | None = propose(question, contract, found, frames)
+    elif proposer:
+        proposal = from_dict(proposer(question, digest(contract)))
     else:
-        proposal = from_dict(proposer(question, digest(contract))) if proposer else None
+        proposal = propose(question, contract, found, frames)
     if proposal is None:
         return Answer("refused", "the question names nothing in the data", kind="schema_mismatch", suggestions=suggestions(contract))
     ok, note = validated(proposal, contract, frames)
@@ -139,6 +167,6 @@ def answer(question: str, contract: Contract, frames: Mapping[str, DataFrame], g
     if back := ambiguous(proposal):
         return Answer("clarify", back, question=back, note=note)
     try:
-        return shaped(compiled(proposal, contract, frames), MAX_ROWS, note=note, tables=proposal.tables, kind="ok")
+        return shaped(compiled(proposal, contract, frames), MAX_ROWS, question, narrator, note=note, tables=proposal.tables, kind="ok")
     except ValueError as e:
         return Answer("refused", str(e), kind="incomplete", suggestions=suggestions(contract))

@@ -26,6 +26,8 @@ class ColumnContract:
     question: str | None = None
     samples: list = field(default_factory=list)
     unit: str = ""
+    is_id: bool = False
+    is_fk: bool = False
 
 
 @dataclass
@@ -73,7 +75,7 @@ def build(profiles: Iterable[Mapping], graph: Graph, flags: Iterable[Flag] = (),
         question = None
         if provisional:
             question = f"{p['column']}: {flagged.detail or flagged.kind}?" if flagged else f"What does {p['table']}.{p['column']} mean?"
-        column = ColumnContract(p["column"], p["dtype"], p["role"], sure, label.get("meaning", ""), (raw_names or {}).get(key, p["column"]), provisional, question, list(p.get("samples") or []))
+        column = ColumnContract(p["column"], p["dtype"], p["role"], sure, label.get("meaning", ""), (raw_names or {}).get(key, p["column"]), provisional, question, list(p.get("samples") or []), is_id=bool(p.get("is_id")), is_fk=bool(p.get("is_fk")))
         tables.setdefault(p["table"], TableContract(p["table"], {}, p["n"])).columns[p["column"]] = column
     return Contract(tables, graph)
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded
 from .contract import Contract
-from .question import Relevant, relevant, same_word, tokens
+from .question import MONEY_WORDS, Relevant, relevant, same_word, tokens
 
+#: The aggregates and comparisons of a proposal, and words that ask for an aggregate.
 AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX")
 OPERATORS = ("=", "!=", ">", "<", ">=", "<=")
-#: Words that ask for an aggregate.
 WORDS = {
     "SUM": "total sum overall revenue sales spend spent turnover",
     "AVG": "average avg mean typical",
@@ -23,6 +23,14 @@ WORDS = {
     "MAX": "max maximum highest largest biggest",
     "MIN": "min minimum lowest smallest least",
 }
+COMPARISONS = {">": "over|above|more than|greater than|exceeding", "<": "under|below|less than|fewer than", ">=": "at least", "<=": "at most"}
+#: Words that a question may hold besides names and values. Any other word that nothing explains is reported, never passed over.
+FILLER = frozenset(
+    "a all an and are as at be by can could did do does each every for from get give had has have how i in is it its list many me much my of on or "
+    "our over per please records rows show so tell than that the their them there these they this those to trend us was we were what when where "
+    "which who whose will with would you your find".split()
+)
+LONGEST_VALUE = 6
 
 
 @dataclass
@@ -44,8 +52,7 @@ class Proposal:
     alternatives: list[dict] = field(default_factory=list)
     descending: bool = True
     limit: int | None = None
-
-
+    unread: list[str] = field(default_factory=list)
 
 
 def from_dict(raw: Mapping) -> Proposal:
@@ -63,21 +70,55 @@ def from_dict(raw: Mapping) -> Proposal:
     )
 
 
-def propose(question: str, contract: Contract, found: Relevant | None = None) -> Proposal | None:
-    """The proposal that a question's words make: an aggregate, a measure, what it is grouped by, and named values."""
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def plain(c):
+    """Text as its lower-case words, a space between."""
+    return F.trim(F.regexp_replace(F.lower(c.cast("string")), r"[^\p{L}\p{N}]+", " "))
+
+
+def values_named(words: list[str], contract: Contract, frames: Mapping[str, DataFrame], tables: list[str]) -> dict[str, list[tuple[str, str, list[str]]]]:
+    """The runs of words that are values of text columns of the tables: (table, column, values as they are, folded) for each.
+
+    One aggregate a table looks at all of its rows; what it returns is bounded by the runs of a question.
+    """
+    runs = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + LONGEST_VALUE) + 1)}
+    runs = sorted(r for r in runs if any(w not in FILLER for w in r.split()))
+    found: dict[str, list] = {}
+    for t in tables:
+        names = [c.name for c in contract.tables[t].columns.values() if c.dtype == "text" and c.name in frames[t].columns] if t in frames else []
+        if not names or not runs:
+            continue
+        hit = {c: plain(F.col(f"`{c}`")) for c in names}
+        row = frames[t].agg(*[F.collect_set(F.when(x.isin(runs), F.struct(x.alias("run"), folded(F.col(f"`{c}`").cast("string")).alias("value")))).alias(f"c{i}") for i, (c, x) in enumerate(hit.items())]).first()
+        for i, c in enumerate(names):
+            by: dict[str, list[str]] = {}
+            for r in row[f"c{i}"]:
+                by.setdefault(r["run"], []).append(r["value"])
+            for run, values in by.items():
+                found.setdefault(run, []).append((t, c, sorted(values)))
+    return found
+
+
+def propose(question: str, contract: Contract, found: Relevant | None = None, frames: Mapping[str, DataFrame] | None = None) -> Proposal | None:
+    """The proposal that a question's words make: an aggregate, a measure, groups, comparisons with numbers, and values.
+
+    Values are looked for in the data itself (frames), in the tables that the question is about, or in all if it names none.
+    Words that nothing explains are given back as ``unread``.
+    """
     found = found or relevant(question, contract)
-    if not found.tables:
-        return None
     low = question.lower()
-    words = re.findall(r"[a-z0-9]+", low)
+    words = _words(question)
     at = {a: min((words.index(w) for w in names.split() if w in words), default=None) for a, names in WORDS.items()}
     asked = sorted((i, a) for a, i in at.items() if i is not None)
     agg = asked[0][1] if asked else None
     columns = {(t, c): contract.tables[t].columns[c] for t, c in found.named if t in found.tables}
     group: list[tuple[str, str]] = []
-    if m := re.search(r"\b(?:by|per|for each|each)\s+(.+)", low):
+    if m := re.search(r"\b(?:by|per|for each|each|over)\s+(.+)", low):
         wanted = tokens(m[1])
-        group = [k for k, c in columns.items() if c.role != "measure" and any(same_word(p, w) for w in wanted for p in re.findall(r"[a-z0-9]+", c.name.replace("_", " ")))]
+        group = [k for k, c in columns.items() if c.role != "measure" and any(same_word(p, w) for w in wanted for p in _words(c.name))]
         names = [k for k in group if k[1] in m[1].replace(" ", "_")]
         group = (names or group)[:2]
     measure = next((k for k, c in columns.items() if c.role == "measure" and k not in group), None)
@@ -85,13 +126,63 @@ def propose(question: str, contract: Contract, found: Relevant | None = None) ->
         agg = "COUNT" if agg else None
     if agg is None and measure:
         agg = "SUM"
-    limit = int(m[1]) if (m := re.search(r"\btop\s+(\d+)\b", low)) else None
-    filters = [Filter(t, c.name, "=", s) for t in found.tables for c in contract.tables[t].columns.values() if c.role == "dimension" for s in c.samples if isinstance(s, str) and len(s) > 2 and re.search(rf"\b{re.escape(s.lower())}\b", low)]
-    return Proposal(found.tables, filters, agg or "COUNT", None if agg in (None, "COUNT") and measure is None else measure, group, limit=limit)
+    read = [w in FILLER or any(w in names.split() for names in WORDS.values()) or w in MONEY_WORDS for w in words]
+    limit = None
+    if m := re.search(r"\btop\s+(\d+)\b", low):
+        limit = int(m[1])
+        _mark(words, ["top", m[1]], read)
+    filters: list[Filter] = []
+    for op, how in COMPARISONS.items():
+        for m in re.finditer(rf"\b({how})\s+(\d+(?:,\d{{3}})*(?:\.\d+)?)\b", low):
+            if measure:
+                filters.append(Filter(*measure, op, float(m[2].replace(",", ""))))
+                _mark(words, _words(m[0]), read)
+    tables, alternatives = list(found.tables), []
+    if frames is not None:
+        hits = values_named(words, contract, frames, tables or list(contract.tables))
+        taken: dict[tuple[str, str], list[str]] = {}
+        schema = {w for t in found.anchors for w in (*_words(t), *(w + "s" for w in _words(t)))} | {w for _, c in [*columns, *([measure] if measure else [])] for w in _words(c)}
+        for run in sorted(hits, key=lambda r: -len(r.split())):
+            parts = run.split()
+            i = next((i for i in range(len(words)) if words[i : i + len(parts)] == parts and not all(read[i : i + len(parts)])), None)
+            if i is None or all(w in schema for w in parts):
+                continue
+            best = _preferred(hits[run], columns, found)
+            if len(best) > 1:
+                alternatives.append({"options": [f"{t}.{c}" for t, c, _ in best]})
+            taken.setdefault(best[0][:2], []).extend(best[0][2])
+            read[i : i + len(parts)] = [True] * len(parts)
+        filters += [Filter(t, c, "=" if len(v) == 1 else "in", v[0] if len(v) == 1 else v) for (t, c), v in taken.items()]
+        tables += [t for t, _ in taken if t not in tables]
+    if not tables:
+        return None
+    used = {*group, *([measure] if measure else []), *((f.table, f.column) for f in filters)}
+    names = {w for t in found.anchors for w in _words(t)} | {w for t, c in used for col in [contract.tables[t].columns[c]] for w in (*_words(c), *_words(col.raw_name), *_words(col.meaning), *_words(t))}
+    unread = [w for w, r in zip(words, read, strict=True) if not r and not any(same_word(w, n) for n in names)]
+    return Proposal(tables, filters, agg or "COUNT", None if agg in (None, "COUNT") and measure is None else measure, group, alternatives=alternatives, limit=limit, unread=unread)
+
+
+def _mark(words: list[str], parts: list[str], read: list[bool]) -> None:
+    for i in range(len(words) - len(parts) + 1):
+        if words[i : i + len(parts)] == parts:
+            read[i : i + len(parts)] = [True] * len(parts)
+
+
+def _preferred(hits: list[tuple], columns: Mapping, found: Relevant) -> list[tuple]:
+    """Of the columns that hold a value: those that the question names, else those of tables that it names, else all."""
+    for wanted in (lambda h: h[:2] in columns, lambda h: h[0] in found.anchors):
+        if some := [h for h in hits if wanted(h)]:
+            return some
+    return hits
 
 
 def validated(p: Proposal, contract: Contract, frames: Mapping[str, DataFrame]) -> tuple[bool, str]:
-    """Whether all that a proposal names exists, values of equality filters included; how it was read, or what is wrong."""
+    """Whether all that a proposal names exists, values of equality filters included, and every word of a question is read.
+
+    With how it was read, or what is wrong.
+    """
+    if p.unread:
+        return False, f"nothing in the data explains: {', '.join(p.unread)}"
     for t in p.tables:
         if t not in contract.tables:
             return False, f"there is no table {t}"
@@ -138,7 +229,9 @@ def compiled(p: Proposal, contract: Contract, frames: Mapping[str, DataFrame]) -
         for f in p.filters:
             if f.table == t:
                 c = F.col(f"`{f.column}`")
-                if isinstance(f.value, str) and f.op in ("=", "!="):
+                if f.op == "in":
+                    df = df.where(folded(c.cast("string")).isin(list(f.value)))
+                elif isinstance(f.value, str) and f.op in ("=", "!="):
                     hit = folded(c.cast("string")) == f.value.strip().lower()
                     df = df.where(hit if f.op == "=" else ~hit)
                 else:

@@ -9,14 +9,15 @@ from .contract import ColumnContract, Contract
 
 #: Words that name nothing in a schema, aggregate words among them.
 STOPWORDS = frozenset(
-    "a all an and are as at average avg best between by can compare count did do does each every find for from get give had has have highest how "
-    "in is it its largest least list lowest many max maximum mean me min minimum more most much my number of on or our over per please rank "
-    "show smallest sum than that the their there these this those to top total trend under us was we were what when where which who will with "
-    "worst would you your".split()
+    "the and for are was were with from that this what which how many much show list give get all per each have has had did does into over than "
+    "between average avg total sum count number top most least last first group order where when who their there them they our your find tell about".split()
 )
 #: Words for money in questions, and hints of it in columns.
-MONEY_WORDS = frozenset("earnings income money proceeds revenue revenues sales spend spending spent takings turnover".split())
-MONEY_HINTS = frozenset("amount amt charge cost earnings fee income paid payment price revenue sales spend subtotal total value".split())
+MONEY_WORDS = frozenset("revenue revenues sales turnover earnings income takings proceeds billings receipts grossings".split())
+MONEY_HINTS = frozenset(
+    "amount amt price cost revenue sales value total fee charge charges payment payments paid spend spent balance income earnings turnover subtotal "
+    "gross net usd eur gbp dollars money".split()
+)
 DESTRUCTIVE = re.compile(
     r"\b(drop|truncate)\s+(the\s+|all\s+|every\s+|my\s+)*(\w+\s+)?(table|tables|database|schema|column|data|rows?)\b"
     r"|\b(delete|erase|wipe|purge|destroy)\b(?!d)|\bremove\s+(all|every|the\s+rows?|rows?|records?|data|them|everything)\b"
@@ -44,6 +45,9 @@ def destructive(question: str) -> bool:
 
 @dataclass
 class Relevant:
+    """What a question is about. anchors: the tables that it names or whose columns it names; tables: with those between them."""
+
+    anchors: list[str] = field(default_factory=list)
     tables: list[str] = field(default_factory=list)
     columns: dict[str, list[str]] = field(default_factory=dict)
     named: list[tuple[str, str]] = field(default_factory=list)
@@ -79,6 +83,7 @@ def relevant(question: str, contract: Contract) -> Relevant:
             out.clarify = f"Which column is meant: {', '.join(out.options)}?"
             return out
     anchors += [t for t, _ in out.named if t not in anchors]
+    out.anchors = list(dict.fromkeys(anchors))
     out.tables, out.edges, out.unreachable = contract.graph.path(anchors)
     out.tables += out.unreachable
     out.columns = {t: list(contract.tables[t].columns) for t in out.tables}
@@ -97,7 +102,8 @@ def digest(contract: Contract, tables: list[str] | None = None) -> str:
         lines.append(f"table {t}")
         for c in contract.tables[t].columns.values():
             shown = f" e.g. {', '.join(map(str, c.samples[:6]))}" if c.samples and (c.role in ("dimension", "id", "text") or c.dtype == "boolean") else ""
-            lines.append(f"  {c.name} ({c.dtype}, {c.role}){' – ' + c.meaning if c.meaning else ''}{shown}")
+            tags = ", ".join(x for x, on in ((c.dtype, True), (c.role, True), ("id", c.is_id), ("refers", c.is_fk), ("provisional", c.provisional)) if on)
+            lines.append(f"  {c.name} ({tags}){' – ' + c.meaning if c.meaning else ''}{shown}")
     for e in contract.graph.active():
         if e.fk_table in chosen and e.pk_table in chosen:
             lines.append(f"link {e.fk_table}.{e.fk_column} = {e.pk_table}.{e.pk_column}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.booleans import parsed_boolean
@@ -11,8 +13,10 @@ from ..functions.text import nulled, squeezed
 from ..operators import canonical, dedup, rules
 from ..operators.cleaning import clean
 from ..operators.ledger import ROW_ID
+from ..sources import text
 from ..sources.json_ import flattened
-from . import planned
+from ..workers import scratch
+from . import Query, Tables, planned
 
 
 def _currency(t, spark):
@@ -84,14 +88,48 @@ def _near(t, spark):
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_mktsegment"), F.lit(" company inc."))).otherwise(F.concat(F.lit("Company, "), F.col("c_mktsegment"), F.lit(" inc"))).alias("name"),
         F.floor(F.col("c_custkey") / 2).alias("pair"),
     )
-    found = dedup.near_duplicates(rows)
-    return found.agg(F.count(F.lit(1)).alias("pairs"), F.max(F.abs(F.col("row_b") - F.col("row_a"))).alias("apart"))
+    return dedup.near_duplicates(rows).select("row_a", "row_b", "similarity", F.array_join("differs", ",").alias("differs"))
+
+
+def _near_names(t, spark):
+    """No strict columns: names with their words in another order, and with a letter more."""
+    name = F.concat_ws(" ", "p_name", F.lower("p_type"), F.translate(F.lower("p_brand"), "#0123456789", "mabcdefghij"))
+    named = t["part"].select(name.alias("name")).distinct()
+    turned = named.select(F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"))
+    rows = named.unionByName(turned).select(F.xxhash64("name").alias(ROW_ID), "name")
+    near = dedup.near_duplicates(rows)
+    pairs = near.join(rows.select(F.col(ROW_ID).alias("row_a"), F.col("name").alias("a")), "row_a").join(rows.select(F.col(ROW_ID).alias("row_b"), F.col("name").alias("b")), "row_b")
+    return pairs.where("similarity = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _scanned(spark, folder):
+    """Customers as a large file: a banner, a header, a blank column, rows over several splits, a footer; scanned back."""
+    path = f"{scratch(spark)}/files/{uuid.uuid4().hex}"
+    rows = Tables(spark, folder)["customer"].select(F.col("c_custkey").alias("k"), F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit(', Inc"')), F.lit(""), F.format_number("c_acctbal", "0.00")).alias("value"))
+    ends = spark.createDataFrame([(-2, "Customers of the year,,,"), (-1, "Customer No,Full Name,,Balance"), (1 << 62, "Total,,,9")], "k long, value string")
+    rows.unionByName(ends).repartitionByRange(5, "k").sortWithinPartitions("k").select("value").write.text(path)
+    out = text.scan(spark, path)
+    return out.select(F.col(ROW_ID).alias("row_id"), *[c for c in out.columns if c != ROW_ID])
+
+
+def _pairs(t, spark):
+    """Names misspelt in case and by a letter: all pairs that are alike, without a cap."""
+    shown = t["customer"].select(F.concat(F.lit("section "), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit("s")))).alias("segment"))
+    return canonical.fuzzy_pairs(shown, "segment").select(F.least(F.lower("a"), F.lower("b")).alias("a"), F.greatest(F.lower("a"), F.lower("b")).alias("b"))
 
 
 DAYS = "SELECT STRFTIME(o_orderdate, '%Y-%m-%d') AS day, COUNT(*) AS n, '{}' AS voted FROM orders GROUP BY 1"
 CENTS = "CAST(CAST({} AS DECIMAL(18,2)) AS DOUBLE)"
 
 QUERIES = {
+    "source_csv_scan": Query(
+        _scanned,
+        "SELECT ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS row_id, CAST(c_custkey AS VARCHAR) AS customer_no, c_name || ', Inc' AS full_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS balance FROM customer",
+    ),
+    "canonical_fuzzy_pairs": planned(
+        _pairs,
+        "SELECT DISTINCT 'section ' || LOWER(c_mktsegment) AS a, 'section ' || LOWER(c_mktsegment) || 's' AS b FROM customer",
+    ),
     "clean_whitespace": planned(
         lambda t, s: t["documents"].select("doc_id", F.length(squeezed(F.col("text"))).cast("long").alias("n")),
         "SELECT doc_id, CAST(LENGTH(TRIM(REGEXP_REPLACE(text, '\\s+', ' ', 'g'))) AS BIGINT) AS n FROM documents",
@@ -143,7 +181,7 @@ QUERIES = {
     ),
     "rule_merge_values": planned(_merged, "SELECT CASE WHEN l_returnflag IN ('A', 'R') THEN 'returned' ELSE l_returnflag END AS l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY 1"),
     "dedup_exact_documents": planned(
-        lambda t, s: dedup.exact_groups(t["documents"].select(F.col("doc_id").alias(ROW_ID), "text")).select(F.col("row_ids")[0].alias("first"), F.col("row_ids")[F.size("row_ids") - 1].alias("last"), "n"),
+        lambda t, s: dedup.exact_groups(t["documents"].select(F.col("doc_id").alias(ROW_ID), "text")),
         "SELECT MIN(doc_id) AS first, MAX(doc_id) AS last, COUNT(*) AS n FROM documents GROUP BY text HAVING COUNT(*) > 1",
     ),
     "dedup_lineitem_key": planned(
@@ -156,7 +194,18 @@ QUERIES = {
     ),
     "dedup_near_rows": planned(
         _near,
-        "SELECT COUNT(*) AS pairs, CAST(MAX(b.c_custkey - a.c_custkey) AS BIGINT) AS apart FROM customer a JOIN customer b ON a.c_custkey // 2 = b.c_custkey // 2 AND a.c_custkey < b.c_custkey AND a.c_mktsegment = b.c_mktsegment",
+        "SELECT a.c_custkey AS row_a, b.c_custkey AS row_b, CAST(1 AS DOUBLE) AS similarity, 'name' AS differs FROM customer a JOIN customer b ON a.c_custkey // 2 = b.c_custkey // 2 AND a.c_custkey < b.c_custkey AND a.c_mktsegment = b.c_mktsegment",
+    ),
+    "dedup_near_names": planned(
+        _near_names,
+        "WITH n AS (SELECT DISTINCT p_name || ' ' || LOWER(p_type) || ' ' || TRANSLATE(LOWER(p_brand), '#0123456789', 'mabcdefghij') AS name FROM part), "
+        "r AS (SELECT name FROM n UNION ALL SELECT ARRAY_TO_STRING(LIST_REVERSE(STRING_SPLIT(name, ' ')), ' ') FROM n), "
+        "k AS (SELECT DISTINCT name, ARRAY_TO_STRING(LIST_SORT(STRING_SPLIT(name, ' ')), ' ') AS s FROM r) "
+        "SELECT a.name AS a, b.name AS b FROM k a JOIN k b USING (s) WHERE a.name < b.name",
+    ),
+    "dedup_exact_members": planned(
+        lambda t, s: dedup.exact_members(t["documents"].select(F.col("doc_id").alias(ROW_ID), "text")),
+        "SELECT doc_id AS row_id, MIN(doc_id) OVER (PARTITION BY text) AS first FROM documents QUALIFY COUNT(*) OVER (PARTITION BY text) > 1",
     ),
     "source_json_flatten": planned(
         lambda t, s: flattened(t["events"].select("event_id", F.from_json("props", "k long").alias("props"))),

@@ -9,8 +9,10 @@ from ..operators.profile import profile
 from ..plans import contract as contracts
 from ..plans.graph import Graph
 from ..plans.guard import Guard
-from ..plans.mapping import compiled, propose
+from ..plans.mapping import compiled, propose, validated
 from . import Query, Tables, planned
+from .profiling import COLUMNS
+from .profiling import oracle as profile_sql
 
 KEYS = {
     "region": ["r_regionkey"],
@@ -21,7 +23,6 @@ KEYS = {
     "orders": ["o_orderkey", "o_custkey"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"],
 }
-UNIQUE = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey")]
 LINKS = [
     ("lineitem", "l_orderkey", "orders", "o_orderkey"),
     ("lineitem", "l_partkey", "part", "p_partkey"),
@@ -83,9 +84,17 @@ def _verdicts(spark, folder):
     return spark.createDataFrame([(s, guard.check(s).kind) for s in STATEMENTS], "statement string, kind string")
 
 
+def _overlaps(t, spark):
+    """All columns of all star tables against those columns that a profile finds unique."""
+    frames = {name: t[name] for name in KEYS}
+    unique = [(r["table"], r["column"]) for name, df in frames.items() for r in profile(df, name).where("is_unique").collect()]
+    return overlaps(frames, unique)
+
+
 def _edges(t, spark):
-    graph = Graph(discover(_narrow(t)))
-    return spark.createDataFrame([(*e.key, e.confidence) for e in graph.active() if e.name_similarity >= 0.7 and e.containment == 1.0], "fk_table string, fk_column string, pk_table string, pk_column string, confidence double")
+    """Every edge that is found between the star tables' key columns, active or not, with its score."""
+    found = discover(_narrow(t))
+    return spark.createDataFrame([(*e.key, e.confidence, round(e.containment, 6), round(e.name_similarity, 6), e.label) for e in found], "fk_table string, fk_column string, pk_table string, pk_column string, confidence double, containment double, name_similarity double, label string")
 
 
 def _path(t, spark):
@@ -93,55 +102,113 @@ def _path(t, spark):
     return spark.createDataFrame([(i, e.fk_column, e.pk_column) for i, e in enumerate(edges)], "step long, fk_column string, pk_column string")
 
 
-def _contract(t):
-    profiles = [
-        {"table": name, "column": c, "dtype": "date" if kind == "timestamp" else "text" if kind == "string" else "numeric", "n": 0, "null_pct": 0.0, "role": role(c, kind)}
-        for name in KEYS
-        for c, kind in t[name].dtypes
-    ]
-    return contracts.build(profiles, declared())
+def _contract(frames):
+    """The contract of tables as they are: profiled, linked by their values."""
+    profiles = [r.asDict() for name, df in frames.items() for r in profile(df, name).collect()]
+    return contracts.build(profiles, Graph(discover(frames, profiles)))
 
 
-def role(column: str, kind: str) -> str:
-    if kind == "timestamp":
-        return "timestamp"
-    if column.endswith("key"):
-        return "id"
-    return "dimension" if kind == "string" else "measure"
+ASKED = ("region", "nation", "customer", "orders")
 
 
 def ask(question: str, rounded: list[str]):
-    """A question to a plan: proposal from its words, joins along the declared links."""
+    """A question to a plan: profiles, links by values, a proposal from its words and the tables' own values, joins along the links."""
 
     def build(t, spark):
-        contract = _contract(t)
-        out = compiled(propose(question, contract), contract, {name: t[name] for name in KEYS})
+        frames = {name: t[name] for name in ASKED}
+        contract = _contract(frames)
+        proposal = propose(question, contract, frames=frames)
+        ok, note = validated(proposal, contract, frames)
+        if not ok:
+            raise ValueError(note)
+        out = compiled(proposal, contract, frames)
         return out.select(*[F.round(c, 2).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
     return build
 
 
+QUESTIONS = {
+    "total o_totalprice by n_name": "answered",
+    "how many orders": "answered",
+    "total o_totalprice for NATION_17": "answered",
+    "total o_totalprice for Atlantis": "refused",
+    "average o_totalprice of urgent unicorns": "refused",
+    "weather on mars": "refused",
+}
+
+
+def _readings(t, spark):
+    """Which questions are answered and which refused: a word that neither the schema nor any value explains is never passed over."""
+    frames = {name: t[name] for name in ASKED}
+    contract = _contract(frames)
+
+    def read(q: str) -> str:
+        p = propose(q, contract, frames=frames)
+        return "answered" if p is not None and validated(p, contract, frames)[0] else "refused"
+
+    return spark.createDataFrame([(q, read(q)) for q in QUESTIONS], "question string, reading string")
+
+
+def _contract_columns(t, spark):
+    """The contract of the star tables' columns: role, how sure that is, and whether a person should settle it first."""
+    frames = {name: t[name] for name in ASKED}
+    rows = [(name, c.name, c.dtype, c.role, c.confidence, c.provisional) for name, tc in _contract(frames).tables.items() for c in tc.columns.values()]
+    return spark.createDataFrame(rows, "table string, column string, dtype string, role string, confidence double, provisional boolean")
+
+
 def flagship(spark, folder):
     """Profiles, links found by values, the cheapest join path, the plan: total order value by nation."""
     t = Tables(spark, folder)
     frames = {name: t[name] for name in ("orders", "customer", "nation")}
     profiles = [r.asDict() for name, df in frames.items() for r in profile(df, name).collect()]
     contract = contracts.build(profiles, Graph(discover(frames, profiles)))
-    return compiled(propose("total o_totalprice by n_name", contract), contract, frames)
+    return compiled(propose("total o_totalprice by n_name", contract, frames=frames), contract, frames)
 
 
-_ENDS = [(t, c) for t, cols in KEYS.items() for c in cols]
-MATRIX = " UNION ALL ".join(
-    f"SELECT '{ft}' AS fk_table, '{fc}' AS fk_column, '{pt}' AS pk_table, '{pc}' AS pk_column, COUNT(*) AS common FROM (SELECT DISTINCT {fc} AS v FROM {ft}) f JOIN (SELECT DISTINCT {pc} AS v FROM {pt}) p USING (v) HAVING COUNT(*) > 0"
-    for ft, fc in _ENDS
-    for pt, pc in UNIQUE
-    if ft != pt
+_ALL = [(t, *spec.split(":")) for t in KEYS for spec in COLUMNS[t].split()]
+_CELLS = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{k}' AS k, CAST({f'CAST({c} AS DOUBLE)' if k == 'numeric' else c} AS VARCHAR) AS v FROM {t}" for t, c, k in _ALL)
+MATRIX = (
+    f"WITH cells AS ({_CELLS}), uniq AS (SELECT t, c FROM cells GROUP BY t, c HAVING COUNT(v) = COUNT(*) AND COUNT(DISTINCT v) = COUNT(*)), vals AS (SELECT DISTINCT t, c, k, v FROM cells WHERE v IS NOT NULL) "
+    "SELECT f.t AS fk_table, f.c AS fk_column, p.t AS pk_table, p.c AS pk_column, COUNT(*) AS common FROM vals f JOIN vals p USING (k, v) JOIN uniq u ON u.t = p.t AND u.c = p.c WHERE f.t <> p.t GROUP BY ALL"
+)
+#: Longest common subsequences row by row: for each pair of names, the last row of the table of lengths.
+_LCS = (
+    "lcs(a, b, i, row) AS (SELECT a, b, 0, LIST_TRANSFORM(RANGE(LENGTH(b) + 1), lambda x: 0) FROM names UNION ALL "
+    "SELECT a, b, i + 1, LIST_REDUCE(RANGE(1, LENGTH(b) + 1), lambda acc, j: LIST_APPEND(acc, GREATEST(acc[j], row[j + 1], row[j] + CASE WHEN a[i + 1] = b[j] THEN 1 ELSE 0 END)), [0]) FROM lcs WHERE i < LENGTH(a))"
+)
+_STEM = "REGEXP_REPLACE({}, '_?(id|key|code|no|num|fk|pk|ref)$', '')"
+_KEY_ENDS = [(t, c) for t, cols in KEYS.items() for c in cols]
+_KEY_CELLS = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS DOUBLE) AS v FROM {t}" for t, c in _KEY_ENDS)
+EDGES = (
+    f"WITH RECURSIVE cells AS ({_KEY_CELLS}), prof AS (SELECT t, c, COUNT(*) AS n, COUNT(v) AS filled, COUNT(DISTINCT v) AS d, MIN(v) AS lo, MAX(v) AS hi FROM cells GROUP BY t, c), "
+    "vals AS (SELECT DISTINCT t, c, v FROM cells WHERE v IS NOT NULL), "
+    "met AS (SELECT f.t AS ft, f.c AS fc, p.t AS pt, p.c AS pc, COUNT(*) AS common FROM vals f JOIN vals p USING (v) WHERE f.t <> p.t GROUP BY ALL), "
+    f"stems AS (SELECT DISTINCT fc, pt, pc, {_STEM.format('fc')} AS fs, {_STEM.format('pc')} AS ps FROM met), "
+    "names(a, b) AS (SELECT fc, pc FROM stems UNION SELECT fs, ps FROM stems), " + _LCS + ", "
+    "rat AS (SELECT a, b, 2.0 * row[LENGTH(b) + 1] / (LENGTH(a) + LENGTH(b)) AS r FROM lcs WHERE i = LENGTH(a)), "
+    "sim AS (SELECT s.fc, s.pt, s.pc, CASE WHEN s.fs IN (s.pt, RTRIM(s.pt, 's')) THEN 1.0 ELSE GREATEST(x.r, y.r) END AS sim FROM stems s JOIN rat x ON x.a = s.fc AND x.b = s.pc JOIN rat y ON y.a = s.fs AND y.b = s.ps), "
+    "sc AS (SELECT m.*, m.common / f.d AS cont, s.sim, LEAST(1.0, 0.60 * m.common / f.d + CASE WHEN m.common / f.d >= 0.5 THEN 0.25 ELSE 0 END + 0.10 + 0.05 * s.sim + CASE WHEN f.d < f.filled THEN 0.02 ELSE 0 END) "
+    "- CASE WHEN f.d < f.filled AND f.d <= 50 AND p.d >= 0.9 * (p.hi - p.lo + 1) AND f.lo >= p.lo AND f.hi <= p.hi THEN 0.50 * CASE WHEN s.sim >= 0.7 THEN 0 WHEN s.sim <= 0.5 THEN 1 ELSE (0.7 - s.sim) / 0.2 END ELSE 0 END AS score "
+    "FROM met m JOIN prof f ON f.t = m.ft AND f.c = m.fc JOIN prof p ON p.t = m.pt AND p.c = m.pc JOIN sim s ON s.fc = m.fc AND s.pt = m.pt AND s.pc = m.pc WHERE p.d = p.n AND p.d >= 2), "
+    f"place(t, i) AS (VALUES {', '.join(f'({chr(39)}{t}{chr(39)}, {i})' for i, t in enumerate(KEYS))}), "
+    "kept AS (SELECT sc.*, ROW_NUMBER() OVER (PARTITION BY LEAST(ft || '.' || fc, pt || '.' || pc), GREATEST(ft || '.' || fc, pt || '.' || pc) ORDER BY ROUND(score, 4) DESC, a.i > b.i) AS rn FROM sc JOIN place a ON a.t = ft JOIN place b ON b.t = pt WHERE score >= 0.55) "
+    "SELECT ft AS fk_table, fc AS fk_column, pt AS pk_table, pc AS pk_column, CAST(ROUND(score, 4) AS DOUBLE) AS confidence, CAST(ROUND(cont, 6) AS DOUBLE) AS containment, CAST(ROUND(sim, 6) AS DOUBLE) AS name_similarity, "
+    "CASE WHEN score >= 0.80 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS label FROM kept WHERE rn = 1"
+)
+CONTRACT = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", \"column\", dtype, role, ROUND(GREATEST(0.05, CASE role WHEN 'id' THEN 0.9 WHEN 'timestamp' THEN 0.8 WHEN 'measure' THEN 0.78 WHEN 'dimension' THEN 0.7 ELSE 0.55 END - LEAST(0.2, 0.4 * null_pct)), 4) AS confidence, FALSE AS provisional FROM ({profile_sql(t)})"
+    for t in ASKED
 )
 CENTS = "ROUND(CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2)"
 
 QUERIES = {
-    "link_containment": planned(lambda t, s: overlaps(_narrow(t), UNIQUE), MATRIX),
-    "link_edges": planned(_edges, "SELECT *, CAST(1 AS DOUBLE) AS confidence FROM (VALUES " + ", ".join(map(str, LINKS)) + ") AS v(fk_table, fk_column, pk_table, pk_column)"),
+    "link_containment": planned(_overlaps, MATRIX),
+    "link_edges": planned(_edges, EDGES),
+    "contract_columns": planned(_contract_columns, CONTRACT),
+    "ask_readings": planned(_readings, "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{r}')" for q, r in QUESTIONS.items()) + ") AS v(question, reading)"),
+    "ask_filtered_by_any_value": planned(ask("total o_totalprice for NATION_17", ["sum_o_totalprice"]), f"SELECT {CENTS} AS sum_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_17'"),
+    "ask_two_values": planned(ask("how many orders by o_orderpriority for FURNITURE and BUILDING", []), "SELECT o_orderpriority, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('FURNITURE', 'BUILDING') GROUP BY o_orderpriority"),
+    "ask_above_a_number": planned(ask("number of orders with o_totalprice over 250,000 by c_mktsegment", []), "SELECT c_mktsegment, COUNT(o_totalprice) AS count_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000 GROUP BY c_mktsegment"),
     "link_path": planned(_path, "SELECT CAST(step AS BIGINT) AS step, fk_column, pk_column FROM (VALUES (0, 'l_partkey', 'p_partkey'), (1, 'l_suppkey', 's_suppkey'), (2, 's_nationkey', 'n_nationkey'), (3, 'n_regionkey', 'r_regionkey')) AS v(step, fk_column, pk_column)"),
     "ask_total_by_nation": planned(ask("total o_totalprice by n_name", ["sum_o_totalprice"]), f"SELECT n_name, {CENTS} AS sum_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "ask_max_by_segment": planned(ask("highest o_totalprice by c_mktsegment", []), "SELECT c_mktsegment, MAX(o_totalprice) AS max_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"),

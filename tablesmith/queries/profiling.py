@@ -18,7 +18,7 @@ COLUMNS = {
     "lineitem": "l_orderkey:numeric l_partkey:numeric l_suppkey:numeric l_linenumber:numeric l_quantity:numeric l_extendedprice:numeric l_discount:numeric l_tax:numeric l_returnflag:text l_linestatus:text l_shipdate:date",
     "events": "event_id:numeric ts:date user_id:numeric event_type:text value:numeric props:text",
 }
-OUT = ["column", "dtype", "null_pct", "distinct_count", "is_id", "is_unique", "numeric_min", "numeric_max", "avg_len", "role"]
+OUT = ["column", "dtype", "null_pct", "distinct_count", "cardinality_ratio", "fingerprint", "is_id", "is_unique", "whole", "numeric_min", "numeric_max", "date_min", "date_max", "avg_len", "role"]
 
 
 def oracle(table: str) -> str:
@@ -28,12 +28,13 @@ def oracle(table: str) -> str:
         number = kind == "numeric"
         parts.append(
             f"SELECT '{c}' AS c, '{kind}' AS dtype, COUNT(*) AS n, COUNT({c}) AS filled, COUNT(DISTINCT {c}) AS d, {f'CAST(MIN({c}) AS DOUBLE)' if number else 'NULL'} AS lo, "
-            f"{f'CAST(MAX({c}) AS DOUBLE)' if number else 'NULL'} AS hi, {f'ROUND(AVG(LENGTH({c})), 2)' if kind == 'text' else 'NULL'} AS len FROM {table}"
+            f"{f'CAST(MAX({c}) AS DOUBLE)' if number else 'NULL'} AS hi, {f'ROUND(AVG(LENGTH({c})), 2)' if kind == 'text' else 'NULL'} AS len, "
+            f"{f'BOOL_AND({c} = FLOOR({c}))' if number else 'FALSE'} AS whole, {f'CAST(MIN({c}) AS VARCHAR)' if kind == 'date' else 'NULL'} AS first, {f'CAST(MAX({c}) AS VARCHAR)' if kind == 'date' else 'NULL'} AS last FROM {table}"
         )
     named = "REGEXP_MATCHES(c, '(^|_)(id|key|code|no|num)$')"
     uniq = "(filled = n AND d = filled)"
     return (
-        f"SELECT c AS \"column\", dtype, ROUND(1 - filled / n, 4) AS null_pct, d AS distinct_count, {uniq} AND d > 1 AND {named} AS is_id, {uniq} AS is_unique, lo AS numeric_min, hi AS numeric_max, len AS avg_len, "
+        f"SELECT c AS \"column\", dtype, ROUND(1 - filled / n, 4) AS null_pct, d AS distinct_count, ROUND(d / filled, 4) AS cardinality_ratio, CASE WHEN whole THEN 'integer' END AS fingerprint, {uniq} AND d > 1 AND {named} AS is_id, {uniq} AS is_unique, whole, first AS date_min, last AS date_max, lo AS numeric_min, hi AS numeric_max, len AS avg_len, "
         f"CASE WHEN dtype = 'date' THEN 'timestamp' WHEN {named} AND ({uniq} AND d > 1 OR dtype <> 'text') THEN 'id' WHEN dtype = 'numeric' THEN 'measure' WHEN d / filled <= 0.7 AND d <= 50 THEN 'dimension' ELSE 'text' END AS role "
         f"FROM ({' UNION ALL '.join(parts)})"
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
-from ..streaming.windows import sessions, sliding, tumbling
-from . import planned, same, spelled
+from ..operators.rows import qualified, sampled
+from ..streaming.windows import drained, files, sessions, sliding, tumbling
+from . import Query, planned, same, spelled
 
 CENTS = "CAST(o_totalprice AS DECIMAL(18,2))"
 STAMP = "%Y-%m-%d %H:%M:%S"
@@ -23,7 +25,39 @@ def _clicks_before_purchases(t, spark):
     return _stamped(asof_join(left, right, ["user_id"], "ts", "click_ts", ["click_ts"]), "ts", "click_ts")
 
 
+def _live(plan):
+    """The plan over the events as a stream of files, run until all files are read; what it has written last."""
+
+    def run(spark, folder):
+        schema = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
+        return drained(plan(files(spark, folder, schema, only="events.parquet")))
+
+    return run
+
+
+N = F.count(F.lit(1)).alias("n")
+
+
+def _top_orders(t, spark):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return qualified(t["orders"].select("o_custkey", "o_orderkey", "o_totalprice"), place <= 2).select("o_custkey", "o_orderkey")
+
+
 QUERIES = {
+    "window_qualify": planned(_top_orders, "SELECT o_custkey, o_orderkey FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
+    "sample_rows": planned(
+        lambda t, s: sampled(t["lineitem"], ["l_orderkey", "l_linenumber"], 0.1, "a").select("l_orderkey", "l_linenumber"),
+        "SELECT l_orderkey, l_linenumber FROM lineitem WHERE MD5('a' || CHR(31) || l_orderkey || CHR(31) || l_linenumber)[1:8] < '19999999'",
+    ),
+    "stream_tumbling_live": Query(
+        _live(lambda d: _stamped(tumbling(d, "ts", "1 hour", ["event_type"], [N], "1 minute").drop("window_end"), "window_start")),
+        f"SELECT STRFTIME(TIME_BUCKET(INTERVAL 1 HOUR, ts), '{STAMP}') AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2",
+    ),
+    "stream_sessions_live": Query(
+        _live(lambda d: _stamped(sessions(d, "ts", "30 minutes", ["user_id"], [N], "1 minute").drop("session_end"), "session_start")),
+        f"SELECT STRFTIME(MIN(ts), '{STAMP}') AS session_start, user_id, COUNT(*) AS n FROM (SELECT user_id, ts, SUM(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s "
+        "FROM (SELECT user_id, ts, event_id, ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id, s",
+    ),
     "window_ranks": spelled(
         "SELECT s_suppkey, ROW_NUMBER() OVER w AS rn, RANK() OVER v AS rk, DENSE_RANK() OVER v AS dr, NTILE(4) OVER w AS quarter FROM {supplier} "
         "WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey), v AS (PARTITION BY s_nationkey ORDER BY FLOOR(s_acctbal / 1000))",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import canonical, dedup, rules
 from .operators.cleaning import Flag, clean, data_columns
-from .operators.joins import discover
+from .operators.joins import discover, mark_foreign
 from .operators.ledger import ROW_ID, Ledger
 from .operators.profile import profile, samples
 from .plans import contract as contracts
@@ -120,8 +120,9 @@ class Workspace:
         return self._rebuild(list(self.raw))
 
     def duplicates(self, table: str) -> dict[str, DataFrame]:
+        """Groups of equal rows, which row is in which, and pairs of nearly equal rows; none is removed."""
         df = self._with_ids(table)
-        return {"exact": dedup.exact_groups(df), "near": dedup.near_duplicates(df)}
+        return {"exact": dedup.exact_groups(df), "members": dedup.exact_members(df), "near": dedup.near_duplicates(df)}
 
     def suggest(self, table: str) -> list[dict]:
         """Merges of values that a person may want; none is applied."""
@@ -150,14 +151,17 @@ class Workspace:
     def profiled(self) -> list[dict]:
         if self.profiles is None:
             self.profiles = [r.asDict() for t, df in self.frames().items() for r in profile(df, t).collect()]
+            shown = {t: samples(df, [p["column"] for p in self.profiles if p["table"] == t]) for t, df in self.tables.items()}
             for p in self.profiles:
-                if p["role"] == "dimension":
-                    p["samples"] = samples(self.tables[p["table"]], p["column"])
+                p["samples"] = shown[p["table"]].get(p["column"], [])
         return self.profiles
 
     def linked(self) -> Graph:
         if self.graph is None:
-            self.graph = Graph(discover(self.frames(), self.profiled()))
+            profiles = self.profiled()
+            edges = discover(self.frames(), profiles)
+            mark_foreign(profiles, edges)
+            self.graph = Graph(edges)
         return self.graph
 
     def schema(self, labels: Callable | None = None) -> contracts.Contract:
@@ -181,9 +185,9 @@ class Workspace:
         self.questions += 1
         return run_sql(statement, self.guard(keyed), contract=self.contract)
 
-    def ask(self, question: str, writer: Callable | None = None, proposer: Callable | None = None) -> Answer:
+    def ask(self, question: str, writer: Callable | None = None, proposer: Callable | None = None, narrator: Callable | None = None) -> Answer:
         self.questions += 1
-        return answer(question, self.schema(), self.frames(), self.guard(), writer, proposer)
+        return answer(question, self.schema(), self.frames(), self.guard(), writer, proposer, narrator)
 
     def wipe(self) -> None:
         """Forgets everything; may be called again."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import scratch
+
 
 def _windowed(df: DataFrame, time: str, window, keys: list[str], aggs: list[Column], delay: str | None, names: tuple[str, str]) -> DataFrame:
     """The aggregates by window and key. Watermarks need instants: local times are read as instants and given back as local."""
@@ -31,6 +35,20 @@ def sessions(df: DataFrame, time: str, gap: str, keys: list[str], aggs: list[Col
     return _windowed(df, time, F.session_window(time, gap), keys, aggs, delay, ("session_start", "session_end"))
 
 
-def files(spark, folder: str, schema, fmt: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
-    """A folder that files arrive in, as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(folder)
+def files(spark, folder: str, schema, fmt: str = "parquet", files_per_trigger: int = 64, only: str | None = None) -> DataFrame:
+    """A folder that files arrive in, as a stream. only: a pattern of the names that are read."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt)
+    return (reader.option("pathGlobFilter", only) if only else reader).load(folder)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What an aggregated stream has come to once all that has arrived is read. Its state and results are in the shared folder."""
+    spark = stream.sparkSession
+    place = f"{scratch(spark)}/streams/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/result")
+
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/result")

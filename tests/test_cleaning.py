@@ -131,7 +131,7 @@ def test_ratio(spark):
 def test_duplicates(spark):
     df = table(spark, company=["Acme Inc", "Acme Inc.", "Beta LLC", "Gamma", "Delta", "Delta"], amount=["5", "5", "7", "5", "9", "9"])
     done = clean(df).df
-    assert [r["row_ids"] for r in dedup.exact_groups(done).collect()] == [[4, 5]]
+    assert [tuple(r) for r in dedup.exact_groups(done).collect()] == [(4, 5, 2)]
     near = dedup.near_duplicates(done).collect()
     assert [(r["row_a"], r["row_b"], r["differs"]) for r in near] == [(0, 1, ["company"])] and near[0]["similarity"] >= 0.85
     assert dedup.near_duplicates(done.select(ROW_ID, "company")).count() == 1

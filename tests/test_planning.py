@@ -27,7 +27,7 @@ def test_profile(spark):
     assert p["id"]["role"] == "id" and p["id"]["is_id"] and p["id"]["fingerprint"] == "integer"
     assert p["email"]["fingerprint"] == "email" and p["segment"]["role"] == "dimension"
     assert p["amount"]["role"] == "measure" and p["amount"]["numeric_min"] == 5.25
-    assert samples(df, "segment") == ["s", "t"]
+    assert samples(df, ["segment", "id"]) == {"segment": ["s", "t"], "id": [1, 2, 3]}
     assert {r["role"] for r in profile(df, approximate=True).collect()} == {"id", "text", "dimension", "measure"}
 
 
@@ -202,7 +202,9 @@ def test_rules_and_duplicates_in_a_workspace(spark):
     assert w.resolve("zoo", [[2, 3]]) == 1 and w.sql("SELECT COUNT(*) AS n FROM zoo").rows == [{"n": 3}]
     w.apply_rules([Rule("force_type", "zoo", "score", "text")])
     assert w.sql("SELECT COUNT(*) AS n FROM zoo").rows == [{"n": 4}]
-    assert [r["row_ids"] for r in w.duplicates("zoo")["exact"].collect()] == [[2, 3]]
+    found = w.duplicates("zoo")
+    assert [tuple(r) for r in found["exact"].collect()] == [(2, 3, 2)]
+    assert sorted(map(tuple, found["members"].collect())) == [(2, 2), (3, 2)]
 
 
 def test_registry(spark):
