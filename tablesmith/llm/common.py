@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 from functools import reduce, wraps
 
@@ -13,14 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..workers import partitions_for, ship  # noqa: F401 - of this module for the operators
+from ..workers import partitions_for, scratch, ship  # noqa: F401 - of this module for the operators
 
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 4096
 HOT_KEYS = 1000
 #: Most bits of a bit table: bounds what is collected and broadcast (16 MB).
 TABLE_BITS = 1 << 27
-_OWN: set[str] = set()
 _PATHS: list[str] = []
 
 
@@ -29,19 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; if unset, in local mode one of this process."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = f"file://{tempfile.gettempdir()}/tablesmith-{os.getpid()}"
-        if not _OWN:
-            atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
-        _OWN.add(where)
-    return where.rstrip("/")
-
-
 def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage, survives lost executors, is compressed."""
     path = f"{scratch(df.sparkSession)}/tables/{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ import numpy as np
 
 #: Elements by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
+RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes")
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure "
     "figcaption address header footer nav aside form fieldset details summary hgroup center hr video audio canvas dialog search menu legend".split()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tablesmith.llm import html_extraction, layouts, pretokens, quality, token_counts, token_files, toxicity, word_bytes
+from tablesmith.llm.decontamination import Words
 from tablesmith.llm.html_nodes import Page, blocks, features
 
 ODD = ["it's <|endoftext|> so", "''s 'LL don't", "a\x85b\xa0c", "×÷ªµº²³¹¼½¾", "日本語 ﬁ", "", "   ", "x" * 5000, "!" * 70, "İx é", "🙂 a", "\x1c\x1d", "<|startoftext|>", None]
@@ -221,3 +222,107 @@ def test_chain_links_are_out_of_fold(monkeypatch):
     rng = np.random.default_rng(0)
     toxicity.Chain(np.repeat(np.arange(40), 5), rng.integers(0, 20, 200), (rng.random(40) < 0.5).astype(float))
     assert seen == [(x, c) for c in range(len(toxicity.CATEGORIES)) for x in (*[30] * toxicity.FOLDS, 40)]
+
+
+# Operators 4 and 6 against plain versions of their own definitions, text by text.
+
+
+def plain_passages(text):
+    """The features of each passage of one text, word by word."""
+    raw = text.encode()
+    words, at = [], 0
+    for part in __import__("re").finditer(rb"[^\x09-\x0d\x20]+", raw):
+        words.append((part.start(), part.group()))
+    out = []
+    for p in range(max(1, -(-len(words) // quality.PASSAGE))):
+        own = words[p * quality.PASSAGE : (p + 1) * quality.PASSAGE]
+        row = np.zeros(quality.FEATURES, np.float32)
+        if own:
+            at = 0 if p == 0 else own[0][0]
+            end = words[(p + 1) * quality.PASSAGE][0] if (p + 1) * quality.PASSAGE < len(words) else len(raw)
+            counts = np.zeros(144)
+            for i in range(at, end):
+                if i + 1 < len(raw):  # the last byte of a passage pairs with the next passage's first
+                    counts[quality._CLASS[raw[i]] * 12 + quality._CLASS[raw[i + 1]]] += 1
+            row[:144] = np.sqrt(counts / max(1, end - at))
+            sizes = [min(len(w), 40) for _, w in own]
+            mean = sum(sizes) / len(own)
+            row[144:147] = len(own) / quality.PASSAGE, mean / 10, np.sqrt(max(0, sum(x * x for x in sizes) / len(own) - mean**2)) / 5
+            short = [(w[:7], len(w) % 256) for _, w in own]
+            for lag in (1, 2, 3, 4):
+                row[146 + lag] = sum(short[i] == short[i - lag] for i in range(lag, len(own))) / len(own)
+            kinds = lambda i: [quality._CLASS[w[i]] for _, w in own]
+            row[151] = sum(k == 1 for k in kinds(0)) / len(own)
+            row[152] = sum(7 <= k <= 10 for k in kinds(-1)) / len(own)
+            row[153] = sum(x == 1 for x in sizes) / len(own)
+        out.append(row)
+    return np.stack(out)
+
+
+def test_quality_scores_against_a_plain_version(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.op4_quality(spark, folder).collect()}
+    p, sig = model.p, lambda x: 1 / (1 + np.exp(-x))
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        h = np.tanh(((plain_passages(r.text or "") - model.mean) / model.scale) @ p["W"] + p["b"])
+        gate = np.exp([float(np.tanh(x @ p["V"]) * sig(x @ p["U"]) @ p["w"]) for x in h])
+        want = sig(sum(a * x for a, x in zip(gate / gate.sum(), h, strict=True)) @ p["c"] + p["d"][0])
+        assert got[r.doc_id] == pytest.approx(float(want), abs=1e-5)
+
+
+def test_toxicity_against_a_plain_version(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, folder).collect()}
+    one = lambda t: (np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    for r in docs.orderBy("doc_id").limit(80).collect():
+        words = Words(*one(r.text or ""))
+        _, found = toxicity.features(words)
+        n, counts = int(words.n[0]), {}
+        for f in found.tolist():
+            counts[f] = counts.get(f, 0) + 1
+        has = {f * len(toxicity.LEVELS) + k for f, c in counts.items() for k, (least, share) in enumerate(toxicity.LEVELS) if c >= least and c >= share * n}
+        before = []
+        for name, m in zip(toxicity.CATEGORIES, chain.models, strict=True):
+            s = m.d + sum(w for i, w in zip(m.ids.tolist(), m.w, strict=True) if i in has) + sum(v * x for v, x in zip(m.v, before, strict=True))
+            before.append(m.constant if m.constant is not None else 1 / (1 + np.exp(-s)))
+            assert got[r.doc_id][name] == pytest.approx(float(before[-1]), abs=1e-9)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = toxicity.op6_toxicity(spark, folder).join(labels.selectExpr("doc_id", "toxic as label"), "doc_id").where("held_out").toPandas()
+    toxic = out.label
+    assert out.predicted[toxic == 1].mean() >= 0.9 and out.predicted[toxic == 0].mean() <= 0.005
+
+
+def test_extraction_of_whole_pages_against_generated_layouts(spark):
+    made = [layouts.generated(np.random.default_rng([78, i])) for i in range(60)]
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+    want = []
+    for h, roles in made:
+        page = Page(h)
+        want.append(blocks(page, np.array([1, *roles], bool)))
+    assert sum(got[i] == w for i, w in enumerate(want)) >= 0.93 * len(made)
+
+
+@pytest.mark.parametrize("tag", ["noscript", "xmp", "math", "object", "svg", "select"])
+def test_nothing_of_an_article_is_lost_to_an_element(spark, tag):
+    article = "".join(f"<p>Sentence number {i} of the article, with words, commas and more of it.</p>" for i in range(12))
+    for html in (f"<{tag}>inner words</{tag}>", f"<{tag}>inner words"):
+        page = f'<html><body><nav><a href="/">Home</a></nav><div id="content"><article><h1>Title</h1>{article[:300]}{html}{article[300:]}</article></div></body></html>'
+        text = html_extraction.main_texts([page], html_extraction.trained())[0]
+        assert text.count("Sentence number") == 12, (html, text)
+
+
+def test_deep_pages_take_linear_time():
+    model = html_extraction.trained()
+    html = "<article>" + "<b>" * 20000 + "deep text, with words and commas." + "</b>" * 20000 + "<p>After it, more text of the article.</p></article>"
+    began = __import__("time").time()
+    html_extraction.main_texts([html], model)
+    assert __import__("time").time() - began < 20
