@@ -38,6 +38,8 @@ DISTANCE = 3
 #: band that all pair up; and the share of a sketch below which a pair isn't compared.
 WIDE, ALIKE, BANDS, ROWS, FEW, SKETCHED = 5, 0.8, 42, 6, 16, 0.68
 GOLAY = 0xC75  # the code's generator polynomial
+#: Bits of the numbers of texts that are turned to choose at random.
+UID_BITS = 44
 #: First bit and width of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 
@@ -237,19 +239,19 @@ def band_pairs(texts: DataFrame) -> DataFrame:
     least, greatest and sum; only the texts of the others are looked up.
     """
     keyed_ = texts.select("uid", F.explode("keys").alias("key"))
-    groups = keyed_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("a"), F.max("uid").alias("c"), F.sum("uid").alias("s"))
-    groups = stored(groups.where("n > 1"))
-    # uids are below 2**53 or so: three of them don't overflow a sum.
-    small = groups.where("n <= 3").select(F.explode(F.array(F.struct(F.col("c").alias("u"), F.col("a").alias("v")), *[F.when(F.col("n") == 3, F.struct(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))) for x, y in ((F.col("s") - F.col("a") - F.col("c"), F.col("a")), (F.col("s") - F.col("a") - F.col("c"), F.col("c")))])).alias("p"))
-    small = small.where("p is not null").select("p.*")
-    shared = stored(keyed_.join(groups.where("n > 3").select("key", "n"), "key"))
+    # By turning some bits of the numbers, others for each key, the least and greatest are texts chosen at random.
+    bits = F.xxhash64("key").bitwiseAND(F.lit((1 << UID_BITS) - 1))
+    turned = lambda c: F.col(c).bitwiseXOR(bits)
+    groups = keyed_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(turned("uid")).alias("x"), F.max(turned("uid")).alias("y"), F.sum("uid").alias("s"))
+    groups = stored(groups.where("n > 1").select("key", "n", turned("x").alias("a"), turned("y").alias("b"), "s"))
+    pair = lambda x, y: F.struct(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    third = F.col("s") - F.col("a") - F.col("b")
+    pairs = F.when(F.col("n") == 2, F.array(pair("a", "b"))).otherwise(F.array(pair("a", "b"), pair(F.col("a"), third), pair(F.col("b"), third)))
+    small = groups.where("n <= 3").select(F.explode(pairs).alias("p")).select("p.*")
+    shared = stored(keyed_.join(groups.where("n > 3").select("key", "n", "a", "b"), "key"))
     few = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("uid").alias("ids"))
     few = few.select(F.explode("ids").alias("u"), "ids").select("u", F.explode("ids").alias("v"))
-    large = shared.where(F.col("n") > FEW)
-    mixed = F.xxhash64("uid", "key")
-    chosen = large.groupBy("key").agg(F.min_by("uid", mixed).alias("a"), F.max_by("uid", mixed).alias("b"))
-    many = large.join(chosen, "key").select("uid", F.explode(F.array("a", "b")).alias("c"))
-    many = many.select(F.greatest("uid", "c").alias("u"), F.least("uid", "c").alias("v"))
+    many = shared.where(F.col("n") > FEW).select("uid", F.explode(F.array("a", "b")).alias("c")).select(pair("uid", "c").alias("p")).select("p.*")
     return small.unionByName(few).unionByName(many).where("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
 
 
