@@ -35,9 +35,6 @@ def _live(plan):
     return run
 
 
-N = F.count(F.lit(1)).alias("n")
-
-
 def _top_orders(t, spark):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     return qualified(t["orders"].select("o_custkey", "o_orderkey", "o_totalprice"), place <= 2).select("o_custkey", "o_orderkey")
@@ -50,11 +47,11 @@ QUERIES = {
         "SELECT l_orderkey, l_linenumber FROM lineitem WHERE MD5('a' || CHR(31) || l_orderkey || CHR(31) || l_linenumber)[1:8] < '19999999'",
     ),
     "stream_tumbling_live": Query(
-        _live(lambda d: _stamped(tumbling(d, "ts", "1 hour", ["event_type"], [N], "1 minute").drop("window_end"), "window_start")),
+        _live(lambda d: _stamped(tumbling(d, "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")], "1 minute").drop("window_end"), "window_start")),
         f"SELECT STRFTIME(TIME_BUCKET(INTERVAL 1 HOUR, ts), '{STAMP}') AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2",
     ),
     "stream_sessions_live": Query(
-        _live(lambda d: _stamped(sessions(d, "ts", "30 minutes", ["user_id"], [N], "1 minute").drop("session_end"), "session_start")),
+        _live(lambda d: _stamped(sessions(d, "ts", "30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")], "1 minute").drop("session_end"), "session_start")),
         f"SELECT STRFTIME(MIN(ts), '{STAMP}') AS session_start, user_id, COUNT(*) AS n FROM (SELECT user_id, ts, SUM(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s "
         "FROM (SELECT user_id, ts, event_id, ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id, s",
     ),
