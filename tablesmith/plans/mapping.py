@@ -138,10 +138,14 @@ def propose(question: str, contract: Contract, found: Relevant | None = None, fr
                 filters.append(Filter(*measure, op, float(m[2].replace(",", ""))))
                 _mark(words, _words(m[0]), read)
     tables, alternatives = list(found.tables), []
-    if frames is not None:
-        hits = values_named(words, contract, frames, tables or list(contract.tables))
-        taken: dict[tuple[str, str], list[str]] = {}
-        schema = {w for t in found.anchors for w in (*_words(t), *(w + "s" for w in _words(t)))} | {w for _, c in [*columns, *([measure] if measure else [])] for w in _words(c)}
+    taken: dict[tuple[str, str], list[str]] = {}
+    schema = {w for t in found.anchors for w in (*_words(t), *(w + "s" for w in _words(t)))} | {w for _, c in [*columns, *([measure] if measure else [])] for w in _words(c)}
+    named = lambda w: any(same_word(w, n) for n in schema)
+    # The tables that the question is about first; the others only for words that are then left.
+    for look in ([t for t in contract.tables if t in tables], [t for t in contract.tables if t not in tables]) if frames is not None else ():
+        if not look or all(r or named(w) for w, r in zip(words, read, strict=True)):
+            continue
+        hits = values_named(words, contract, frames, look)
         for run in sorted(hits, key=lambda r: -len(r.split())):
             parts = run.split()
             i = next((i for i in range(len(words)) if words[i : i + len(parts)] == parts and not all(read[i : i + len(parts)])), None)
@@ -152,8 +156,8 @@ def propose(question: str, contract: Contract, found: Relevant | None = None, fr
                 alternatives.append({"options": [f"{t}.{c}" for t, c, _ in best]})
             taken.setdefault(best[0][:2], []).extend(best[0][2])
             read[i : i + len(parts)] = [True] * len(parts)
-        filters += [Filter(t, c, "=" if len(v) == 1 else "in", v[0] if len(v) == 1 else v) for (t, c), v in taken.items()]
-        tables += [t for t, _ in taken if t not in tables]
+    filters += [Filter(t, c, "=" if len(v) == 1 else "in", v[0] if len(v) == 1 else v) for (t, c), v in taken.items()]
+    tables += dict.fromkeys(t for t, _ in taken if t not in tables)
     if not tables:
         return None
     used = {*group, *([measure] if measure else []), *((f.table, f.column) for f in filters)}

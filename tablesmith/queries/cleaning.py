@@ -105,7 +105,7 @@ def _near_names(t, spark):
 def _scanned(spark, folder):
     """Customers as a large file: a banner, a header, a blank column, rows over several splits, a footer; scanned back."""
     path = f"{scratch(spark)}/files/{uuid.uuid4().hex}"
-    rows = Tables(spark, folder)["customer"].select(F.col("c_custkey").alias("k"), F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit(', Inc"')), F.lit(""), F.format_number("c_acctbal", "0.00")).alias("value"))
+    rows = Tables(spark, folder)["customer"].select(F.col("c_custkey").alias("k"), F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit(', Inc"')), F.lit(""), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("value"))
     ends = spark.createDataFrame([(-2, "Customers of the year,,,"), (-1, "Customer No,Full Name,,Balance"), (1 << 62, "Total,,,9")], "k long, value string")
     rows.unionByName(ends).repartitionByRange(5, "k").sortWithinPartitions("k").select("value").write.text(path)
     out = text.scan(spark, path)

@@ -92,7 +92,10 @@ def scan(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bo
 
     Only its first rows and the last five come to the driver, for the layout.
     """
-    lines = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(4 * HEAD_ROWS).collect()]
+    source = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begins"))
+    # Files are read largest first: the head is that of the first by name.
+    start = source.agg(F.min("file")).first()[0]
+    lines = [r[0] for r in source.where((F.col("file") == start) & (F.col("begins") == 0)).select("value").limit(4 * HEAD_ROWS).collect()]
     sep = delimiter("\n".join(lines))
     sample = [r for r in csv.reader(lines, delimiter=sep) if any(c.strip() for c in r)]
     if not sample:

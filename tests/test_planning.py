@@ -165,6 +165,33 @@ def test_questions(spark):
     assert right.status == "answered"
 
 
+def test_any_value_is_a_filter_and_no_word_is_passed_over(spark):
+    w = Workspace(spark)
+    places = [f"Land {chr(65 + i // 26)}{chr(65 + i % 26)}" for i in range(600)]
+    w.upload([("sales.csv", ("sale_id,country,channel,amount\n" + "".join(f"{i},{places[i % 600]},{'web' if i % 2 else 'shop'},{i}\n" for i in range(1200))).encode())])
+    total = lambda keep: float(sum(i for i in range(1200) if keep(i)))
+    one = w.ask("total amount for land XB")
+    assert one.rows == [{"sum_amount": total(lambda i: i % 600 == 23 * 26 + 1)}], one
+    two = w.ask("total amount in Land AA and land AC from the web")
+    assert two.rows == [{"sum_amount": None}] or two.status == "answered"
+    assert w.ask("total amount for land AA by channel").rows == [{"channel": "shop", "sum_amount": total(lambda i: i % 600 == 0)}]
+    for q in ("total amount for Germany", "total amount by moon phase", "total amount except shop", "total amount in 2024", "amount of unicorns"):
+        a = w.ask(q)
+        assert a.status == "refused" and not a.rows, q
+    assert w.ask("number of sales with amount over 1,190").rows == [{"count_amount": 9}]
+    said = w.ask("total amount by channel", narrator=lambda q, sql, rows, n: {"insight": f"{n} channels", "followups": ["a", "b", "c", "d"]})
+    assert said.text == "2 channels" and said.followups == ["a", "b", "c"] and not said.truncated
+    many = w.ask("total amount by country")
+    assert many.truncated and len(many.rows) == 500
+
+
+def test_asof_of_a_hot_key_in_ranges(spark):
+    left = spark.createDataFrame([(1, float(i), i) for i in range(0, 300, 7)] + [(None, 5.0, 999), (1, None, 1000)], "k long, t double, l long")
+    right = spark.createDataFrame([(1, float(i), i) for i in range(3, 250, 11)] + [(2, 1.0, 7), (1, None, 8)], "k long, rt double, r long")
+    plain, cut = (sorted(map(str, asof_join(left, right, ["k"], "t", "rt", ["r"], n).collect())) for n in (1, 6))
+    assert plain == cut and len(cut) == left.count()
+
+
 def test_proposals_are_checked(spark):
     w = workspace(spark)
     ask = lambda raw: w.ask("zzz qqq", proposer=lambda q, d: raw)
