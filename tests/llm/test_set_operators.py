@@ -380,16 +380,42 @@ def test_likeness_follows_edits():
     assert scores[0] == 1 and scores[1] > 0.9 and scores[1] > scores[2] > scores[3]
 
 
-def test_similar_pairs(spark):
+def test_similar_documents(spark):
     rng = np.random.default_rng(10)
     base = ["".join(rng.choice(list("abcdefghij klm"), 800)) for _ in range(20)]
-    texts = base + [t[:400] + "Q" + t[400:] for t in base] + base[:3]
-    prints = edit_embedding.written(edit_embedding.embed(texts))
-    df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
-    got = {(r.u, r.v) for r in edit_embedding.similar(df).collect()}
+    texts = base + [t[:400] + "Q" + t[400:] for t in base] + base[:3] + ["", None]
+    big = "".join(rng.choice(list("nopqrstuv wx"), 900))
+    for i in range(60):  # one large group of edited copies
+        at = int(rng.integers(0, 900))
+        texts.append(big[:at] + f"{i:02d}" + big[at:])
+    prints = edit_embedding.written(edit_embedding.embed([t or "" for t in texts]))
+    df = spark.createDataFrame([*enumerate(prints), (None, prints[0]), (None, "0" * 128)], "doc_id long, fingerprint string")
+    got = edit_embedding.similar(df.selectExpr("*", "1 as n", "2 as uid")).collect()
+    assert len(got) == len(prints) + 2
+    of = {r.doc_id: r.similar_id for r in got if r.doc_id is not None}
     alike = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) / len(x)
-    brute = {(a, b) for a in set(prints) for b in set(prints) if a < b and alike(a, b) >= 0.8}
-    assert got <= brute and len(got) >= 0.9 * len(brute) > 0
+    brute = [(i, j) for i in range(len(prints)) for j in range(i) if alike(prints[i], prints[j]) >= 0.8]
+    assert sum(of[i] == of[j] for i, j in brute) >= 0.95 * len(brute) > 500
+    root = {i: i for i in of}
+    for _ in range(len(prints)):
+        for i, j in brute:
+            root[i] = root[j] = min(root[i], root[j])
+    assert all(root[c] == root[i] for i, c in of.items())  # no class joins what no chain of links joins
+    assert Counter(of[i] for i in range(45, 105)).most_common(1)[0][1] >= 55
+    assert edit_embedding.similar(df.limit(0)).count() == 0
+
+
+def test_similar_documents_of_the_tables(spark, data):
+    got = {r.doc_id: r for r in edit_embedding.similar_documents(spark, data).collect()}
+    ids = sorted(got)
+    packed = np.array([list(bytes.fromhex(got[i].fingerprint)) for i in ids], np.uint8)
+    samples = np.concatenate([packed >> 4, packed & 15], 1)
+    found = wanted = 0
+    for k, i in enumerate(ids):
+        for j in np.flatnonzero((samples[:k] == samples[k]).mean(1) >= 0.8).tolist():
+            wanted += 1
+            found += got[i].similar_id == got[ids[j]].similar_id
+    assert found >= 0.9 * wanted > 0
 
 
 # Pipeline
