@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -153,3 +155,38 @@ def test_rules(spark):
             rules.checked([rules.Rule("force_type", None, "score", "text"), bad], schema)
     out, ledger = rules.merged(table(spark, animal=["Cat", "kitty", "dog", None]), "zoo", [rules.Rule("merge_values", None, "animal", "cat", ["CAT", "kitty "])])
     assert values(out, "animal") == ["cat", "cat", "dog", None] and ledger.records[0].cells_affected == 2
+
+
+def test_near_duplicates_within_one_large_block(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        t = rng.sample(words, 4)
+        texts += [" ".join(t), " ".join(reversed(t)).title() if rng.random() < 0.5 else " ".join(t)[:-1] + "q"]
+    df = spark.createDataFrame([(i, 5.0, t, "same") for i, t in enumerate(texts)], f"{ROW_ID} long, strict double, name string, other string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    ordered = lambda t: " ".join(sorted(t.lower().split()))
+    ids = sorted(first.values())
+    want = {(i, j) for k, j in enumerate(ids) for i in ids[:k] if ratio(ordered(texts[i]), ordered(texts[j])) >= 85}
+    assert len(ids) > dedup.BLOCK_ROWS
+    assert {(r["row_a"], r["row_b"]) for r in dedup.near_duplicates(df).collect()} == want and len(want) > 100
+
+
+def test_fuzzy_pairs_have_no_cap(spark):
+    df = spark.createDataFrame([(f"value number {i:04d} of many",) for i in range(3)] + [("Somethng else",), ("something ELSE ",), ("somethingg else",)], "v string")
+    got = {(r["a"], r["b"]) for r in canonical.fuzzy_pairs(df, "v").collect()}
+    assert ("Somethng else", "something ELSE") in got and len(got) == 6
+
+
+def test_case_merges_beyond_a_map(spark, monkeypatch):
+    rows = [(v, i) for i, v in enumerate(["Ab", "AB", "Ab", "cd", "CD", "x", None, "USA", "usa"])]
+    df = spark.createDataFrame(rows, f"v string, {ROW_ID} long")
+    plain, ledger = canonical.canonicalize(df, "t", ["v"])
+    monkeypatch.setattr(canonical, "MAPPED", 0)
+    joined, again = canonical.canonicalize(df, "t", ["v"])
+    show = lambda d: [r["v"] for r in d.orderBy(ROW_ID).collect()]
+    assert show(plain) == show(joined) == ["Ab", "Ab", "Ab", "cd", "cd", "x", None, "United States", "United States"]
+    assert ledger.records == again.records and [r.cells_affected for r in ledger.records] == [2, 2]

@@ -26,11 +26,7 @@ def duck(data):
     return con
 
 
-#: These look for links by values, which holds from 1,500 customers on.
-LARGER = {"link_edges"}
-
-
-@pytest.mark.parametrize("name", [k for k, q in QUERIES.items() if q.oracle and k not in LARGER])
+@pytest.mark.parametrize("name", [k for k, q in QUERIES.items() if q.oracle])
 def test_oracle(spark, data, duck, name):
     df = QUERIES[name].run(spark, data)
     cols = sorted(df.columns)
