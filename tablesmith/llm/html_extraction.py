@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready_workers, table
-from .html_nodes import Page, blocks, features
+from .html_nodes import Page, blocks, by_level, features
 from .layouts import generated
 
 TRAIN_PAGES, SEED = 420, 3
@@ -97,11 +97,7 @@ def trained() -> Trees:
 
 def decode(odds: np.ndarray, up: np.ndarray) -> np.ndarray:
     """The kept nodes: the best set that has every kept node's parent."""
-    level, frontier = np.zeros(len(up), np.int64), up
-    while (frontier >= 0).any():
-        level += frontier >= 0
-        frontier = np.where(frontier >= 0, up[frontier], -1)
-    rows = [np.flatnonzero(level == k) for k in range(int(level.max(initial=0)) + 1)]
+    rows = by_level(up)
     gain = odds.copy()
     for r in rows[:0:-1]:
         np.add.at(gain, up[r], np.maximum(gain[r], 0))

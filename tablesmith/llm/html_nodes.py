@@ -145,6 +145,18 @@ def _groups(attrs: str) -> int:
     return bits
 
 
+def by_level(up: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth from the roots on, in order, so that a step over a level is one array operation. up: parents.
+
+    Depths come from doubling the distance that is looked up, so very deep pages take little longer.
+    """
+    depth, over = (up >= 0).astype(np.int64), up
+    while (over >= 0).any():
+        at = np.maximum(over, 0)
+        depth, over = depth + np.where(over >= 0, depth[at], 0), np.where(over >= 0, over[at], -1)
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(up) else []
+
+
 FEATURES = len(TAGS) + 1 + 2 * len(GROUPS) + 24
 
 
@@ -174,21 +186,15 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     under = np.zeros((n, 11), bool)
     under[order, heavy] = heavy > 0
     below = {"chars": chars.copy(), "words": words.copy(), "stops": stops.copy(), "nodes": np.ones(n), "links": np.where(tag == _TAG_OF["a"], chars, 0.0), "anchors": (tag == _TAG_OF["a"]).astype(float), "paras": (tag == _TAG_OF["p"]).astype(float)}
-    # Levels, so that each step is one array operation: parents come before children.
-    level = np.zeros(n, np.int64)
-    frontier = up
-    while (frontier >= 0).any():
-        level += frontier >= 0
-        frontier = np.where(frontier >= 0, up[frontier], -1)
-    by_level = [np.flatnonzero(level == k) for k in range(int(level.max()) + 1)] if n else []
+    levels = by_level(up)
     in_link = tag == _TAG_OF["a"]
-    for rows in by_level[1:]:
+    for rows in levels[1:]:
         depth[rows] = depth[up[rows]] + 1
         inherited[rows] = np.maximum(inherited[rows], inherited[up[rows]])
         under[rows] |= under[up[rows]]
         in_link[rows] |= in_link[up[rows]]
     below["links"] = np.where(in_link, chars, 0.0)
-    for rows in by_level[:0:-1]:
+    for rows in levels[:0:-1]:
         for v in below.values():
             np.add.at(v, up[rows], v[rows])
     siblings = np.bincount(up[up >= 0], minlength=n)
