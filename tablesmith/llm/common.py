@@ -38,7 +38,7 @@ def _delete(spark: SparkSession, path: str) -> int:
 
 
 def tidy(operator):
-    """The operator, which deletes all that it has stored on its way and its results (a frame, or several) don't read."""
+    """The operator, which deletes all that it has stored on its way and its results (frames or others) don't read."""
 
     @wraps(operator)
     def run(*args, **options):
@@ -48,7 +48,7 @@ def tidy(operator):
         read = {f.rpartition("/")[0].rpartition("/")[2] for x in frames for f in x.inputFiles()}
         for path in [p for p in _PATHS if p not in before and p.rpartition("/")[2] not in read]:
             _PATHS.remove(path)
-            _delete(frames[0].sparkSession, path)
+            _delete(next(x.sparkSession for x in (*frames, *args) if isinstance(x, DataFrame)), path)
         return found
 
     return run

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready_workers, stored, table, utf8
+from .common import ready_workers, stored, table, tidy, utf8
 
 PASSAGE = 48
 FIT_DOCS, FIT_BYTES = 4000, 64 << 20
@@ -177,6 +177,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@tidy
 def fit_data(docs: DataFrame, labels: DataFrame, column: str, most: int, most_bytes: int, featured) -> tuple[np.ndarray, list[bytes]]:
     """Labels and features of the rows to learn from: at most ``most`` labelled documents, those of least hash of the id.
 
