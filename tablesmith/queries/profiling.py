@@ -43,6 +43,6 @@ def oracle(table: str) -> str:
 QUERIES = {f"profile_{t}": planned(lambda tables, s, t=t: profile(tables[t], t).select(*OUT), oracle(t)) for t in COLUMNS} | {
     "fingerprint_urls": planned(
         lambda t, s: t["pages"].agg(F.round(F.avg(F.col("url").rlike(FINGERPRINTS["url"]).cast("int")), 4).alias("share")),
-        "SELECT ROUND(AVG(CASE WHEN REGEXP_MATCHES(url, '^https?://\\S+$') THEN 1 ELSE 0 END), 4) AS share FROM pages",
+        "SELECT ROUND(AVG(CASE WHEN REGEXP_MATCHES(LOWER(url), '^https?://') THEN 1 ELSE 0 END), 4) AS share FROM pages",
     ),
 }
