@@ -53,6 +53,7 @@ class Proposal:
     descending: bool = True
     limit: int | None = None
     unread: list[str] = field(default_factory=list)
+    counted: str | None = None
 
 
 def from_dict(raw: Mapping) -> Proposal:
@@ -163,7 +164,9 @@ def propose(question: str, contract: Contract, found: Relevant | None = None, fr
     used = {*group, *([measure] if measure else []), *((f.table, f.column) for f in filters)}
     names = {w for t in found.anchors for w in _words(t)} | {w for t, c in used for col in [contract.tables[t].columns[c]] for w in (*_words(c), *_words(col.raw_name), *_words(col.meaning), *_words(t))}
     unread = [w for w, r in zip(words, read, strict=True) if not r and not any(same_word(w, n) for n in names)]
-    return Proposal(tables, filters, agg or "COUNT", None if agg in (None, "COUNT") and measure is None else measure, group, alternatives=alternatives, limit=limit, unread=unread)
+    # Rows are counted of the table that the question names, wherever its groups and values are.
+    asked_for = next((t for w in tokens(question) for t in contract.tables if same_word(t.lower(), w)), None)
+    return Proposal(tables, filters, agg or "COUNT", measure, group, alternatives=alternatives, limit=limit, unread=unread, counted=None if measure else asked_for)
 
 
 def _mark(words: list[str], parts: list[str], read: list[bool]) -> None:
@@ -216,10 +219,13 @@ def ambiguous(p: Proposal) -> str | None:
 
 def compiled(p: Proposal, contract: Contract, frames: Mapping[str, DataFrame]) -> DataFrame:
     """The plan: tables along the join path, filters at their tables, one aggregate, a total order."""
-    needed = {t for t, _ in [*([p.measure] if p.measure else []), *p.group_by, *((f.table, f.column) for f in p.filters)]} | set(p.tables[:1] if not (p.measure or p.group_by) else [])
+    named = {t for t, _ in [*([p.measure] if p.measure else []), *p.group_by, *((f.table, f.column) for f in p.filters)]}
+    needed = named | ({p.counted} if p.counted else set(p.tables[:1] if not (p.measure or p.group_by) else []))
     path, edges, lost = contract.graph.path(needed)
     if lost:
         raise ValueError(f"no link reaches {', '.join(lost)}")
+    if p.measure and p.aggregation in ("SUM", "AVG", "COUNT") and (many := next((e.fk_table for e in edges if e.pk_table == p.measure[0]), None)):
+        raise ValueError(f"rows of {p.measure[0]} would count once for each of their rows in {many}")
     used: dict[str, set[str]] = {t: set() for t in path}
     for t, c in [*([p.measure] if p.measure else []), *p.group_by, *((f.table, f.column) for f in p.filters)]:
         used[t].add(c)
@@ -247,7 +253,11 @@ def compiled(p: Proposal, contract: Contract, frames: Mapping[str, DataFrame]) -
         out = out.join(scan(t), F.col(name(e.fk_table, e.fk_column)) == F.col(name(e.pk_table, e.pk_column)))
         joined.add(t)
     x = F.col(name(*p.measure)) if p.measure else F.lit(1)
-    agg = {"SUM": F.sum, "COUNT": F.count, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[p.aggregation or "COUNT"](x)
+    # A counted table that others refer to has each row as often as they do: its rows are told apart by the key referred to.
+    key = next((e.pk_column for e in edges if e.pk_table == p.counted), None) if p.counted and not p.measure else None
+    if key:
+        x = F.col(name(p.counted, key))
+    agg = {"SUM": F.sum, "COUNT": F.count_distinct if key else F.count, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[p.aggregation or "COUNT"](x)
     label = f"{(p.aggregation or 'COUNT').lower()}_{p.measure[1]}" if p.measure else "n"
     groups = [F.col(name(t, c)).alias(c) for t, c in p.group_by]
     out = out.groupBy(*groups).agg(agg.alias(label)) if groups else out.agg(agg.alias(label))

@@ -207,6 +207,8 @@ QUERIES = {
     "contract_columns": planned(_contract_columns, CONTRACT),
     "ask_readings": planned(_readings, "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{r}')" for q, r in QUESTIONS.items()) + ") AS v(question, reading)"),
     "ask_filtered_by_any_value": planned(ask("total o_totalprice for NATION_17", ["sum_o_totalprice"]), f"SELECT {CENTS} AS sum_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_17'"),
+    "ask_rows_of_the_named_table": planned(ask("how many orders by n_name", []), "SELECT n_name, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "ask_rows_told_apart": planned(ask("how many customers by o_orderpriority", []), "SELECT o_orderpriority, COUNT(DISTINCT c_custkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY o_orderpriority"),
     "ask_two_values": planned(ask("how many orders by o_orderpriority for FURNITURE and BUILDING", []), "SELECT o_orderpriority, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('FURNITURE', 'BUILDING') GROUP BY o_orderpriority"),
     "ask_above_a_number": planned(ask("number of orders with o_totalprice over 250,000 by c_mktsegment", []), "SELECT c_mktsegment, COUNT(o_totalprice) AS count_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000 GROUP BY c_mktsegment"),
     "link_path": planned(_path, "SELECT CAST(step AS BIGINT) AS step, fk_column, pk_column FROM (VALUES (0, 'l_partkey', 'p_partkey'), (1, 'l_suppkey', 's_suppkey'), (2, 's_nationkey', 'n_nationkey'), (3, 'n_regionkey', 'r_regionkey')) AS v(step, fk_column, pk_column)"),

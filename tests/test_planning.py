@@ -185,6 +185,19 @@ def test_any_value_is_a_filter_and_no_word_is_passed_over(spark):
     assert many.truncated and len(many.rows) == 500
 
 
+def test_counts_and_sums_through_links(spark):
+    w = Workspace(spark)
+    w.upload([("customers.csv", b"id,segment,balance\n1,Retail,10\n2,Trade,20\n3,Retail,40\n"), ("orders.csv", b"order_id,customer_id,channel\n10,1,web\n11,1,web\n12,3,shop\n13,2,web\n")])
+    w.confirm(manual=[("orders", "customer_id", "customers", "id")])
+    by = lambda a, k: {r[k]: r["n"] for r in a.rows}
+    assert by(w.ask("how many orders by segment"), "segment") == {"Retail": 3, "Trade": 1}
+    assert by(w.ask("how many customers by channel"), "channel") == {"web": 2, "shop": 1}
+    assert w.ask("how many orders for Retail").rows == [{"n": 3}]
+    assert w.ask("total balance by segment").rows == [{"segment": "Retail", "sum_balance": 50}, {"segment": "Trade", "sum_balance": 20}]
+    twice = w.ask("total balance by channel")
+    assert twice.status == "refused" and "orders" in twice.text
+
+
 def test_asof_of_a_hot_key_in_ranges(spark):
     left = spark.createDataFrame([(1, float(i), i) for i in range(0, 300, 7)] + [(None, 5.0, 999), (1, None, 1000)], "k long, t double, l long")
     right = spark.createDataFrame([(1, float(i), i) for i in range(3, 250, 11)] + [(2, 1.0, 7), (1, None, 8)], "k long, rt double, r long")
