@@ -209,7 +209,7 @@ def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("sketch_u", "sketch_v"))
         union, common = ((x > 0) | (y > 0)).sum(1), ((x == y) & (x > 0)).sum(1)
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("u", "v", "place")], ["u", "v", "place"]).filter(pa.array((common >= SKETCHED * union) | (union < 64)))
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array((common >= SKETCHED * union) | (union < 64)))
 
 
 def shingle_set(text: str) -> frozenset[int]:
@@ -231,12 +231,12 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep))
 
 
-def band_pairs(texts: DataFrame) -> DataFrame:
-    """(u, v, times), u > v: texts (uid, keys) that share a key, and how many of these pairs they are.
+def band_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v), u > v: pairs of texts (uid, keys) that share a key; and (uid, a, b): texts with the two that stand for a key.
 
-    Up to FEW texts of a key all pair up. Of more, each pairs with two of them, others for each key, so a large group of
-    copies gives stars, never all of its pairs. Nearly all keys have three texts at most, which one aggregate names by their
-    least, greatest and sum; only the texts of the others are looked up.
+    Up to FEW texts of a key all pair up, and come as pairs, one for each key. Of more, each is to be compared with two of them,
+    others for each key, so a large group of copies gives stars, never all of its pairs. Nearly all keys have three texts at
+    most, which one aggregate names by their least, greatest and sum; only the texts of the others are looked up.
     """
     keyed_ = texts.select("uid", F.explode("keys").alias("key"))
     # By turning some bits of the numbers, others for each key, the least and greatest are texts chosen at random.
@@ -251,8 +251,19 @@ def band_pairs(texts: DataFrame) -> DataFrame:
     shared = stored(keyed_.join(groups.where("n > 3").select("key", "n", "a", "b"), "key"))
     few = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("uid").alias("ids"))
     few = few.select(F.explode("ids").alias("u"), "ids").select("u", F.explode("ids").alias("v"))
-    many = shared.where(F.col("n") > FEW).select("uid", F.explode(F.array("a", "b")).alias("c")).select(pair("uid", "c").alias("p")).select("p.*")
-    return small.unionByName(few).unionByName(many).where("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
+    return small.unionByName(few).where("u > v"), shared.where(F.col("n") > FEW).select("uid", "a", "b")
+
+
+def pairs_of(stars: DataFrame) -> DataFrame:
+    """(u, v), u > v: each text of a star with the two that stand for it."""
+    one, other = (stars.select(F.greatest("uid", c).alias("u"), F.least("uid", c).alias("v")) for c in ("a", "b"))
+    return one.unionByName(other).where("u > v")
+
+
+def band_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v, times): all pairs of ``band_links``, and how many keys make each."""
+    some, stars = band_links(texts)
+    return some.unionByName(pairs_of(stars)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
 
 
 @tidy
@@ -284,34 +295,45 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = stored(own.distinct())
     part = components(own)
 
+    def rooted_at(c: str, part: DataFrame) -> DataFrame:
+        return part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+
     def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
         """The pairs whose classes differ so far."""
-        of = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        out = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
-        return out.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select(pairs.columns)
+        out = pairs.join(rooted_at("u", part), "u", "left").join(rooted_at("v", part), "v", "left")
+        return out.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
-    # Each text's likeliest partner has place 1.
-    best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "v"))
-    pairs = apart(band_pairs(texts).withColumn("place", best).select("u", "v", "place"), part)
-    of = lambda c: texts.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    pairs = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "place", "sketch_u", "sketch_v")
-    pairs = stored(pairs.mapInArrow(plausible, "u long, v long, place int"))
-    # The texts of these pairs: one row of docs for each, found by a bit table of bounded size, then exactly.
-    ends = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
-    wanted = stored(texts.join(ends, "uid", "left_semi").select("uid", "h", F.col("text_key").alias("_key")))
-    table_ = spark.sparkContext.broadcast(bit_table(wanted, "h"))
-    bodies = rows.select("h", "text").mapInArrow(lambda it: maybe_wanted(it, table_), "h long, text string")
-    bodies = bodies.join(wanted, "h").where(F.md5(F.encode("text", "UTF-8")) == F.col("_key"))
-    bodies = stored(bodies.dropDuplicates(["uid"]).select("uid", "text"))
+    def apart_in(stars: DataFrame, part: DataFrame) -> DataFrame:
+        """The same for stars: decided before they become pairs, so that those of a group that is one class never do."""
+        for c in ("uid", "a", "b"):
+            stars = stars.join(rooted_at(c, part), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        other = lambda c: F.when(F.col(f"root_{c}") != F.col("root_uid"), F.col(c)).otherwise(F.col("uid")).alias(c)
+        return pairs_of(stars.where("root_uid <> root_a or root_uid <> root_b").select("uid", other("a"), other("b"))).distinct()
 
     def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
+        """The pairs that are alike: by their sketches first, then as texts."""
+        of = lambda c: texts.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+        near_ = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "sketch_u", "sketch_v")
+        near_ = stored(near_.mapInArrow(plausible, "u long, v long"))
+        # The texts of these pairs: one row of docs for each, found by a bit table of bounded size, then exactly.
+        ends = near_.select(F.col("u").alias("uid")).unionByName(near_.select(F.col("v").alias("uid"))).distinct()
+        wanted = stored(texts.join(ends, "uid", "left_semi").select("uid", "h", F.col("text_key").alias("_key")))
+        table_ = spark.sparkContext.broadcast(bit_table(wanted, "h"))
+        bodies = rows.select("h", "text").mapInArrow(lambda it: maybe_wanted(it, table_), "h long, text string")
+        bodies = bodies.join(wanted, "h").where(F.md5(F.encode("text", "UTF-8")) == F.col("_key"))
+        bodies = stored(bodies.dropDuplicates(["uid"]).select("uid", "text"))
+        both = near_.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
         both = both.join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
         return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verified, "u long, v long"))
 
     # Each text with its likeliest partner first; then the pairs between different classes that are left.
-    own = own.unionByName(compared(pairs.where("place = 1")))
-    own = own.unionByName(compared(apart(pairs.where("place > 1"), components(own))))
+    some, stars = map(stored, band_links(texts))
+    every = some.unionByName(pairs_of(stars)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
+    best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "v"))
+    likeliest = every.withColumn("place", best).where("place = 1").select("u", "v")
+    own = own.unionByName(compared(apart(likeliest, part)))
+    part = components(own)
+    own = own.unionByName(compared(apart(some.distinct(), part).unionByName(apart_in(stars, part)).distinct()))
     member = components(own)
     rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "n", "least", F.coalesce("root", "uid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
