@@ -32,6 +32,14 @@ def logical(dtype: str) -> str:
     return "date" if dtype in ("date", "timestamp", "timestamp_ntz") else "text"
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as C and SQL engines do: what x times a power of ten is, half away from zero.
+
+    ``F.round`` rounds the digits that a double is printed with, so 9 / 60000 = 0.00015, which is a bit less, would be 0.0002.
+    """
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def _measures(c: str, dtype: str, approximate: bool) -> dict[str, Column]:
     x, kind = F.col(f"`{c}`"), logical(dtype)
     text = x.cast("string")
@@ -42,7 +50,7 @@ def _measures(c: str, dtype: str, approximate: bool) -> dict[str, Column]:
     out["whole"] = F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)) if kind == "numeric" else F.lit(False)
     out["text_min"] = F.min(text) if kind in ("text", "date") else F.lit(None).cast("string")
     out["text_max"] = F.max(text) if kind in ("text", "date") else F.lit(None).cast("string")
-    out["avg_len"] = F.round(F.avg(F.length(text)), 2) if kind == "text" else none
+    out["avg_len"] = rounded(F.avg(F.length(text)), 2) if kind == "text" else none
     for name, pattern in FINGERPRINTS.items():
         out[name] = F.count_if(text.rlike(pattern)) if kind == "text" else F.lit(0).cast("long")
     return out
@@ -76,9 +84,9 @@ def profile(df: DataFrame, table: str = "table", approximate: bool = False) -> D
         "dtype",
         "n",
         "filled",
-        F.round(F.when(F.col("n") > 0, 1 - F.col("filled") / F.col("n")).otherwise(1.0), 4).alias("null_pct"),
+        rounded(F.when(F.col("n") > 0, 1 - F.col("filled") / F.col("n")).otherwise(1.0), 4).alias("null_pct"),
         "distinct_count",
-        F.round(ratio, 4).alias("cardinality_ratio"),
+        rounded(ratio, 4).alias("cardinality_ratio"),
         found.alias("fingerprint"),
         (full & (F.col("distinct_count") > 1) & (named | F.coalesce(found == "uuid", F.lit(False)))).alias("is_id"),
         (full & (F.col("filled") > 0)).alias("is_unique"),

@@ -21,6 +21,12 @@ def view(spark, name, rows, schema):
     return df
 
 
+def test_profile_rounds_as_sql_engines_do(spark):
+    """9 / 60000 = 0.00015 as a double is a bit less; DuckDB's ROUND to four digits gives 0.0001."""
+    (r,) = profile(spark.range(60000).select((F.col("id") % 9).alias("x"))).collect()
+    assert (r["cardinality_ratio"], r["null_pct"]) == (0.0001, 0.0)
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, "a@x.io", "s", 5.25), (2, "b@x.io", "s", 7.0), (3, "c@x.io", "t", 6.0)], "id long, email string, segment string, amount double")
     p = {r["column"]: r for r in profile(df).collect()}
