@@ -49,6 +49,11 @@ def columns_of(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:
     return [(t, c, logical(kind)) for t, df in tables.items() for c, kind in df.dtypes if not c.startswith("_") and not kind.startswith(("array", "map", "struct", "binary"))]
 
 
+def compared(df: DataFrame) -> DataFrame:
+    """The columns whose values can be compared, as they are compared: numbers as doubles, whatever their type, all else as text."""
+    return df.select(*[F.col(f"`{c}`").cast("double" if kind == "numeric" else "string").alias(c) for _, c, kind in columns_of({"": df})])
+
+
 def overlaps(tables: Mapping[str, DataFrame], unique: list[tuple[str, str]]) -> DataFrame:
     """(fk_table, fk_column, pk_table, pk_column, common): how many values a column shares with a unique one of its type.
 
