@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, hot_join, partitions_for, ready_workers, stored, table, tidy
+from .common import bit_table, hot_join, partitions_for, ready_workers, stored, table, tidy, trimmed
 from .components import components
 
 SEED = 42
@@ -37,6 +37,8 @@ DISTANCE = 3
 #: Of the pipeline's stage: the shingles and similarity that verify a pair; bands of bins that make candidates; texts of a
 #: band that all pair up; and the share of a sketch below which a pair isn't compared.
 WIDE, ALIKE, BANDS, ROWS, FEW, SKETCHED = 5, 0.8, 42, 6, 16, 0.68
+#: Texts of a block of a large group.
+CROWD = 128
 GOLAY = 0xC75  # the code's generator polynomial
 #: Bits of the numbers of texts that are turned to choose at random.
 UID_BITS = 44
@@ -127,7 +129,7 @@ def keyed(batches: Iterator[pa.RecordBatch], left: bool, triple: bool = True) ->
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v) for distinct fingerprints (fp long) at DISTANCE or fewer differing bits, found by Golay keys and verified."""
-    sides = [fps.mapInArrow(lambda it, left=left: keyed(it, left), "key long, fp long").alias("lr"[1 - left]) for left in (True, False)]
+    sides = [fps.mapInArrow(lambda it, left=left: trimmed(keyed(it, left)), "key long, fp long").alias("lr"[1 - left]) for left in (True, False)]
     on = (F.col("l.key") == F.col("r.key")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= DISTANCE) & (F.col("l.fp") != F.col("r.fp"))
     return sides[0].join(sides[1], on).select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v"))
 
@@ -137,7 +139,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every row of docs (doc_id, text)."""
     ready_workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = stored(rows.mapInArrow(fingerprints, "doc_id long, fp long"))
+    rows = stored(rows.mapInArrow(lambda it: trimmed(fingerprints(it)), "doc_id long, fp long"))
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).repartition(partitions_for(rows)))
     member = components(links(distinct.select("fp")))
     rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
@@ -161,8 +163,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def least_hashes(text: str) -> np.ndarray:
-    """The least hash of the text's WIDE-word shingles in each of 256 bins of hashes, 0 for an empty bin."""
+def wide_hashes(text: str) -> np.ndarray:
+    """The hashes of the text's WIDE-word shingles, sorted."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -172,6 +174,15 @@ def least_hashes(text: str) -> np.ndarray:
     for i in range(min(WIDE, len(words))):
         h = _mixed(h + word[i : i + n])
     h.sort()
+    return h
+
+
+def least_hashes(text: str) -> np.ndarray:
+    """The least hash of the text's WIDE-word shingles in each of 256 bins of hashes, 0 for an empty bin."""
+    return _least(wide_hashes(text))
+
+
+def _least(h: np.ndarray) -> np.ndarray:
     bins = (h >> np.uint64(56)).astype(np.int64)
     first = np.append(0, np.flatnonzero(bins[1:] != bins[:-1]) + 1)
     out = np.zeros(256, "<u8")
@@ -180,12 +191,15 @@ def least_hashes(text: str) -> np.ndarray:
 
 
 def all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text: MD5, fingerprint, a byte for each bin of ``least_hashes``, and a key for each band of bins not all empty."""
+    """Of each text: MD5, fingerprint, a byte for each bin of ``least_hashes``, how many shingles it has, and a key for each band of bins not all empty."""
     for b in batches:
         texts = b.column("text").to_pylist()
         n = len(texts)
         own = np.fromiter(map(fingerprint, texts), "<u8", n).view("<i8")
-        least = np.array([least_hashes(t) for t in texts], "<u8").reshape(n, 256)
+        least, size = np.zeros((n, 256), "<u8"), np.zeros(n, np.int64)
+        for i, t in enumerate(texts):
+            h = wide_hashes(t)
+            least[i], size[i] = _least(h), 1 + np.count_nonzero(h[1:] != h[:-1])
         sketch = np.where(least > 0, (least >> np.uint64(8)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8)
         band = least[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)
         key = np.tile(np.arange(BANDS, dtype="<u8"), (n, 1))
@@ -195,7 +209,7 @@ def all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_ = pa.ListArray.from_arrays(pa.array(np.append(0, full.sum(1).cumsum()), pa.int32()), pa.array(key[full].view("<i8")))
         names = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())
         sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), names, pa.array(own), sketches, keys_], ["doc_id", "h", "text_key", "fp", "sketch", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), names, pa.array(own), sketches, pa.array(size), keys_], ["doc_id", "h", "text_key", "fp", "sketch", "size", "keys"])
 
 
 def maybe_wanted(batches: Iterator[pa.RecordBatch], table_) -> Iterator[pa.RecordBatch]:
@@ -232,10 +246,10 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def band_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v), u > v: pairs of texts (uid, keys) that share a key; and (uid, a, b): texts with the two that stand for a key.
+    """(u, v), u > v: pairs of texts (uid, keys) that share a key; and (uid, a, b, key, n): texts with the two that stand for a key.
 
-    Up to FEW texts of a key all pair up, and come as pairs, one for each key. Of more, each is to be compared with two of them,
-    others for each key, so a large group of copies gives stars, never all of its pairs. Nearly all keys have three texts at
+    Up to FEW texts of a key all pair up, and come as pairs, one for each key. Of more (n), each is first compared with two of
+    them, others for each key, so a large group of copies gives stars; ``crowd_pairs`` has the rest of its pairs. Nearly all keys have three texts at
     most, which one aggregate names by their least, greatest and sum; only the texts of the others are looked up.
     """
     keyed_ = texts.select("uid", F.explode("keys").alias("key"))
@@ -251,7 +265,7 @@ def band_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(keyed_.join(groups.where("n > 3").select("key", "n", "a", "b"), "key"))
     few = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("uid").alias("ids"))
     few = few.select(F.explode("ids").alias("u"), "ids").select("u", F.explode("ids").alias("v"))
-    return small.unionByName(few).where("u > v"), shared.where(F.col("n") > FEW).select("uid", "a", "b")
+    return small.unionByName(few).where("u > v"), shared.where(F.col("n") > FEW).select("uid", "a", "b", "key", "n")
 
 
 def pairs_of(stars: DataFrame) -> DataFrame:
@@ -260,6 +274,52 @@ def pairs_of(stars: DataFrame) -> DataFrame:
     return one.unionByName(other).where("u > v")
 
 
+def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v), u > v: of the two blocks of each row, the pairs of different classes that may be alike by sketch and size.
+
+    A shingle that only one of two texts has changes a byte of the sketches at most, and two alike texts have no more such
+    shingles than (1 - ALIKE) / (1 + ALIKE) of both sizes summed: that holds for sure, and leaves few pairs of short texts. Of
+    64 filled bins or more, SKETCHED holds besides, as in ``plausible``.
+    """
+    for b in batches:
+        of = {c: b.column(c) for c in b.schema.names}
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in range(b.num_rows):
+            (xu, xr, xn), (yu, yr, yn) = ([np.asarray(of[f"{side}_{c}"][r].values) for c in ("uid", "root", "size")] for side in "xy")
+            x, y = (np.frombuffer(b"".join(of[f"{side}_sketch"][r].as_py()), np.uint8).reshape(-1, 256) for side in "xy")
+            filled = y > 0
+            for i in range(len(xu)):
+                other = np.flatnonzero(yr != xr[i])
+                some = filled[other] | (x[i] > 0)
+                union, differ = some.sum(1), (y[other] != x[i]).sum(1)
+                near_ = differ * (1 + ALIKE) <= (1 - ALIKE) * (xn[i] + yn[other]) + 1e-6
+                other = other[near_ & ((union - differ >= SKETCHED * union) | (union < 64))]
+                us.append(np.maximum(yu[other], xu[i]))
+                vs.append(np.minimum(yu[other], xu[i]))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        for i in range(0, len(u), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)]), pa.array(v[i : i + (1 << 16)])], ["u", "v"])
+
+
+def crowd_pairs(stars: DataFrame, texts: DataFrame, part: DataFrame) -> DataFrame:
+    """(u, v), u > v: all pairs of texts that share a key of stars, are of different classes of part and may be alike (``crossed``).
+
+    Of each key, the texts outside its largest class meet all of its texts, in blocks of CROWD; only pairs that may be alike
+    become rows. A key whose texts are of one class by then is done.
+    """
+    s = stars.select("key", "n", "uid").join(part.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    most = s.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("root", "m").alias("main"), F.max("m").alias("most"))
+    s = s.join(most, "key").where("most < n").join(texts.select("uid", "sketch", "size"), "uid")
+
+    def blocks(side: str, rows: DataFrame, n: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("key", "uid"), F.ceil(F.expr(n) / CROWD))
+        out = rows.groupBy("key", block.alias(f"{side}_block")).agg(F.collect_list(F.struct("uid", "root", "size", "sketch")).alias("m"))
+        return out.select("key", *[F.col(f"m.{c}").alias(f"{side}_{c}") for c in ("uid", "root", "size", "sketch")])
+
+    both = blocks("x", s.where("root <> main"), "n - most").join(blocks("y", s, "n"), "key").drop("key")
+    return both.mapInArrow(lambda it: trimmed(crossed(it)), "u long, v long").distinct()
+
+
 def band_pairs(texts: DataFrame) -> DataFrame:
     """(u, v, times): all pairs of ``band_links``, and how many keys make each."""
     some, stars = band_links(texts)
@@ -275,18 +335,17 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Candidates for the second kind are texts whose least shingle hashes are equal in one of BANDS bands of ROWS bins; those
     of like sketches are then compared as texts, unless their classes are one by then. So a pair of alike texts is found
-    with high probability (1 - (1 - ALIKE ** ROWS) ** BANDS or more, where no band is shared by more than FEW texts), and no
-    unlike pair is.
+    with high probability (1 - (1 - ALIKE ** ROWS) ** BANDS or more), and no unlike pair is.
     """
     spark = docs.sparkSession
     ready_workers(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    prints = stored(rows.mapInArrow(all_prints, "doc_id long, h long, text_key string, fp long, sketch binary, keys array<long>"))
+    prints = stored(rows.mapInArrow(lambda it: trimmed(all_prints(it)), "doc_id long, h long, text_key string, fp long, sketch binary, size long, keys array<long>"))
     # Rows without an id name no class, but their texts link others.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("least"), "h")).alias("first")
-    texts = prints.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), first, F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    texts = stored(texts.select("text_key", "n", "first.least", "first.h", "fp", "sketch", "keys", F.monotonically_increasing_id().alias("uid")))
+    texts = prints.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), first, F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    texts = stored(texts.select("text_key", "n", "first.least", "first.h", "fp", "sketch", "size", "keys", F.monotonically_increasing_id().alias("uid")))
     sure = texts.groupBy("fp").agg(F.min("uid").alias("first"))
     own = links(sure.select("fp"))
     own = own.join(sure, own.u == sure.fp).select(F.col("first").alias("u"), "v")
@@ -314,17 +373,17 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs that are alike: by their sketches first, then as texts."""
         of = lambda c: texts.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
         near_ = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "sketch_u", "sketch_v")
-        near_ = stored(near_.mapInArrow(plausible, "u long, v long"))
+        near_ = stored(near_.mapInArrow(lambda it: trimmed(plausible(it)), "u long, v long"))
         # The texts of these pairs: one row of docs for each, found by a bit table of bounded size, then exactly.
         ends = near_.select(F.col("u").alias("uid")).unionByName(near_.select(F.col("v").alias("uid"))).distinct()
         wanted = stored(texts.join(ends, "uid", "left_semi").select("uid", "h", F.col("text_key").alias("_key")))
         table_ = spark.sparkContext.broadcast(bit_table(wanted, "h"))
-        bodies = rows.select("h", "text").mapInArrow(lambda it: maybe_wanted(it, table_), "h long, text string")
+        bodies = rows.select("h", "text").mapInArrow(lambda it: trimmed(maybe_wanted(it, table_)), "h long, text string")
         bodies = bodies.join(wanted, "h").where(F.md5(F.encode("text", "UTF-8")) == F.col("_key"))
         bodies = stored(bodies.dropDuplicates(["uid"]).select("uid", "text"))
         both = near_.join(bodies.select(F.col("uid").alias("u"), F.col("text").alias("text_u")), "u")
         both = both.join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
-        return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verified, "u long, v long"))
+        return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(lambda it: trimmed(verified(it)), "u long, v long"))
 
     # Each text with its likeliest partner first; then the pairs between different classes that are left.
     some, stars = map(stored, band_links(texts))
@@ -335,6 +394,11 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = components(own)
     own = own.unionByName(compared(apart(some.distinct(), part).unionByName(apart_in(stars, part)).distinct()))
     member = components(own)
+    # Of large groups, the pairs between classes that no star has compared: all of them.
+    crowd = stored(crowd_pairs(stars, texts, member))
+    if not crowd.isEmpty():
+        own = own.unionByName(compared(crowd))
+        member = components(own)
     rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "n", "least", F.coalesce("root", "uid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return stored(prints.select("doc_id", "text_key")), stored(rooted.join(names, "root").select("text_key", "n", "least", "root", "component_id"))

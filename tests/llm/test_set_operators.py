@@ -442,6 +442,30 @@ def test_pipeline(spark, tmp_path):
     assert [r.doc_id for r in docs.orderBy("start").collect()] == order
 
 
+def test_large_groups_lose_no_pair(spark):
+    """40 texts share one key; two pairs are alike, and neither has one of the two texts that stand for the key."""
+    texts, twins = [], {}
+    for uid in range(40):
+        sketch = bytes((uid * 7 + i * (uid + 3)) % 255 + 1 for i in range(256))
+        texts.append([uid, bytearray(sketch), 256, [7]])
+    df = spark.createDataFrame([(u, k) for u, _, _, k in texts], "uid long, keys array<long>")
+    _, stars = simhash.band_links(df)
+    ends = {x for r in stars.collect() for x in (r.a, r.b)}
+    free = [u for u in range(40) if u not in ends][:4]
+    for x, y in (free[:2], free[2:]):
+        texts[y][1] = bytearray(texts[x][1])
+        texts[y][1][5] ^= 1
+        twins[(y, x)] = 1
+    before = {(r.u, r.v) for r in simhash.pairs_of(stars).collect()}
+    assert not before & twins.keys()
+    full = spark.createDataFrame([(u, bytes(s), n) for u, s, n, _ in texts], "uid long, sketch binary, size long")
+    part = spark.createDataFrame([], "node long, root long")
+    assert {(r.u, r.v) for r in simhash.crowd_pairs(stars, full, part).collect()} == twins.keys()
+    # Texts of one class by then are not compared again.
+    joined = spark.createDataFrame([(y, x) for y, x in twins], "node long, root long")
+    assert simhash.crowd_pairs(stars, full, joined).count() == 0
+
+
 def test_alike_texts(spark):
     rng = np.random.default_rng(12)
     vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
