@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready_workers, stored, table, tidy, utf8
+from .common import ready_workers, stored, table, tidy, trimmed, utf8
 
 PASSAGE = 48
 FIT_DOCS, FIT_BYTES = 4000, 64 << 20
@@ -187,7 +187,7 @@ def fit_data(docs: DataFrame, labels: DataFrame, column: str, most: int, most_by
     few = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     few = few.select(F.xxhash64("doc_id").alias("place"), "doc_id", F.col(column).cast("double").alias("label")).distinct().orderBy("place", "label").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("place", "label", "text")
-    rows = stored(rows.mapInArrow(featured, "place long, label double, data binary"))
+    rows = stored(rows.mapInArrow(lambda it: trimmed(featured(it)), "place long, label double, data binary"))
     size, last = 0, None
     for r in rows.groupBy("place").agg(F.sum(F.length("data")).alias("n")).orderBy("place").collect():  # ``most`` at most
         size += r["n"]
@@ -220,7 +220,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ready_workers(docs.sparkSession)
     model = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInArrow(lambda it: scored(it, model), "doc_id long, score double")
+    out = rows.mapInArrow(lambda it: trimmed(scored(it, model)), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= KEEP_AT).cast("int"))
 
 
@@ -241,7 +241,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             text = b.column("text").fill_null("")
             yield b.filter(pa.array(model.score(*passages(*utf8(text))) >= KEEP_AT))
 
-    return docs.mapInArrow(kept, schema)
+    return docs.mapInArrow(lambda it: trimmed(kept(it)), schema)
 
 
 QUERIES = {"op4_quality": op4_quality}
