@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 CURRENCY = "$€₹£¥₩₺"
 FLOAT = r"^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
 INFINITE = r"^\s*[+-]?(inf|infinity)\s*$"
+#: All characters that a number may be written with: text with others is none.
+NUMBERISH = rf"^[\d\s+_.,()%{CURRENCY}eEkKmMbBiInNfFtTyY-]*+$"
 WRAPPED = r"(?s)^\s*\((.*)\)\s*$"
 
 
@@ -46,11 +48,14 @@ def _body(bare: Column) -> Column:
 
 
 def with_numbers(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """df with a column of parsed numbers for each {text column: new column}."""
+    """df with a column of parsed numbers for each {text column: new column}.
+
+    Cells that are plain numbers are cast, those with characters that no number has are NULL; only the others take all steps.
+    """
     cols, keep = {s: F.col(f"`{s}`") for s in names}, df.columns
-    df = df.withColumns({f"_bare_{o}": _bare(cols[s]) for s, o in names.items()})
+    df = df.withColumns({f"_bare_{o}": F.when(~cols[s].rlike(FLOAT) & cols[s].rlike(NUMBERISH), _bare(cols[s])) for s, o in names.items()})
     df = df.withColumns({f"_body_{o}": _body(F.col(f"`_bare_{o}`")) for o in names.values()})
-    df = df.withColumns({o: _scaled(cols[s], F.col(f"`_bare_{o}`"), F.col(f"`_body_{o}`")) for s, o in names.items()})
+    df = df.withColumns({o: F.when(F.col(f"`_bare_{o}`").isNull(), plain_float(cols[s])).otherwise(_scaled(cols[s], F.col(f"`_bare_{o}`"), F.col(f"`_body_{o}`"))) for s, o in names.items()})
     return df.select(*[F.col(f"`{c}`") for c in (*keep, *names.values())])
 
 

@@ -190,3 +190,16 @@ def test_case_merges_beyond_a_map(spark, monkeypatch):
     show = lambda d: [r["v"] for r in d.orderBy(ROW_ID).collect()]
     assert show(plain) == show(joined) == ["Ab", "Ab", "Ab", "cd", "cd", "x", None, "United States", "United States"]
     assert ledger.records == again.records and [r.cells_affected for r in ledger.records] == [2, 2]
+
+
+def test_votes_extract_nothing_from_cells(spark):
+    """Day, month and order are read off by patterns alone, and agree with the numbers that the cells have."""
+    from tablesmith.functions.dates import looks_dated, order_votes
+
+    cells = ["13/02/2020", "02/13/2020", "13/13/2020", "0/5/2020", "31.12.99", "12-31-1999", "32/1/2020", "1/2/123", "Jan 5, 2020", "x"]
+    df = spark.createDataFrame([(c,) for c in cells], "x string")
+    votes = df.agg(*[v.alias(k) for k, v in order_votes(F.col("x")).items()], F.collect_list(F.when(looks_dated(F.col("x")), F.col("x"))).alias("dated"))
+    assert "regexp_extract" not in votes._jdf.queryExecution().optimizedPlan().toString()
+    r = votes.first()
+    assert (r.slashed, r.day_first, r.month_first) == (7, 4, 3)
+    assert set(r.dated) == {"13/02/2020", "02/13/2020", "31.12.99", "12-31-1999", "Jan 5, 2020"}
