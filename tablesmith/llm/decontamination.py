@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_table, hot_join, ready_workers, stored, table, tidy, utf8
+from .common import bit_table, hot_join, pieces, ready_workers, stored, table, tidy, trimmed, utf8
 
 WINDOW = 10
 SHINGLE = 5
@@ -134,12 +134,12 @@ def _judged(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     ready_workers(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = items.mapInArrow(windows, "item string, window string, size int, shingles array<long>")
+    items = items.mapInArrow(lambda it: trimmed(windows(pieces(it))), "item string, window string, size int, shingles array<long>")
     distinct, sets = map(stored, _item_sets(stored(items)))
     shingles = distinct.select("window", "size", "set", F.posexplode("shingles").alias("offset", "h"))
     table_ = spark.sparkContext.broadcast(bit_table(shingles, "h"))  # of bounded size
     lengths = sorted(r[0] for r in distinct.select(F.least("size", F.lit(SHINGLE))).distinct().collect())  # SHINGLE at most
-    rows = stored(rows.mapInArrow(lambda it: places(it, lengths, table_), PLACES.format(dict(rows.dtypes)["id"])))
+    rows = stored(rows.mapInArrow(lambda it: trimmed(places(pieces(it), lengths, table_)), PLACES.format(dict(rows.dtypes)["id"])))
     hits = rows.where(F.size("hits") > 0).select("row", "n_words", F.explode("hits").alias("p")).select("row", "n_words", "p.*")
     # Rarity of the benchmark's shingles in the corpus; absent ones rule their windows out.
     rarity = hits.groupBy("h").agg(F.count(F.lit(1)).alias("rarity"))

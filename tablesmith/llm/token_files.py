@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, ready_workers, stored, table
+from .common import partitions_for, pieces, ready_workers, stored, table, trimmed
 from .pretokens import NOT_PLAIN, tokenizer, vocabulary
 from .word_bytes import WordIds
 
@@ -60,9 +60,9 @@ def encode_batch(texts: list[str], path: str) -> list[np.ndarray]:
     plain = ["<|" not in x and NOT_PLAIN.search(x) is None for x in texts]
     known = iter(remembered(path).encode([x.lower().encode() for x, p in zip(texts, plain, strict=True) if p], tokens))
     out = [next(known) if p else None for p in plain]
-    rest = [i for i, ids in enumerate(out) if ids is None]
-    for i, e in zip(rest, t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, "<u4")
+    # One by one: what the library holds for a text is many times its ids.
+    for i in [i for i, ids in enumerate(out) if ids is None]:
+        out[i] = np.array(t.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, "<u4")
     return out
 
 
@@ -70,7 +70,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     from pyspark import TaskContext
 
     part, at, last = TaskContext.get().partitionId(), 0, np.array([end], "<u4")
-    for b in batches:
+    for b in pieces(batches):
         ids = encode_batch(b.column("text").to_pylist(), path)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
         flat = np.concatenate([last[:0], *(x for a in ids for x in (a, last))])
@@ -100,12 +100,12 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = END_ID, or
     rows = rows.withColumn("_tie", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
     by.append("_tie")
     rows = rows.repartitionByRange(partitions_for(docs), *by).sortWithinPartitions(*by, "text").select("doc_id", "text")
-    return stored(rows.mapInArrow(lambda it: encoded(it, path, end), FILE_COLUMNS), "orc", **ORC)
+    return stored(rows.mapInArrow(lambda it: trimmed(encoded(it, path, end)), FILE_COLUMNS), "orc", **ORC)
 
 
 def token_index(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files: a start is the number of ids of all documents before."""
-    rows = files.mapInArrow(checksums, "doc_id long, part int, at int, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lambda it: trimmed(checksums(it)), "doc_id long, part int, at int, n_tokens long, ids_crc32 long")
     rows = stored(rows)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # a row for each file
     totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -1,8 +1,11 @@
 """Operators 2, 3, 4, 5, 6 against the libraries, a hand-made page, and held-out rows."""
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 
 from tablesmith.llm import html_extraction, layouts, pretokens, quality, token_counts, token_files, toxicity, word_bytes
@@ -91,6 +94,18 @@ def test_token_files(spark, texts):
     assert [(r.doc_id, r.start) for r in twice] == [(None, 0), (1, 2), (1, 4)]
 
 
+def test_tokens_are_made_of_small_pieces(monkeypatch):
+    texts = ["é語 " * 50_000, None, "", "x" * (2 << 20), *["word " * 60_000] * 12, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1)), pa.array(["before", *(x or "" for x in texts)])], ["doc_id", "text"]).slice(1)
+    sizes: list[list[int]] = []
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    monkeypatch.setattr(token_files, "encode_batch", lambda some, path: sizes.append([len(x.encode()) for x in some]) or [np.array([len(x)], "<u4") for x in some])
+    out = pa.Table.from_batches(token_files.encoded(iter([batch]), "", 2)).to_pydict()
+    assert all(sum(x) <= 1 << 20 or len(x) == 1 for x in sizes) and len(sizes) > 4
+    assert out["doc_id"] == [*range(1, len(texts) + 1)] and out["at"] == [*range(len(texts))]
+    assert out["ids"] == [[len(x or ""), 2] for x in texts]
+
+
 def test_bloom_filters_are_in_the_files(spark, texts):
     files = token_files.write_tokens(documents(spark, texts))
     jvm, path = spark._jvm, next(f for f in files.inputFiles() if f.endswith(".orc"))
