@@ -60,3 +60,11 @@ def test_entry(spark):
 def test_pushdown(spark, data):
     plan = QUERIES["filter_predicates"].run(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "l_quantity" in plan.split("PushedFilters")[1] and "l_extendedprice" not in plan
+
+
+def test_no_sketch_for_each_value(spark, data):
+    df = QUERIES["agg_approx_distinct"].run(spark, data)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    sketches = [x for x in plan.splitlines() if "approx_count_distinct" in x and "Aggregate" in x]
+    assert sketches and all("keys=[]" in x for x in sketches)
+    assert df.first().close is True
