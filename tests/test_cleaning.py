@@ -175,6 +175,20 @@ def test_near_duplicates_within_one_large_block(spark):
     assert {(r["row_a"], r["row_b"]) for r in dedup.near_duplicates(df).collect()} == want and len(want) > 100
 
 
+def test_pairs_of_equal_words_meet_by_their_words(spark):
+    names = [f"{a} {b} mill" for a in ("old", "new", "red", "hot") for b in ("ring", "gear", "bolt", "plate", "wheel")]
+    texts = [(x, y) for x in [*names, *(" ".join(reversed(n.split())) for n in names), "Old, RING mill!"] for y in ("one", "One.", None)] + [(None, "one"), ("", "one"), ("?", "one"), (None, None), (" old ring mill", "one")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], f"{ROW_ID} long, name string, other string")
+    words = lambda t: None if t is None else " ".join(sorted("".join(c if c.isalnum() else " " for c in t.lower()).split()))
+    key = [tuple(map(words, t)) for t in texts]
+    shown = [tuple(None if x is None else x.strip() for x in t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if key[i] == key[j] and shown[i] != shown[j]}
+    got = dedup.near_duplicates(df, alike=100.0).collect()
+    assert len(texts) > dedup.BLOCK_ROWS and {(r["row_a"], r["row_b"]) for r in got} == want and {r["similarity"] for r in got} == {1.0}
+    keys = dedup.letter_keys(df.withColumn("_s", F.lit("")), ["name", "other"], 100.0)
+    assert keys.count() == len(texts) and {r["_id"]: r["_k"] for r in keys.collect()}[0] != {r["_id"]: r["_k"] for r in keys.collect()}[3]
+
+
 def test_fuzzy_pairs_have_no_cap(spark):
     df = spark.createDataFrame([(f"value number {i:04d} of many",) for i in range(3)] + [("Somethng else",), ("something ELSE ",), ("somethingg else",)], "v string")
     got = {(r["a"], r["b"]) for r in canonical.fuzzy_pairs(df, "v").collect()}
