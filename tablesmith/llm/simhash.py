@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, hot_join, partitions_for, ready_workers, stored, table, tidy, trimmed
+from .common import bit_table, hot_join, partitions_for, ready_workers, stored, swept, table, tidy, trimmed
 from .components import components
 
 SEED = 42
@@ -248,7 +248,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def band_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(u, v), u > v: pairs of texts (uid, keys) that share a key; and (uid, a, b, key, n): texts with the two that stand for a key.
 
-    Up to FEW texts of a key all pair up, and come as pairs, one for each key. Of more (n), each is first compared with two of
+    Up to FEW texts of a key all pair up, and come as pairs, one for each key. Of more (n), each comes with two of
     them, others for each key, so a large group of copies gives stars; ``crowd_pairs`` has the rest of its pairs. Nearly all keys have three texts at
     most, which one aggregate names by their least, greatest and sum; only the texts of the others are looked up.
     """
@@ -268,10 +268,10 @@ def band_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small.unionByName(few).where("u > v"), shared.where(F.col("n") > FEW).select("uid", "a", "b", "key", "n")
 
 
-def pairs_of(stars: DataFrame) -> DataFrame:
-    """(u, v), u > v: each text of a star with the two that stand for it."""
-    one, other = (stars.select(F.greatest("uid", c).alias("u"), F.least("uid", c).alias("v")) for c in ("a", "b"))
-    return one.unionByName(other).where("u > v")
+def pairs_of(stars: DataFrame, ends: str = "ab") -> DataFrame:
+    """(u, v), u > v: each text of a star with the two that stand for it, or those named."""
+    each = [stars.select(F.greatest("uid", c).alias("u"), F.least("uid", c).alias("v")) for c in ends]
+    return reduce(DataFrame.unionByName, each).where("u > v")
 
 
 def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,13 +307,14 @@ def crowd_pairs(stars: DataFrame, texts: DataFrame, part: DataFrame) -> DataFram
     Of each key, the texts outside its largest class meet all of its texts, in blocks of CROWD; only pairs that may be alike
     become rows. A key whose texts are of one class by then is done.
     """
-    s = stars.select("key", "n", "uid").join(part.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    s = stored(stars.select("key", "n", "uid").join(part.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
     most = s.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("root", "m").alias("main"), F.max("m").alias("most"))
-    s = s.join(most, "key").where("most < n").join(texts.select("uid", "sketch", "size"), "uid")
+    s = stored(s.join(most, "key").where("most < n"))  # once, as both sides read it
+    sketch = texts.select("uid", "sketch", "size")
 
     def blocks(side: str, rows: DataFrame, n: str) -> DataFrame:
         block = F.pmod(F.xxhash64("key", "uid"), F.ceil(F.expr(n) / CROWD))
-        out = rows.groupBy("key", block.alias(f"{side}_block")).agg(F.collect_list(F.struct("uid", "root", "size", "sketch")).alias("m"))
+        out = rows.join(sketch, "uid").groupBy("key", block.alias(f"{side}_block")).agg(F.collect_list(F.struct("uid", "root", "size", "sketch")).alias("m"))
         return out.select("key", *[F.col(f"m.{c}").alias(f"{side}_{c}") for c in ("uid", "root", "size", "sketch")])
 
     both = blocks("x", s.where("root <> main"), "n - most").join(blocks("y", s, "n"), "key").drop("key")
@@ -364,16 +365,19 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def apart_in(stars: DataFrame, part: DataFrame) -> DataFrame:
         """The same for stars: decided before they become pairs, so that those of a group that is one class never do."""
-        for c in ("uid", "a", "b"):
+        for c in ("uid", "a"):
             stars = stars.join(rooted_at(c, part), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-        other = lambda c: F.when(F.col(f"root_{c}") != F.col("root_uid"), F.col(c)).otherwise(F.col("uid")).alias(c)
-        return pairs_of(stars.where("root_uid <> root_a or root_uid <> root_b").select("uid", other("a"), other("b"))).distinct()
+        return pairs_of(stars.where("root_uid <> root_a"), "a").distinct()
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike: by their sketches first, then as texts."""
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """The pairs that may be alike by their sketches."""
         of = lambda c: texts.select(F.col("uid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-        near_ = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "sketch_u", "sketch_v")
-        near_ = stored(near_.mapInArrow(lambda it: trimmed(plausible(it)), "u long, v long"))
+        both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "sketch_u", "sketch_v")
+        return stored(both.mapInArrow(lambda it: trimmed(plausible(it)), "u long, v long"))
+
+    def compared(near_: DataFrame) -> DataFrame:
+        """The pairs that are alike as texts."""
+        swept(spark)
         # The texts of these pairs: one row of docs for each, found by a bit table of bounded size, then exactly.
         ends = near_.select(F.col("u").alias("uid")).unionByName(near_.select(F.col("v").alias("uid"))).distinct()
         wanted = stored(texts.join(ends, "uid", "left_semi").select("uid", "h", F.col("text_key").alias("_key")))
@@ -385,15 +389,20 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = both.join(bodies.select(F.col("uid").alias("v"), F.col("text").alias("text_v")), "v")
         return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(lambda it: trimmed(verified(it)), "u long, v long"))
 
-    # Each text with its likeliest partner first; then the pairs between different classes that are left.
+    # Each text with its likeliest partner first; then the pairs between different classes that are left. Of large groups, each
+    # text with one that stands for it: as all their pairs come at last, more would only be compared twice.
+    swept(spark)
     some, stars = map(stored, band_links(texts))
-    every = some.unionByName(pairs_of(stars)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
+    every = some.unionByName(pairs_of(stars, "a")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
     best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "v"))
     likeliest = every.withColumn("place", best).where("place = 1").select("u", "v")
-    own = own.unionByName(compared(apart(likeliest, part)))
+    own = own.unionByName(compared(sketched(apart(likeliest, part))))
+    swept(spark)
     part = components(own)
-    own = own.unionByName(compared(apart(some.distinct(), part).unionByName(apart_in(stars, part)).distinct()))
+    own = own.unionByName(compared(sketched(apart(some.distinct(), part).unionByName(apart_in(stars, part)).distinct())))
+    swept(spark)
     member = components(own)
+    swept(spark)
     # Of large groups, the pairs between classes that no star has compared: all of them.
     crowd = stored(crowd_pairs(stars, texts, member))
     if not crowd.isEmpty():

@@ -2,17 +2,20 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 from itertools import pairwise
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from tablesmith.llm import decontamination, edit_embedding, mixing, sharding, simhash
-from tablesmith.llm.common import release, stored
+from tablesmith.llm.common import FILES_GO, release, stored
 from tablesmith.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -466,6 +469,26 @@ def test_large_groups_lose_no_pair(spark):
     assert simhash.crowd_pairs(stars, full, joined).count() == 0
 
 
+def test_alike_texts_of_a_large_group(spark):
+    rng = np.random.default_rng(21)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    base, texts = list(rng.choice(vocab, 300)), []
+    for _ in range(70):  # edits of one text, about as many pairs at 0.8 of the shingles or more as under
+        copy = list(base)
+        for i in rng.choice(300, rng.integers(1, 14), replace=False):
+            copy[i] = str(rng.choice(vocab))
+        texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in simhash.alike_texts(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    sets, prints = [simhash.shingle_set(t) for t in texts], [simhash.fingerprint(t) for t in texts]
+    root = list(range(70))
+    for i in range(70):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 3:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert len(set(root)) > 1
+    assert got == dict(enumerate(root))
+
+
 def test_alike_texts(spark):
     rng = np.random.default_rng(12)
     vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
@@ -519,6 +542,21 @@ def test_large_group_of_edited_copies_is_one_class(spark):
     assert [r.doc_id for r in simhash.stage(spark, table(spark, rows), "").collect()] == [0]
 
 
+def test_shuffle_files_go_with_what_is_stored(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {p for d in disk.localDirsString() for p in Path(d).glob("*/shuffle_*")}
+
+    before, own = files(), spark.conf.get(FILES_GO)
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == 7 and spark.conf.get(FILES_GO) == own
+
+
 def test_release(spark):
     kept = stored(spark.range(5))
     assert kept.count() == 5 and release(spark) > 0 and release(spark) == 0
