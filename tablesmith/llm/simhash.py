@@ -274,19 +274,30 @@ def pairs_of(stars: DataFrame, ends: str = "ab") -> DataFrame:
     return reduce(DataFrame.unionByName, each).where("u > v")
 
 
+def key_table(lists: pa.ListArray, key: int) -> np.ndarray:
+    """A row of keys for each list, all of which have the key, filled up with it."""
+    size = np.asarray(lists.value_lengths())
+    out = np.full((len(size), size.max(initial=1)), key, np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.asarray(lists.flatten())
+    return out
+
+
 def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v), u > v: of the two blocks of each row, the pairs of different classes that may be alike by sketch and size.
 
     A shingle that only one of two texts has changes a byte of the sketches at most, and two alike texts have no more such
     shingles than (1 - ALIKE) / (1 + ALIKE) of both sizes summed: that holds for sure, and leaves few pairs of short texts. Of
-    64 filled bins or more, SKETCHED holds besides, as in ``plausible``.
+    64 filled bins or more, SKETCHED holds besides, as in ``plausible``. A pair meets in the blocks of every key that both texts
+    have; it comes from the least of these alone.
     """
     for b in batches:
         of = {c: b.column(c) for c in b.schema.names}
+        all_keys = np.asarray(of["key"])
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in range(b.num_rows):
             (xu, xr, xn), (yu, yr, yn) = ([np.asarray(of[f"{side}_{c}"][r].values) for c in ("uid", "root", "size")] for side in "xy")
             x, y = (np.frombuffer(b"".join(of[f"{side}_sketch"][r].as_py()), np.uint8).reshape(-1, 256) for side in "xy")
+            xk, yk = (key_table(of[f"{side}_keys"][r].values, all_keys[r]) for side in "xy")
             filled = y > 0
             for i in range(len(xu)):
                 other = np.flatnonzero(yr != xr[i])
@@ -294,6 +305,7 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 union, differ = some.sum(1), (y[other] != x[i]).sum(1)
                 near_ = differ * (1 + ALIKE) <= (1 - ALIKE) * (xn[i] + yn[other]) + 1e-6
                 other = other[near_ & ((union - differ >= SKETCHED * union) | (union < 64))]
+                other = other[~(np.isin(yk[other], xk[i]) & (yk[other] < all_keys[r])).any(1)]
                 us.append(np.maximum(yu[other], xu[i]))
                 vs.append(np.minimum(yu[other], xu[i]))
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -310,14 +322,15 @@ def crowd_pairs(stars: DataFrame, texts: DataFrame, part: DataFrame) -> DataFram
     s = stored(stars.select("key", "n", "uid").join(part.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
     most = s.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("root", "m").alias("main"), F.max("m").alias("most"))
     s = stored(s.join(most, "key").where("most < n"))  # once, as both sides read it
-    sketch = texts.select("uid", "sketch", "size")
+    own = s.groupBy("uid").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    own = stored(own.join(texts.select("uid", "sketch", "size"), "uid"))
 
     def blocks(side: str, rows: DataFrame, n: str) -> DataFrame:
         block = F.pmod(F.xxhash64("key", "uid"), F.ceil(F.expr(n) / CROWD))
-        out = rows.join(sketch, "uid").groupBy("key", block.alias(f"{side}_block")).agg(F.collect_list(F.struct("uid", "root", "size", "sketch")).alias("m"))
-        return out.select("key", *[F.col(f"m.{c}").alias(f"{side}_{c}") for c in ("uid", "root", "size", "sketch")])
+        out = rows.join(own, "uid").groupBy("key", block.alias(f"{side}_block")).agg(F.collect_list(F.struct("uid", "root", "size", "sketch", "keys")).alias("m"))
+        return out.select("key", *[F.col(f"m.{c}").alias(f"{side}_{c}") for c in ("uid", "root", "size", "sketch", "keys")])
 
-    both = blocks("x", s.where("root <> main"), "n - most").join(blocks("y", s, "n"), "key").drop("key")
+    both = blocks("x", s.where("root <> main"), "n - most").join(blocks("y", s, "n"), "key")
     return both.mapInArrow(lambda it: trimmed(crossed(it)), "u long, v long").distinct()
 
 
@@ -340,6 +353,7 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     ready_workers(spark)
+    swept(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     prints = stored(rows.mapInArrow(lambda it: trimmed(all_prints(it)), "doc_id long, h long, text_key string, fp long, sketch binary, size long, keys array<long>"))
@@ -353,6 +367,7 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = own.join(sure, own.v == sure.fp).select("u", F.col("first").alias("v"))
     own = own.unionByName(texts.join(sure, "fp").where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v")))
     own = stored(own.distinct())
+    swept(spark)
     part = components(own)
 
     def rooted_at(c: str, part: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -469,6 +470,20 @@ def test_large_groups_lose_no_pair(spark):
     assert simhash.crowd_pairs(stars, full, joined).count() == 0
 
 
+def test_a_pair_of_many_keys_comes_once():
+    sketch = b"\1" * 256
+    lists = {1: [7, -4, 9], 2: [9, 7], 3: [7, -4]}  # keys of each text; 1 and 2 meet in 7 and 9, 1 and 3 in -4 and 7, 2 and 3 in 7
+    side = [sorted(u for u in lists if k in lists[u]) for k in (-4, 7, 9)]
+    row = {"key": pa.array([-4, 7, 9])}
+    for s in "xy":
+        row |= {f"{s}_uid": pa.array(side), f"{s}_root": pa.array(side), f"{s}_size": pa.array([[256] * len(u) for u in side])}
+        row |= {f"{s}_sketch": pa.array([[sketch] * len(u) for u in side], pa.list_(pa.binary())), f"{s}_keys": pa.array([[lists[t] for t in u] for u in side])}
+    for batch in (pa.RecordBatch.from_pydict(row), pa.RecordBatch.from_pydict(row).slice(1)):
+        pairs = Counter(p for b in simhash.crossed([batch]) for p in zip(*(b.column(c).to_pylist() for c in "uv"), strict=True))
+        # Each text is on both sides here, so a pair comes from both.
+        assert pairs == ({(2, 1): 2, (3, 1): 2, (3, 2): 2} if batch.num_rows == 3 else {(2, 1): 2, (3, 2): 2})
+
+
 def test_alike_texts_of_a_large_group(spark):
     rng = np.random.default_rng(21)
     vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
