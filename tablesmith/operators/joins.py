@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
@@ -49,25 +49,37 @@ def columns_of(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:
     return [(t, c, logical(kind)) for t, df in tables.items() for c, kind in df.dtypes if not c.startswith("_") and not kind.startswith(("array", "map", "struct", "binary"))]
 
 
-def compared(df: DataFrame) -> DataFrame:
-    """The columns whose values can be compared, as they are compared: numbers as doubles, whatever their type, all else as text."""
-    return df.select(*[F.col(f"`{c}`").cast("double" if kind == "numeric" else "string").alias(c) for _, c, kind in columns_of({"": df})])
+def valued(c: str, kind: str) -> Column:
+    """A column's values as they are compared: numbers as doubles, whatever their type, all else as text."""
+    return F.col(f"`{c}`").cast("double" if kind == "numeric" else "string")
 
 
-def overlaps(tables: Mapping[str, DataFrame], unique: list[tuple[str, str]]) -> DataFrame:
+def hashed(x: Column, kind: str, printed: bool = False) -> Column:
+    """64-bit hashes of values as they are compared. printed: -0.0, which equals 0.0 as a number but not as text, has one of its own."""
+    minus = (x == 0) & (x.cast("string") == "-0.0")
+    return F.when(minus, F.xxhash64(F.lit("-0.0"))).otherwise(F.xxhash64(x)) if printed and kind == "numeric" else F.xxhash64(x)
+
+
+def compared(df: DataFrame, printed: bool = False) -> DataFrame:
+    """The columns whose values can be compared, as they are compared; numbers as their hashes if they are compared as printed."""
+    columns = [(c, kind, valued(c, kind)) for _, c, kind in columns_of({"": df})]
+    return df.select(*[(F.when(x.isNotNull(), hashed(x, kind, printed)) if printed and kind == "numeric" else x).alias(c) for c, kind, x in columns])
+
+
+def overlaps(tables: Mapping[str, DataFrame], unique: list[tuple[str, str]], printed: bool = False) -> DataFrame:
     """(fk_table, fk_column, pk_table, pk_column, common): how many values a column shares with a unique one of its type.
 
     Each column is scanned alone and its values become 64-bit hashes (numbers alike whatever their type). One aggregate by
     (type, hash) notes in bits which columns hold a value; the few distinct sets of columns are then paired. So all
-    columns of all tables are compared in one shuffle, in which repeats are gone already.
+    columns of all tables are compared in one shuffle, in which repeats are gone already. printed: as in ``hashed``.
     """
     columns = columns_of(tables)
     words = range(-(-len(columns) // WORD_BITS))
     cells = []
     for i, (t, c, kind) in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double" if kind == "numeric" else "string")
+        x = valued(c, kind)
         bits = [F.lit(1 << i % WORD_BITS if i // WORD_BITS == w else 0).cast("long").alias(f"w{w}") for w in words]
-        cells.append(tables[t].where(x.isNotNull()).select(F.lit(kind).alias("kind"), F.xxhash64(x).alias("h"), *bits))
+        cells.append(tables[t].where(x.isNotNull()).select(F.lit(kind).alias("kind"), hashed(x, kind, printed).alias("h"), *bits))
     held = reduce(DataFrame.unionByName, cells).groupBy("kind", "h").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words])
     sets = held.groupBy(*[f"w{w}" for w in words]).agg(F.count(F.lit(1)).alias("n"))
     has = lambda i: F.getbit(f"w{i // WORD_BITS}", F.lit(i % WORD_BITS)) == 1

@@ -51,6 +51,24 @@ def test_containment_by_compared_values(spark, data, tmp_path):
     assert {tuple(r[c] for c in names) for r in q.run(spark, str(tmp_path)).collect()} == set(found.fetchall())
 
 
+def test_containment_as_printed(spark, data, tmp_path):
+    """The SQL compares numbers as printed: -0.0 (a balance that rounds to nothing) is not the key 0, and a column with both is unique."""
+    con = duckdb.connect()
+    change = {
+        "customer": "SELECT * REPLACE (CASE c_custkey WHEN 3 THEN -0.0::DOUBLE ELSE c_acctbal END AS c_acctbal) FROM",
+        "supplier": "SELECT * REPLACE (CASE s_suppkey WHEN 3 THEN -0.0::DOUBLE WHEN 4 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal) FROM",
+    }
+    for t in linking.KEYS:
+        con.execute(f"COPY ({change.get(t, 'FROM')} '{data}/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    q = QUERIES["link_containment"]
+    found = con.execute(q.oracle)
+    names = [d[0] for d in found.description]
+    theirs = set(found.fetchall())
+    assert {tuple(r[c] for c in names) for r in q.run(spark, str(tmp_path)).collect()} == theirs
+    assert ("customer", "c_acctbal", "supplier", "s_acctbal", 1) in theirs
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["n_name", "sum_o_totalprice"] and df.count() > 0
