@@ -128,10 +128,13 @@ def keyed(batches: Iterator[pa.RecordBatch], left: bool, triple: bool = True) ->
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(u, v) for distinct fingerprints (fp long) at DISTANCE or fewer differing bits, found by Golay keys and verified."""
+    """(u, v) for distinct fingerprints (fp long) at DISTANCE or fewer differing bits, found by Golay keys and verified.
+
+    Spark counts a fingerprint's many keys as one row, so it would broadcast them: the join is told to shuffle.
+    """
     sides = [fps.mapInArrow(lambda it, left=left: trimmed(keyed(it, left)), "key long, fp long").alias("lr"[1 - left]) for left in (True, False)]
     on = (F.col("l.key") == F.col("r.key")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= DISTANCE) & (F.col("l.fp") != F.col("r.fp"))
-    return sides[0].join(sides[1], on).select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v"))
+    return sides[0].join(sides[1].hint("merge"), on).select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v"))
 
 
 @tidy

@@ -16,7 +16,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from tablesmith.llm import decontamination, edit_embedding, mixing, sharding, simhash
-from tablesmith.llm.common import FILES_GO, release, stored
+from tablesmith.llm.common import ESTIMATED, FILES_GO, MEASURED, release, stored
 from tablesmith.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -217,6 +217,12 @@ def test_keys_lose_no_link(spread):
     assert len({r for r, _ in both}) == 1500
 
 
+def test_keys_are_not_broadcast(spark):
+    """Spark takes the keys of a fingerprint, up to a hundred, for one row."""
+    plan = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(80)]
@@ -572,6 +578,24 @@ def test_shuffle_files_go_with_what_is_stored(spark):
     assert kept.count() == 7 and spark.conf.get(FILES_GO) == own
 
 
+def test_estimates_are_not_trusted_in_what_is_stored(spark):
+    """Lists of 6 MB that explode into 19 MB aren't broadcast up to 10 MB; a small table is, as it is measured."""
+    own = {k: spark.conf.get(k, None) for k in (ESTIMATED, MEASURED)}
+    lists = stored(spark.range(4000).select(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.xxhash64("id", i)).alias("keys")))
+    keys = lists.select(F.explode("keys").alias("key"))
+
+    def plan(df):
+        stored(df)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+
+    large = spark.range(5_000_000).select(F.xxhash64("id").alias("key"))
+    assert "BroadcastHashJoin" in large.join(keys, "key")._jdf.queryExecution().sparkPlan().toString()  # as Spark would by itself
+    assert "BroadcastHashJoin" not in plan(large.join(keys, "key"))
+    assert "BroadcastHashJoin" in plan(large.join(keys.limit(9), "key"))
+    assert {k: spark.conf.get(k, None) for k in own} == own
+
+
 def test_release(spark):
     kept = stored(spark.range(5))
     assert kept.count() == 5 and release(spark) > 0 and release(spark) == 0
