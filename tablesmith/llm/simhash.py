@@ -451,7 +451,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = stored(again.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("key"))
     same = lambda x, y: x.id.eqNullSafe(y._id) & (x.key == y._key)
-    out = own.join(kept, same(own, kept), "left_semi")
+    out = own.join(kept.hint("merge"), same(own, kept), "left_semi")
     if again.isEmpty():
         return out.select("row.*")
     once = out.join(again, same(out, again), "left_anti")

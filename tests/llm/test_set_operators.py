@@ -257,6 +257,13 @@ def test_dedup_stage(spark):
     assert simhash.stage(spark, table(spark, rows).limit(0), "").count() == 0
 
 
+def test_kept_rows_are_not_broadcast(spark):
+    """The rows that stay are most of all rows: an id and a key each, which Spark would send through the driver up to 10 MB of its estimate."""
+    out = simhash.stage(spark, table(spark, [(i, f"text {i} of its own", "s") for i in range(50)]), "")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and out.count() == 50
+
+
 # 9: decontamination
 
 
