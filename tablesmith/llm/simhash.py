@@ -39,6 +39,8 @@ DISTANCE = 3
 WIDE, ALIKE, BANDS, ROWS, FEW, SKETCHED = 5, 0.8, 42, 6, 16, 0.68
 #: Texts of a block of a large group.
 CROWD = 128
+#: Times this, the top byte of eight bytes of 0 or 1 is their sum.
+EACH_BYTE = np.uint64(0x0101010101010101)
 GOLAY = 0xC75  # the code's generator polynomial
 #: Bits of the numbers of texts that are turned to choose at random.
 UID_BITS = 44
@@ -277,12 +279,19 @@ def pairs_of(stars: DataFrame, ends: str = "ab") -> DataFrame:
     return reduce(DataFrame.unionByName, each).where("u > v")
 
 
-def key_table(lists: pa.ListArray, key: int) -> np.ndarray:
-    """A row of keys for each list, all of which have the key, filled up with it."""
-    size = np.asarray(lists.value_lengths())
-    out = np.full((len(size), size.max(initial=1)), key, np.int64)
-    out[np.arange(out.shape[1]) < size[:, None]] = np.asarray(lists.flatten())
-    return out
+def share_lesser(x: pa.ListArray, y: pa.ListArray, key: int) -> np.ndarray:
+    """Of lists of keys: whether each of x has a key less than the given one in common with each of y."""
+    sides = []
+    for lists in (x, y):
+        keys_ = np.asarray(lists.flatten())
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        sides.append((row[keys_ < key], keys_[keys_ < key], len(lists)))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    held = [np.zeros((n, len(both)), np.float32) for *_, n in sides]
+    for has, (row, keys_, _) in zip(held, sides, strict=True):
+        known = np.isin(keys_, both)
+        has[row[known], np.searchsorted(both, keys_[known])] = 1
+    return held[0] @ held[1].T > 0
 
 
 def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,15 +309,13 @@ def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(b.num_rows):
             (xu, xr, xn), (yu, yr, yn) = ([np.asarray(of[f"{side}_{c}"][r].values) for c in ("uid", "root", "size")] for side in "xy")
             x, y = (np.frombuffer(b"".join(of[f"{side}_sketch"][r].as_py()), np.uint8).reshape(-1, 256) for side in "xy")
-            xk, yk = (key_table(of[f"{side}_keys"][r].values, all_keys[r]) for side in "xy")
-            filled = y > 0
+            elsewhere = share_lesser(of["x_keys"][r].values, of["y_keys"][r].values, all_keys[r])
             for i in range(len(xu)):
-                other = np.flatnonzero(yr != xr[i])
-                some = filled[other] | (x[i] > 0)
-                union, differ = some.sum(1), (y[other] != x[i]).sum(1)
-                near_ = differ * (1 + ALIKE) <= (1 - ALIKE) * (xn[i] + yn[other]) + 1e-6
-                other = other[near_ & ((union - differ >= SKETCHED * union) | (union < 64))]
-                other = other[~(np.isin(yk[other], xk[i]) & (yk[other] < all_keys[r])).any(1)]
+                differ = ((y != x[i]).view("<u8") * EACH_BYTE >> np.uint64(56)).sum(1).astype(np.int64)
+                near_ = differ * (1 + ALIKE) <= (1 - ALIKE) * (xn[i] + yn) + 1e-6
+                other = np.flatnonzero(near_ & (yr != xr[i]) & ~elsewhere[i])
+                union = ((y[other] > 0) | (x[i] > 0)).sum(1)
+                other = other[(union - differ[other] >= SKETCHED * union) | (union < 64)]
                 us.append(np.maximum(yu[other], xu[i]))
                 vs.append(np.minimum(yu[other], xu[i]))
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -373,6 +380,10 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     swept(spark)
     part = components(own)
 
+    def joined_by(part: DataFrame, more: DataFrame) -> DataFrame:
+        """Links that give the classes of part and of more: of those, each text's with its root are enough, and soon merged."""
+        return part.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+
     def rooted_at(c: str, part: DataFrame) -> DataFrame:
         return part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
 
@@ -414,18 +425,17 @@ def alike_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = some.unionByName(pairs_of(stars, "a")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
     best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "v"))
     likeliest = every.withColumn("place", best).where("place = 1").select("u", "v")
-    own = own.unionByName(compared(sketched(apart(likeliest, part))))
+    more = compared(sketched(apart(likeliest, part)))
     swept(spark)
-    part = components(own)
-    own = own.unionByName(compared(sketched(apart(some.distinct(), part).unionByName(apart_in(stars, part)).distinct())))
+    part = components(joined_by(part, more))
+    more = compared(sketched(apart(some.distinct(), part).unionByName(apart_in(stars, part)).distinct()))
     swept(spark)
-    member = components(own)
+    member = components(joined_by(part, more))
     swept(spark)
     # Of large groups, the pairs between classes that no star has compared: all of them.
     crowd = stored(crowd_pairs(stars, texts, member))
     if not crowd.isEmpty():
-        own = own.unionByName(compared(crowd))
-        member = components(own)
+        member = components(joined_by(member, compared(crowd)))
     rooted = texts.join(member, texts.uid == member.node, "left").select("text_key", "n", "least", F.coalesce("root", "uid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return stored(prints.select("doc_id", "text_key")), stored(rooted.join(names, "root").select("text_key", "n", "least", "root", "component_id"))

@@ -497,6 +497,15 @@ def test_a_pair_of_many_keys_comes_once():
         assert pairs == ({(2, 1): 2, (3, 1): 2, (3, 2): 2} if batch.num_rows == 3 else {(2, 1): 2, (3, 2): 2})
 
 
+def test_keys_shared_below_another():
+    rng = np.random.default_rng(5)
+    x, y = ([rng.integers(-9, 9, rng.integers(0, 6)).tolist() for _ in range(n)] for n in (40, 30))
+    of = lambda lists: pa.array([[], *lists], pa.list_(pa.int64()))[1:]
+    for key in (-9, -2, 3, 9):
+        want = [[any(k < key for k in set(a) & set(b)) for b in y] for a in x]
+        assert simhash.share_lesser(of(x), of(y), key).tolist() == want
+
+
 def test_alike_texts_of_a_large_group(spark):
     rng = np.random.default_rng(21)
     vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
